@@ -69,14 +69,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES = {
     "op6_substrings": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
 g AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
 m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING count(*) > 1),
 r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM g JOIN m USING (s) WHERE first < doc_id),
 l AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id),
 o AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN l USING (doc_id))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(gone, i)), i -> w[i]), ' ')) AS kept_sha256
+  sha256(array_to_string([w[i] for i in range(1, len(w) + 1) if NOT list_contains(gone, i)], ' ')) AS kept_sha256
 FROM o""",
     "op9_archive": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
