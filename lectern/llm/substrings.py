@@ -102,7 +102,12 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         out[order] = np.repeat(code, count)
         return [B.deflate(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
 
+    def ordered(table: pa.Table) -> pa.Table:
+        """A shuffle may hand over a batch's rows in another order each time; the runs are kept by place."""
+        return table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+
     def extend(batch: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = ordered(table)
         ids = _ids(table, id_col)
         found = words(B.column(table, text_col))
         at, _, inverse, _ = _probes(found, ids < np.iinfo(np.int64).max, block, n_buckets)
@@ -139,6 +144,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.table({B.BUCKET: table[B.BUCKET], B.BATCH: table[B.BATCH], B.PAYLOAD: pa.array(out, pa.binary())})
 
     def remove(_, table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = ordered(table)
         ids = _ids(table, id_col)
         found = words(B.column(table, text_col))
         by_bucket = dict(zip(B.column(answers, B.BUCKET), B.column(answers, B.PAYLOAD), strict=True))
