@@ -9,6 +9,7 @@ share costs a bucket one entry for each batch, not one for each document.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Callable
@@ -34,9 +35,19 @@ def checkpoint_ready(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read again: later jobs don't repeat the work."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written to the shared checkpoint folder and read again: later jobs don't repeat the work.
+
+    The shuffles behind them are needed no more, but Spark removes their files only
+    when the driver next collects its garbage; that is asked for here, so that the
+    shuffles of one stage after another don't pile up on the disks.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def in_batches(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
