@@ -81,9 +81,9 @@ def inflate(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
-def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grouped(ids: np.ndarray, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts ids, and where in it each run of equal ids begins."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids, kind="stable" if stable else None)
     ordered = ids[order]
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ids) else np.empty(0, np.int64)
 

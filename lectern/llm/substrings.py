@@ -80,7 +80,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         known = np.array([x is not None for x in B.column(table, id_col)], bool)
         found = words(B.column(table, text_col))
         at, distinct, inverse, edges = _probes(found, known, block, n_buckets)
-        order, begin = B.grouped(inverse)
+        order, begin = B.grouped(inverse, stable=True)
         doc = found.doc[at][order]
         end = np.append(begin[1:], len(order)) - 1
         several = doc[begin] != doc[end] if len(order) else np.empty(0, bool)
