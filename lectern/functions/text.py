@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 #: Words that stay lower-case within a title.
 SMALL_WORDS = ["a", "an", "and", "at", "by", "for", "in", "of", "on", "the", "to"]
 #: Abbreviations that end no sentence.
