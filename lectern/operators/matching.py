@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
@@ -14,7 +15,7 @@ from lectern.operators import kernels as K
 from lectern.operators import timeline as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
