@@ -64,14 +64,14 @@ class MinimalPerfectHash:
             own = h[order[edge[b] : edge[b + 1]]]
             low = 0
             while True:
-                tried = np.arange(low, low + 64, dtype=np.uint64)
+                tried = np.arange(low, low + 16, dtype=np.uint64)
                 slots = np.sort(mix(own[None, :] + (tried[:, None] + np.uint64(1)) * _STEP) % np.uint64(n), axis=1)
                 fits = np.flatnonzero(~taken[slots].any(axis=1) & (slots[:, 1:] != slots[:, :-1]).all(axis=1))
                 if len(fits):
                     seeds[b] = low + fits[0]
                     taken[slots[fits[0]]] = True
                     break
-                low += 64
+                low += 16
         single = np.flatnonzero(sizes == 1)
         seeds[single] = np.uint32(1 << 31) | np.flatnonzero(~taken)[: len(single)].astype(np.uint32)  # the slot itself
         return MinimalPerfectHash(n, seeds)
@@ -196,7 +196,8 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool
                             out["ids"] = pa.array(own, pa.binary())
                         yield pa.RecordBatch.from_pydict(out)
 
-    return manifest.join(starts, "shard").select("ids_path", "index_path", "before").mapInArrow(read, schema)
+    shards = manifest.join(starts, "shard").select("ids_path", "index_path", "before").repartition(max(1, manifest.rdd.getNumPartitions()), "ids_path")
+    return shards.mapInArrow(read, schema)
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str) -> DataFrame:

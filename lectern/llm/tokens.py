@@ -12,6 +12,7 @@ common European ones are handed to the library as they are.
 from __future__ import annotations
 
 import os
+from unicodedata import is_normalized
 
 import numpy as np
 import regex
@@ -95,15 +96,17 @@ class Encoder:
         if not text.isascii() and max(text) >= _KNOWN:
             return self.whole(text)
         if self.words:
-            text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+            text = text.lower() if is_normalized("NFC", text) else self.library.normalizer.normalize_str(text)
         return b"".join(map(self.piece.__getitem__, self.cut(text)))
 
     def _chunk(self, chunk: str, before: str, memo: _Memo) -> bytes:
         if not self.words and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
             raise _Whole
-        if chunk.isascii():
+        if chunk.isascii() or max(chunk) < _KNOWN and is_normalized("NFC", chunk):
+            if self.words and (lower := chunk.lower()) != chunk:
+                return memo[lower]
             if chunk.isalpha():
-                return self._piece(before + (chunk.lower() if self.words else chunk))
+                return self._piece(before + chunk)
             core = chunk.rstrip(_TAIL)
             if core.isalpha():
                 return memo[core] + self.piece[chunk[len(core) :]]
