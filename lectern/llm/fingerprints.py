@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm import batches as B
+from lectern.llm.token_files import shared_folder
 
 LEAST, USUAL, MOST = 16, 40, 160
 _WINDOW_STEPS = 4  # doublings: 16 bytes
@@ -174,7 +174,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield batch_of({"id": [held[0]], "part": [part], "last": [True], "text": [held[1]]}, 1)
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    rows = B.checkpoint(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(apply, schema))
+    folder = shared_folder(docs.sparkSession, "fingerprints")  # compressed there, unlike a checkpoint
+    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(apply, schema).write.option("compression", "zstd").parquet(folder)
+    rows = docs.sparkSession.read.schema(schema).parquet(folder)
     heads, tails = rows.where("first").select("part", "text"), rows.where("last").select("id", "part", "text")
     order = Window.orderBy("part")
     parts = heads.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))  # one small row for each range
