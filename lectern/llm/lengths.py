@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm import batches as B
 from lectern.llm.tokens import encoder
 
 #: Lengths whose sums one task forms; sums of blocks are then added.
@@ -38,6 +39,7 @@ def length_table(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     Null lengths are left out.  An empty table gives an empty table.
     """
     counts = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs"))
+    counts = B.checkpoint(counts)  # read twice below; the texts are encoded once
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
