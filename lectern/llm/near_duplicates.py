@@ -7,12 +7,13 @@
 3. Texts that agree on all samples of a band are candidates.  In each band's bucket
    every text is compared with one leader, and the leader differs from band to band.
 4. Links are verified on the exact weight vectors; linked texts form classes.
-5. In buckets whose texts still are in different classes, the texts outside the first
-   leader's class are compared with a second leader, one of themselves.
+5. In buckets whose texts still are in different classes, all pairs of different
+   classes are compared: first by their samples and total weights, in tiles of
+   bounded size, then exactly.
 
-So each text has up to two partners in each of its buckets, other ones in each band,
-and work grows with the number of texts, however large a bucket is.  Two texts that
-are in no bucket's leader pair are linked only through others: see the README.
+So any two texts that share a bucket are in one class at the end, or were compared.
+A pair's samples must agree in half of all: a pair at the threshold fails that with
+a probability under 0.0002.  The weights never rule out a pair of the threshold.
 
 The weight of a shingle is (1 + ln tf) * (1 + spread * ln((N + 1) / (df + 1)) / ln(N + 1)).
 With a plain idf the shingles that a thousand near copies share would weigh a third
@@ -36,7 +37,9 @@ from lectern.llm.words import Words, mix, words
 SIZE, THRESHOLD, BANDS, ROWS, SPREAD = 5, 0.8, 10, 3, 0.1
 #: Members in one verification task.
 BLOCK = 200
-SIGNATURES = "id long, digest binary, batch int, copy int, bands array<bigint>"
+#: Of a bucket's members whose pairs are compared by samples at once, and rows in one task of that.
+TILE, TILE_ROWS = 1000, 20_000
+SIGNATURES = "id long, digest binary, batch int, copy int, bands array<bigint>, sketch binary"
 REQUESTS = f"{B.PACKED}, a binary, part int, digest binary"
 
 
@@ -166,10 +169,12 @@ class NearDuplicates:
             ids, digests = B.column(table, "id"), [_digest(t) for t in B.column(table, "text")]
             seen: dict = {}
             copy = [seen.__setitem__(x, seen.get(x, -1) + 1) or seen[x] for x in zip(ids, digests, strict=True)]
-            out_bands = [[] for _ in range(n)]
+            out_bands, sketch = [[] for _ in range(n)], [b""] * n
+            total = np.bincount(doc, weight, n)
             for i, d in enumerate(present.tolist()):
                 out_bands[d] = key[i].view(np.int64).tolist()
-            return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "batch": pa.array([batch] * n, pa.int32()), "copy": pa.array(copy, pa.int32()), "bands": pa.array(out_bands, pa.list_(pa.int64()))})
+                sketch[d] = total[d].astype(np.float32).tobytes() + value[i].astype(np.uint16).tobytes()
+            return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "batch": pa.array([batch] * n, pa.int32()), "copy": pa.array(copy, pa.int32()), "bands": pa.array(out_bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
         return B.with_answers(self.narrow, frequencies, sign, SIGNATURES)
 
@@ -210,15 +215,42 @@ class NearDuplicates:
         sent = B.with_answers(self.narrow, asked, send, "a binary, part int, digest binary, vector binary")
         return sent.groupBy("a", "part").applyInArrow(compare, "a binary, b binary, similarity double")
 
-    def _second_leaders(self, members: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of a bucket's texts outside its leader's class with one of them, where that is in another class than they."""
-        root = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        led = leaders.join(root("a"), "a", "left").select("band", "key", F.coalesce("a_root", "a").alias("first_root"))
-        inside = members.join(root("digest"), "digest", "left").withColumn("root", F.coalesce("digest_root", "digest"))
-        outside = B.checkpoint(inside.join(led, ["band", "key"]).where("root <> first_root").select("band", "key", "digest", "batch", "root"))
-        second = outside.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("digest", "band", F.lit(2)).alias("h"), "digest", "batch", "root")).alias("s"))
-        second = second.select("band", "key", F.col("s.digest").alias("a"), F.col("s.batch").alias("a_batch"), F.col("s.root").alias("a_root"))
-        return outside.join(second, ["band", "key"]).where("root <> a_root").select("a", "a_batch", F.col("digest").alias("b"), F.col("batch").alias("b_batch"))
+    def _others(self, members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs of a bucket that are in different classes and may reach the threshold, by their sketches.
+
+        A bucket's texts are dealt to blocks of about TILE; each two blocks are a tile, and some tiles are a task.
+        """
+        half, threshold, width = self.bands * self.rows / 2, self.threshold, self.bands * self.rows
+        inside = members.join(classes, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "batch", F.coalesce("root", "digest").alias("root"))
+        mixed = inside.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        mixed = mixed.select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+        inside = B.checkpoint(inside.join(mixed, ["band", "key"]))
+        n_tasks = max(1, -(-(inside.agg(F.sum("blocks")).first()[0] or 0) // TILE_ROWS))
+        inside = inside.withColumn("block", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int"))
+        tiled = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("tile", F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")))
+        tiled = tiled.select(F.pmod("tile", F.lit(n_tasks)).alias("task"), "tile", "band", "key", "block", (F.col("block") == F.col("other")).alias("own"), "digest", "batch", "root").join(sketches, "digest")
+
+        def alike(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(k, "ascending") for k in ("band", "key", "tile")]).combine_chunks()
+            n = table.num_rows
+            band, key, tile, block, own = (table[k].to_numpy() for k in ("band", "key", "tile", "block", "own"))
+            root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            sketch = np.frombuffer(b"".join(B.column(table, "sketch")), np.uint8).reshape(n, 4 + 2 * width)
+            total, sample = sketch[:, :4].copy().view(np.float32)[:, 0], sketch[:, 4:].copy().view(np.uint16)
+            starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+            end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+            found, x, d = [np.empty((0, 2), np.int64)], np.arange(n), 1
+            while len(x := x[x + d < end[x]]):  # each row with the d-th after it
+                y = x + d
+                u = np.flatnonzero((root[x] != root[y]) & (own[x] | (block[x] != block[y])) & (np.minimum(total[x], total[y]) >= (threshold - 1e-4) * np.maximum(total[x], total[y])))
+                u = u[(sample[x[u]] == sample[y[u]]).sum(axis=1) >= half]
+                found.append(np.column_stack([x[u], y[u]]))
+                d += 1
+            left, right = np.concatenate(found).T
+            pick = lambda name, at: table[name].take(pa.array(at))
+            return pa.table({"a": pick("digest", left), "a_batch": pick("batch", left), "b": pick("digest", right), "b_batch": pick("batch", right)})
+
+        return tiled.groupBy("task").applyInArrow(alike, "a binary, a_batch int, b binary, b_batch int")
 
     @staticmethod
     def _distinct(pairs: DataFrame) -> DataFrame:
@@ -235,7 +267,10 @@ class NearDuplicates:
         pairs = B.checkpoint(self._distinct(pairs))
         links = B.checkpoint(self.verified(pairs, frequencies))
         found = components(links)
-        more = B.checkpoint(self._distinct(self._second_leaders(members, leaders, found)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+        sketches = signed.where("sketch <> X''").groupBy("digest").agg(F.min("sketch").alias("sketch"))
+        done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        more = self._distinct(self._others(members, sketches, found)).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+        more = B.checkpoint(more.join(done, ["x", "y"], "left_anti").select("a", "a_batch", "b", "b_batch"))
         if not more.isEmpty():
             found = components(links.union(self.verified(more, frequencies)))
         return signed.join(found, F.col("digest") == F.col("node"), "left").select("id", "digest", "batch", "copy", F.coalesce("root", "digest").alias("root"))

@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter
 
-from lectern.llm import batches
+import pytest
+
+from lectern.llm import batches, near_duplicates
 from lectern.llm.components import components
 from lectern.llm.near_duplicates import drop_near_duplicates, near_duplicate_classes
 
@@ -53,6 +55,26 @@ def test_equals_brute_force(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [5, 1000])
+def test_families_that_share_buckets(spark, monkeypatch, tile):
+    """Texts about 0.5 to 0.75 alike fill the buckets; linked ones among them are seldom a bucket's leaders."""
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
+    monkeypatch.setattr(near_duplicates, "TILE_ROWS", 300)
+    rng, rows = random.Random(8), []
+    base = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(220)]
+    for k in range(60):
+        text, n = list(base), rng.choice([12, 20, 28])
+        at = rng.randrange(len(base) - n)
+        text[at : at + n] = [f"w{k}x{i}" for i in range(n)]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(k % 3):
+            for _ in range(rng.choice([1, 2, 3])):
+                text[rng.randrange(len(text))] = "edited%d" % rng.randrange(10**6)
+            rows.append((len(rows), " ".join(text)))
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = make(random.Random(4), 10)
     rows = [(d, t, "x") for d, t in [*rows, rows[0]]]
