@@ -5,7 +5,8 @@ tags and classes are one node.  A node's presentation importance is the entropy
 children's arrangement over the pages that have it, and its content importance is one
 less the mean entropy of its blocks of text: a block that every page repeats tells
 nothing.  Both are to the base of the number of pages; they are combined as in site
-style trees (Yi, Liu and Li, 2003).  Branches of low importance are noise and go.
+style trees (Yi, Liu and Li, 2003).  Branches whose nodes are all of low importance are
+noise and go.  Pages of equal main text count once, and named noise doesn't count.
 
 What a site's author names as navigation, advert, form and so on goes by its name, on
 hosts with few pages too.  Where a page marks its article, what stands outside goes,
@@ -222,30 +223,39 @@ def _host_column(url: str):
     return F.when(host != "", F.lower(host))
 
 
+def _page_key(page: Page) -> int:
+    """Equal for pages whose articles, or whole texts where none is marked, are equal."""
+    counted = [b for b in page.blocks if not b[0].noise]
+    return _hash("page", *(t for _, t in [b for b in counted if b[0].in_article] or counted))
+
+
 def describe_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """One row for each node of each page that has a host: its arrangement of children (kind s), and its distinct blocks of text (kind t)."""
+    """One row for each node of each page that has a host: its arrangement of children (kind s), and its distinct blocks of text (kind t). Equal pages of a host are one."""
+    node = pa.struct([("path", pa.int64()), ("above", pa.list_(pa.int64())), ("kind", pa.string()), ("value", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for host, text in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            hosts, keys, nodes = batch["host"].to_pylist(), [], []
+            for text in batch["html"].to_pylist():
                 page = parse(text or "")
-                own = {e.path: e for e in page.elements}
+                judged = [e for e in page.elements if not e.noise and not e.in_article]
+                own = {e.path: e for e in judged}
                 styles: dict[int, list[str]] = {}
-                for e in page.elements:
+                for e in judged:
                     styles.setdefault(e.path, []).append(" ".join(k for i, k in enumerate(e.children) if i == 0 or k != e.children[i - 1]))
-                rows += [(host, p, list(own[p].above), "s", _hash(*s)) for p, s in styles.items() if not own[p].in_article]
-                rows += [(host, p, None, "t", h) for p, h in {(e.path, _hash(t)) for e, t in page.blocks if not e.in_article}]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "above", "kind", "value"])
+                rows = [(p, list(own[p].above), "s", _hash(*s)) for p, s in styles.items()]
+                rows += [(p, None, "t", h) for p, h in {(e.path, _hash(t)) for e, t in page.blocks if not e.noise and not e.in_article}]
+                keys.append(_page_key(page))
+                nodes.append([dict(zip(("path", "above", "kind", "value"), r, strict=True)) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(node))], names=["host", "page", "nodes"])
 
     source = pages.select(_host_column(url_col).alias("host"), F.col(html_col).alias("html")).where("host is not null")
-    return source.mapInArrow(apply, "host string, path bigint, above array<bigint>, kind string, value bigint")
+    once = source.mapInArrow(apply, "host string, page bigint, nodes array<struct<path: bigint, above: array<bigint>, kind: string, value: bigint>>").groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    return once.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
 
 
 def node_importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every node of the hosts' style trees."""
+    """(host, path, above, pages, importance) of every node of the hosts' style trees."""
     counted = B.checkpoint(nodes.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above")))
     styles = counted.where("kind = 's'")
     pages = styles.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("above").alias("above"))
@@ -258,7 +268,7 @@ def node_importance(nodes: DataFrame) -> DataFrame:
     below = pages.join(own, ["host", "path"]).select("host", F.explode("above").alias("path"), "blocks", "repeated").groupBy("host", "path").agg(F.sum("blocks").alias("blocks"), F.sum("repeated").alias("repeated"))
     share = F.pow(F.lit(DECAY), F.col("styles"))
     content = 1 - F.col("repeated") / F.col("blocks")
-    return pages.join(below, ["host", "path"]).select("host", "path", "pages", ((1 - share) * F.col("presentation") + share * content).alias("importance"))
+    return pages.join(below, ["host", "path"]).select("host", "path", "above", "pages", ((1 - share) * F.col("presentation") + share * content).alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
@@ -269,7 +279,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     other.  Other columns are left out.
     """
     tree = node_importance(describe_nodes(pages, url_col, html_col))
-    low = B.checkpoint(tree.where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).groupBy("host").agg(F.collect_set("path").alias("low")))
+    tree = B.checkpoint(tree.withColumn("low", (F.col("pages") >= least_pages) & (F.col("importance") < least_importance)))
+    kept = tree.where(~F.col("low")).select("host", F.explode("above").alias("path")).distinct()  # a branch goes only if all of it is low
+    low = B.checkpoint(tree.where("low").join(kept, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("low")))
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), _host_column(url_col).alias("host"))
     size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0]
     if size <= BROADCAST_ROWS:

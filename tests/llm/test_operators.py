@@ -204,6 +204,19 @@ def test_main_text(spark):
     assert site_style.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def main_texts(spark, htmls, host="http://s.org/"):
+    pages = [(i, f"{host}{i}", h) for i, h in enumerate(htmls)]
+    return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_low_branches_with_own_text_stay(spark):
+    menu = "".join(f"<li>Item {k}</li>" for k in range(5))
+    got = main_texts(spark, [f"<html><body><div class=box><ul>{menu}</ul></div><div class=t><p>Own words {i}</p></div></body></html>" for i in range(8)])
+    assert got == {i: f"Own words {i}" for i in range(8)}
+    texts = ["The same page"] * 85 + [f"Own words {i}" for i in range(15)]
+    assert main_texts(spark, [f"<body><div><p>{t}</p></div></body>" for t in texts]) == dict(enumerate(texts))
+
+
 @pytest.mark.parametrize("size", [50, 4 << 20])
 def test_batches_hold_every_row(spark, monkeypatch, size):
     monkeypatch.setattr(batches, "BATCH_BYTES", size)
