@@ -9,8 +9,8 @@ style trees (Yi, Liu and Li, 2003).  Branches whose nodes are all of low importa
 noise and go.  Pages of equal main text count once, and named noise doesn't count.
 
 What a site's author names as navigation, advert, form and so on goes by its name, on
-hosts with few pages too.  Where a page marks its article, what stands outside goes,
-and what stands inside is never judged by how often it is repeated: copies of an
+hosts with few pages too.  Where a page marks its article, what stands outside goes;
+what stands inside is judged like the rest.  As equal articles count once, copies of an
 article are still articles.
 """
 
@@ -199,7 +199,7 @@ def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
     """The blocks that stand in no noise and in no branch of low importance, one a line."""
 
     def kept(e: Element) -> bool:
-        return not e.noise and not (not e.in_article and any(p in low for p in e.above))
+        return not e.noise and not any(p in low for p in e.above)
 
     def menu(e: Element | None) -> bool:
         while e is not None and e.tag not in ("article", "main", "body", "html", "#page"):
@@ -208,8 +208,8 @@ def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
             e = e.parent
         return False
 
-    inside = [b for b in page.blocks if b[0].in_article and kept(b[0])]
-    chosen = inside or [b for b in page.blocks if kept(b[0])]
+    inside = [b for b in page.blocks if b[0].in_article and not b[0].noise]
+    chosen = [b for b in inside or page.blocks if kept(b[0])]
     return "\n".join(text for e, text in chosen if not menu(e))
 
 
@@ -238,13 +238,13 @@ def describe_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
             hosts, keys, nodes = batch["host"].to_pylist(), [], []
             for text in batch["html"].to_pylist():
                 page = parse(text or "")
-                judged = [e for e in page.elements if not e.noise and not e.in_article]
+                judged = [e for e in page.elements if not e.noise]
                 own = {e.path: e for e in judged}
                 styles: dict[int, list[str]] = {}
                 for e in judged:
                     styles.setdefault(e.path, []).append(" ".join(k for i, k in enumerate(e.children) if i == 0 or k != e.children[i - 1]))
                 rows = [(p, list(own[p].above), "s", _hash(*s)) for p, s in styles.items()]
-                rows += [(p, None, "t", h) for p, h in {(e.path, _hash(t)) for e, t in page.blocks if not e.noise and not e.in_article}]
+                rows += [(p, None, "t", h) for p, h in {(e.path, _hash(t)) for e, t in page.blocks if not e.noise}]
                 keys.append(_page_key(page))
                 nodes.append([dict(zip(("path", "above", "kind", "value"), r, strict=True)) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(node))], names=["host", "page", "nodes"])

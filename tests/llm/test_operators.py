@@ -217,6 +217,13 @@ def test_low_branches_with_own_text_stay(spark):
     assert main_texts(spark, [f"<body><div><p>{t}</p></div></body>" for t in texts]) == dict(enumerate(texts))
 
 
+def test_repeated_blocks_inside_articles_go(spark):
+    page = "<body><article><p>{}</p><div class=zz>Same notice on each page</div></article></body>"
+    assert main_texts(spark, [page.format(f"Own words {i}") for i in range(8)]) == {i: f"Own words {i}" for i in range(8)}
+    copies = main_texts(spark, [f"<body><div>{i}</div><article><p>A copied text</p></article></body>" for i in range(9)])
+    assert set(copies.values()) == {"A copied text"}
+
+
 @pytest.mark.parametrize("size", [50, 4 << 20])
 def test_batches_hold_every_row(spark, monkeypatch, size):
     monkeypatch.setattr(batches, "BATCH_BYTES", size)
