@@ -8,8 +8,9 @@ nothing.  Both are to the base of the number of pages; they are combined as in s
 style trees (Yi, Liu and Li, 2003).  Branches whose nodes are all of low importance are
 noise and go.  Pages of equal main text count once, and named noise doesn't count.
 
-What a site's author names as navigation, advert, form and so on goes by its name, on
-hosts with few pages too.  Where a page marks its article, what stands outside goes;
+What a site's author names as navigation, advert, form and so on goes by its name (a
+whole class, id or role), on hosts with few pages too, unless that branch holds the
+page's only article or, where none is marked, most of its text.  Where a page marks its article, what stands outside goes;
 what stands inside is judged like the rest.  As equal articles count once, copies of an
 article are still articles.
 """
@@ -63,6 +64,7 @@ class Element:
     children: list[str] = field(default_factory=list)
     in_article: bool = False
     noise: bool = False
+    says: Opening | None = None
     links: int = 0
     link_chars: int = 0
     chars: int = 0
@@ -85,6 +87,7 @@ class Opening:
     key: str
     article: bool
     noise: bool
+    named: bool
     header: bool
 
 
@@ -92,26 +95,59 @@ class Opening:
 def opening(tag: str, written: str) -> Opening:
     attributes = _attributes(written) if written.strip() else {}
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop"))
-    names = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
+    names = frozenset(named.lower().split())
     article = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "").lower()))
     header = (tag == "header" or bool(names & HEADER_NAMES)) and not article and tag not in ("h1", "h2", "h3")
-    noise = tag in NOISE_TAGS or tag not in ("html", "body") and (bool(names & NOISE_NAMES) or hidden)
-    return Opening(f"{tag}.{' '.join(sorted(set(attributes.get('class', '').split())))}", article, noise, header)
+    noise = tag in NOISE_TAGS and tag != "form" or tag not in ("html", "body") and hidden
+    by_name = tag == "form" or tag not in ("html", "body") and bool(names & NOISE_NAMES)
+    return Opening(f"{tag}.{' '.join(sorted(set(attributes.get('class', '').split())))}", article, noise, by_name, header)
 
 
 def _element(tag: str, written: str, parent: Element | None) -> Element:
     says = opening(tag, written)
     path = _hash(parent.path if parent else 0, says.key)
-    out = Element(tag, path, parent, (*(parent.above if parent else ()), path))
-    within = parent is not None and parent.in_article
-    out.noise = bool(parent and parent.noise) or says.noise or says.header and not within and tag not in ("html", "body")
-    out.in_article = within or says.article and not out.noise
+    out = Element(tag, path, parent, (*(parent.above if parent else ()), path), says=says)
     if parent:
         parent.children.append(says.key)
     return out
 
 
+def _mark(page: Page) -> Page:
+    """Sets what is noise and what stands in an article."""
+
+    def mark(spared: frozenset[int]) -> None:
+        for e in page.elements:  # parents come first
+            up, says = e.parent, e.says
+            within = up is not None and up.in_article
+            by_name = says.named or says.header and not within and e.tag not in ("html", "body")
+            e.noise = bool(up and up.noise) or says.noise or by_name and id(e) not in spared
+            e.in_article = within or says.article and not e.noise
+
+    mark(frozenset())
+    if any(e.in_article and not e.noise for e, _ in page.blocks):
+        return page
+    strict: set[int] = set()
+    for e in page.elements:
+        if e.says.noise or id(e.parent) in strict:
+            strict.add(id(e))
+    open_blocks = [(e, len(t)) for e, t in page.blocks if id(e) not in strict]
+    chars: dict[int, int] = {}
+    articles: set[int] = set()
+    for owner, n in open_blocks:
+        e, held = owner, False
+        while e is not None:
+            held = held or e.says.article
+            chars[id(e)] = chars.get(id(e), 0) + n
+            if held:
+                articles.add(id(e))
+            e = e.parent
+    most = sum(n for _, n in open_blocks) / 2
+    spared = articles or {k for k, n in chars.items() if n > most}
+    mark(frozenset(spared))
+    return page
+
+
 def parse(text: str) -> Page:
     """The elements of a page and its blocks of text, in order. Markup that is broken off or badly nested is read as far as it goes."""
     root = _element("#page", "", None)
@@ -192,7 +228,7 @@ def parse(text: str) -> Page:
             for e in stack:
                 e.links += 1
     flush()
-    return Page(elements, blocks)
+    return _mark(Page(elements, blocks))
 
 
 def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
@@ -210,7 +246,7 @@ def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
 
     inside = [b for b in page.blocks if b[0].in_article and not b[0].noise]
     chosen = [b for b in inside or page.blocks if kept(b[0])]
-    return "\n".join(text for e, text in chosen if not menu(e))
+    return "\n".join(text for e, text in chosen if e.in_article or not menu(e))
 
 
 def _host(url: str | None) -> str | None:

@@ -224,6 +224,17 @@ def test_repeated_blocks_inside_articles_go(spark):
     assert set(copies.values()) == {"A copied text"}
 
 
+def test_names_spare_what_holds_the_text():
+    text = lambda html: site_style.main_text(site_style.parse(html))
+    for html in ("<div class='content has-sidebar'>{}</div>", "<main class='with-sidebar'>{}</main>", "<article class='post comments-open'>{}</article>", "<form>{}</form>", "<div class=widget><article>{}</article></div>", "<main class=widget>{}</main>"):
+        assert text(html.format("<p>The words</p>")) == "The words"
+    links = "".join(f"<li><a href=#>Source {k}</a></li>" for k in range(4))
+    assert text(f"<article><p>The words</p><ul>{links}</ul></article>") == "The words\n" + "\n".join(f"Source {k}" for k in range(4))
+    assert text(f"<div><p>The words</p><ul>{links}</ul></div>") == "The words"
+    assert text("<article>Short</article><div class=comments><article class=comment>A longer reply</article></div>") == "Short"
+    assert text("<article>The words<form>Send</form><div class='share'>Share</div></article>") == "The words"
+
+
 @pytest.mark.parametrize("size", [50, 4 << 20])
 def test_batches_hold_every_row(spark, monkeypatch, size):
     monkeypatch.setattr(batches, "BATCH_BYTES", size)
