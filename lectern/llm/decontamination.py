@@ -4,7 +4,8 @@ An item of n words may differ from a passage by k = floor(max_errors * n) insert
 dropped or changed words.  It is cut into k + 1 pieces, so that one of them stays
 unchanged in any such passage: exact hits of pieces are candidates, and Myers'
 bit-parallel algorithm gives the least distance between the whole item and any passage
-around a hit.  Words are lower-cased runs of letters and digits.
+around a hit.  Words are lower-cased runs of
+letters and digits; in scripts without spaces each letter is a word.
 
 The items are a stated query set: they are taken in blocks of bounded size, each of
 which is sent to all tasks and held against all documents where these lie.
@@ -20,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.words import NOT_ALNUM, words
+from lectern.llm.words import NOT_ALNUM, spaced, words
 
 MAX_ERRORS, MIN_WORDS = 0.1, 5
 #: Of items sent to every task at once.
@@ -60,7 +61,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], max_errors: float, min_words: int):
         self.ids = [r[0] for r in rows]
-        found = words([(r[1] or "").lower() for r in rows], NOT_ALNUM)
+        found = words([spaced((r[1] or "").lower()) for r in rows], NOT_ALNUM)
         self.words, self.errors, self.pieces = [], [], {}
         longest = 0
         for i in range(len(rows)):
@@ -89,7 +90,7 @@ class Items:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, errors, word after the passage) of each text and item that match, at its first best place."""
-        found = words([(t or "").lower() for t in texts], NOT_ALNUM)
+        found = words([spaced((t or "").lower()) for t in texts], NOT_ALNUM)
         left, hits = found.left(), {}
         for size, table in self.by_hash.items():
             hashes = _windows(found, size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,9 @@ SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: Anything that is neither an ASCII letter or digit nor part of a longer UTF-8 letter.
 NOT_ALNUM = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 
+#: Scripts written without spaces: Thai to Myanmar, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
 _SEGMENT = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -95,6 +99,36 @@ def words(texts: list[str | None], gaps: np.ndarray = SPACE) -> Words:
     return Words(data, start, end, hashes, np.repeat(np.arange(len(parts)), np.diff(first)), first)
 
 
+class _Spaced(dict):
+    """Of each code point: itself in letters, digits and marks, between spaces in unspaced scripts, else a space."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if code < 128:
+            out = c
+        elif unicodedata.category(c)[0] not in "LNM":
+            out = " "
+        else:
+            out = f" {c} " if any(a <= code <= b for a, b in UNSPACED) else c
+        self[code] = out
+        return out
+
+
+_SPACED = _Spaced()
+
+
+def spaced(text: str) -> str:
+    """The text with spaces for all beyond ASCII that is no letter, digit or mark, and around each letter of unspaced scripts."""
+    if text.isascii():
+        return text
+    other = [c for c in set(text) if _SPACED[ord(c)] != c]
+    if len(other) > 20:
+        return text.translate(_SPACED)
+    for c in other:
+        text = text.replace(c, _SPACED[ord(c)])
+    return text
+
+
 def any_of(flag: np.ndarray, size: int) -> np.ndarray:
     """For each place, how many of the `size` flags from it on are set."""
     total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])

@@ -148,6 +148,13 @@ def test_decontamination(spark, monkeypatch):
     assert {r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
+def test_decontamination_beyond_ascii(spark):
+    items = [(1, "the cat sat on a mat"), (2, "one two three four five six seven eight nine ten"), (3, "敏捷的棕色狐狸跳过了懒狗"), (4, "où était l'élève ce matin")]
+    docs = [(1, "He said: “The cat sat—on\u00a0a mat” and…left"), (2, "«one two three…four five six seven eight» nine, ten’"), (3, "他说敏捷的棕色狐狸跳过了懒狗。"), (4, "“Où était l’élève ce matin”"), (5, "the “cat” sat on two mats 敏捷的棕色")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_errors) for r in decontamination.find_contamination(df, bench).collect()} == {(k, k, 0) for k in range(1, 5)}
+
+
 def test_language(spark):
     texts = {"en": "the cat and the dog of this house with that man", "de": "der hund und die katze nicht für eine haus ist", "fr": "le chat et la chienne dans une maison pour les"}
     rng = random.Random(6)
