@@ -412,7 +412,7 @@ def _turn_fragments(s, d) -> DataFrame:
 
 @query()
 def match_anchor(s, d):
-    clips = _turns(s, d).where("seg_idx % 3 = 0").select("book_id", "chapter_no", F.concat_ws("-", "book_id", "seg_idx").alias("clip_id"), F.substring("text", 5, 60).alias("text"), F.col("start").alias("clip_start"), F.lit(0.0).alias("first_start"))
+    clips = _turns(s, d).select("book_id", "chapter_no", F.concat_ws("-", "book_id", "seg_idx").alias("clip_id"), "text", F.col("start").alias("clip_start"), F.lit(0.0).alias("first_start"))
     return M.match_anchor(clips, _turn_fragments(s, d))
 
 

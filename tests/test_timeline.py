@@ -56,6 +56,21 @@ def test_anchor_match_and_times(spark):
     assert timed[0].begin == 10.0 and timed[-1].end == 20.0 and {r.status for r in timed} == {"matched"}
 
 
+def test_every_whole_turn_is_a_clip(spark, tmp_path):
+    from lectern.plans import queries as Q
+
+    turns = [(1, 0, "user", "Tell me. How did the empire fall?"), (1, 1, "assistant", "Slowly, and at great expense."), (1, 2, "user", "Tell me. How did it end?"), (1, 3, "user", ""), (2, 0, "user", "Go on"), (2, 1, "user", "!!")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.clip_id: (r.text, r.frag_idx) for r in Q.match_anchor(spark, str(tmp_path)).collect()}
+    frag = Q._turn_fragments(spark, str(tmp_path)).collect()
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {}
+    for conv, turn, _, text in turns:
+        held = [f.frag_idx for f in frag if f.book_id == conv and norm(f.text) and norm(text) and (norm(f.text) in norm(text) or norm(text) in norm(f.text))]
+        want[f"{conv}-{turn}"] = (text, min(held, default=None))
+    assert got == want
+
+
 def test_sources_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
