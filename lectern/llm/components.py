@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import checkpoint
+from lectern.llm.batches import checkpoint, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node points to its least neighbour or itself, pointers are doubled
     until they end at roots, and links are drawn anew between these.  Every round halves
     the nodes at least, and doublings are as many as the logarithm of the longest chain.
-    All state stays in tables.
+    All state stays in tables; a root that most nodes point to is no hot key, as nodes
+    look up their pointers by groups.
     """
     edges = checkpoint(links.select("a", "b").where("a <> b").distinct())
     roots = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
@@ -24,9 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         point, moved = checkpoint(point), True
         while moved:
             up = point.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-            point = checkpoint(point.join(up, "p").select("n", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            doubled = spread_join(point, up, ["p"], F.col("n"))
+            point = checkpoint(doubled.select("n", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
             moved = not point.where("moved").isEmpty()
-        roots = checkpoint(roots.join(point, roots.root == point.n, "left").select("node", F.coalesce("p", "root").alias("root")))
+        after = point.select(F.col("n").alias("root"), F.col("p").alias("next"))
+        roots = checkpoint(spread_join(roots, after, ["root"], F.col("node"), "left").select("node", F.coalesce("next", "root").alias("root")))
         left, right = point.select(F.col("n").alias("a"), F.col("p").alias("pa")), point.select(F.col("n").alias("b"), F.col("p").alias("pb"))
-        edges = checkpoint(edges.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
+        drawn = spread_join(spread_join(edges, left, ["a"], F.col("b")), right, ["b"], F.col("a"))
+        edges = checkpoint(drawn.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct())
     return roots

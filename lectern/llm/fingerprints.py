@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.token_files import shared_folder
+from lectern.llm.batches import shared_folder
 
 LEAST, USUAL, MOST = 16, 40, 160
 _WINDOW_STEPS = 4  # doublings: 16 bytes

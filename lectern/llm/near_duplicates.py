@@ -4,16 +4,16 @@
 2. Improved consistent weighted sampling (Ioffe, 2010): each of `bands * rows`
    samples picks one weighted shingle; two documents pick the same one with a
    probability equal to their weighted Jaccard similarity.
-3. Texts that agree on all samples of a band are candidates.  In each band's bucket
-   every text is compared with one leader, and the leader differs from band to band.
-4. Links are verified on the exact weight vectors; linked texts form classes.
-5. In buckets whose texts still are in different classes, all pairs of different
-   classes are compared: first by their samples and total weights, in tiles of
-   bounded size, then exactly.
+3. Texts that agree on all samples of a band share a bucket.  Every text of a bucket
+   is compared exactly with one leader, and the leader differs from band to band; so
+   groups of copies, however large, become one class by as many comparisons as texts.
+4. In buckets whose texts still are in different classes, all pairs of different
+   classes are compared by their samples, in tiles of bounded size.  The texts that
+   have such a pair go to the tile, which compares them exactly, all at once.
 
 So any two texts that share a bucket are in one class at the end, or were compared.
-A pair's samples must agree in half of all: a pair at the threshold fails that with
-a probability under 0.0002.  The weights never rule out a pair of the threshold.
+A pair at 0.8 shares a bucket with a probability of 0.9992; its samples must agree in
+half of all, which it fails with a probability under 0.0002.
 
 The weight of a shingle is (1 + ln tf) * (1 + spread * ln((N + 1) / (df + 1)) / ln(N + 1)).
 With a plain idf the shingles that a thousand near copies share would weigh a third
@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,11 @@ from lectern.llm.components import components
 from lectern.llm.words import Words, mix, words
 
 SIZE, THRESHOLD, BANDS, ROWS, SPREAD = 5, 0.8, 10, 3, 0.1
-#: Members in one verification task.
-BLOCK = 200
-#: Of a bucket's members whose pairs are compared by samples at once, and rows in one task of that.
-TILE, TILE_ROWS = 1000, 20_000
-SIGNATURES = "id long, digest binary, batch int, copy int, bands array<bigint>, sketch binary"
-REQUESTS = f"{B.PACKED}, a binary, part int, digest binary"
+#: Members of a bucket in one verification task, and batches whose members have a leader of their own.
+BLOCK, LEADER_BATCHES = 200, 512
+#: Texts, and bytes of their weight vectors, in one block of a bucket (two are a tile); rows, or bytes, in one task of tiles; shingles held against all texts at once.
+TILE, TILE_BYTES, TASK_ROWS, TASK_BYTES, COLUMNS = 1000, 4 << 20, 20_000, 8 << 20, 1024
+SIGNATURES = "id long, digest binary, batch int, copy int, bands array<bigint>, sketch binary, size int"
 
 
 def _digest(text: str | None) -> bytes:
@@ -111,45 +111,90 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
     return least / (float(w1.sum()) + float(w2.sum()) - least)
 
 
+def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(vector) // 12
+    return np.frombuffer(vector, np.uint64, n), np.frombuffer(vector, np.float32, n, 8 * n)
+
+
+def overlaps(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of the lesser weights of each two vectors, by matrix products over the shingles that several of them have.
+
+    Of a shingle with weights v1 < v2 < ..., the lesser of two weights is the sum of
+    v1, v2 - v1 ... up to where one of them ends: one column for each step.
+    """
+    m = len(vectors)
+    row = np.repeat(np.arange(m), [len(h) for h, _ in vectors])
+    h, w = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors]).astype(np.float64)
+    order = np.lexsort((w, h))
+    h, w, row = h[order], w[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    count = np.diff(np.append(begin, len(h)))
+    shared = np.repeat(count > 1, count)
+    h, w, row = h[shared], w[shared], row[shared]
+    step = np.ones(len(h), bool)
+    step[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    level = np.cumsum(step) - 1
+    at = np.flatnonzero(step)
+    below = np.zeros(len(at))
+    same = h[at[1:]] == h[at[:-1]]
+    below[1:][same] = w[at[:-1]][same]
+    root = np.sqrt(w[at] - below)
+    base = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]) if len(at) else np.empty(0, bool), np.arange(len(at)), 0))
+    steps = level - base[level] + 1  # each entry fills the columns of its own step and all below
+    entry = np.repeat(np.arange(len(h)), steps)
+    col = level[entry] - (np.arange(len(entry)) - np.repeat(np.cumsum(steps) - steps, steps))
+    by = np.argsort(col, kind="stable")
+    col, rows, out = col[by], row[entry[by]], np.zeros((m, m))
+    for low in range(0, len(at), COLUMNS):
+        x, y = np.searchsorted(col, (low, low + COLUMNS))
+        dense = np.zeros((m, min(COLUMNS, len(at) - low)))
+        dense[rows[x:y], col[x:y] - low] = root[col[x:y]]
+        out += dense @ dense.T
+    return out
+
+
+def links(vectors: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of at least the threshold that are in different classes; of those that join the same two classes, one."""
+    total = np.array([float(w.astype(np.float64).sum()) for _, w in vectors])
+    least = overlaps(vectors)
+    alike = (least >= threshold * (total[:, None] + total[None, :] - least)) & (root[:, None] != root[None, :])
+    i, j = np.nonzero(np.triu(alike, 1))
+    x, y = np.minimum(root[i], root[j]).astype(np.int64), np.maximum(root[i], root[j]).astype(np.int64)
+    _, first = np.unique((x << 32) | y, return_index=True)
+    return list(zip(i[first].tolist(), j[first].tolist(), strict=True))
+
+
+def _add(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.minimum(np.add.reduceat(values.astype(np.int64), begin), (1 << 32) - 1).astype(np.uint32) if len(values) else values
+
+
 class NearDuplicates:
     """The stages over one table; each is a method, so that they can be tested one by one."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, spread: float = SPREAD):
         self.id_col, self.text_col, self.size, self.threshold, self.bands, self.rows, self.spread = id_col, text_col, size, threshold, bands, rows, spread
-        self.n_docs = docs.count()
-        self.docs, n = B.in_batches(docs, text_col, id_col)
+        self.docs, self.n_batches = B.in_batches(docs, text_col, id_col)
         self.narrow = self.docs.select(B.BATCH, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.n_buckets = max(4, n // 3)
+        self.n_docs = docs.count()
+        self.exchange = B.Exchange(self.n_batches, np.dtype(np.uint32), _add, lambda _, total: np.minimum(255, np.round(8 * np.log2(total))))
 
     def document_frequencies(self) -> DataFrame:
         """For each batch and bucket, a code of the document frequency of each of its shingles: 8 log2(df)."""
-        size, n_buckets = self.size, self.n_buckets
+        size, exchange = self.size, self.exchange
 
         def count(batch: int, table: pa.Table) -> pa.Table:
             h, _, _ = shingles(words(B.column(table, "text")), size)
-            distinct, inverse, edges = B.to_buckets(h, n_buckets)
-            df = np.bincount(inverse, minlength=len(distinct)).astype(np.uint32)
-            keys = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            return B.packed_rows(batch, {b: keys[x:y].tobytes() + df[x:y].tobytes() for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x})
-
-        def total(_, payloads: list[bytes]) -> list[bytes]:
-            sizes = [len(p) // 8 for p in payloads]
-            keys = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(payloads, sizes, strict=True)])
-            df = np.concatenate([np.frombuffer(p, np.uint32, n, 4 * n) for p, n in zip(payloads, sizes, strict=True)])
-            order, begin = B.grouped(keys)
-            code = np.minimum(255, np.round(8 * np.log2(np.add.reduceat(df[order].astype(np.int64), begin)))).astype(np.uint8)
-            out = np.empty(len(keys), np.uint8)
-            out[order] = np.repeat(code, np.diff(np.append(begin, len(keys))))
-            return [B.deflate(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
-
-        return B.by_bucket(B.by_batch(self.narrow, count), total)
+            keys, inverse, edges = exchange.split(h)
+            return exchange.pack(batch, keys, np.bincount(inverse, minlength=len(keys)), edges)
+
+        return exchange.answers(B.by_batch(self.narrow, count))
 
     def _vectors(self):
-        size, n_buckets, n_docs, spread = self.size, self.n_buckets, self.n_docs, self.spread
+        size, exchange, n_docs, spread = self.size, self.exchange, self.n_docs, self.spread
 
         def vectors(table: pa.Table, answer: list[bytes]):
             h, doc, tf = shingles(words(B.column(table, "text")), size)
-            _, inverse, _ = B.to_buckets(h, n_buckets)
+            _, inverse, _ = exchange.split(h)
             df = np.exp2(np.concatenate([B.inflate(x, np.uint8) for x in answer]) / 8.0)[inverse] if answer else np.ones(len(h))
             return h, doc, (1 + np.log(tf)) * (1 + spread * np.log((n_docs + 1) / (df + 1)) / np.log(n_docs + 1))
 
@@ -174,106 +219,139 @@ class NearDuplicates:
             for i, d in enumerate(present.tolist()):
                 out_bands[d] = key[i].view(np.int64).tolist()
                 sketch[d] = total[d].astype(np.float32).tobytes() + value[i].astype(np.uint16).tobytes()
-            return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "batch": pa.array([batch] * n, pa.int32()), "copy": pa.array(copy, pa.int32()), "bands": pa.array(out_bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
+            vector_bytes = 12 * np.bincount(doc, minlength=n) + 200
+            return pa.table({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "batch": pa.array([batch] * n, pa.int32()), "copy": pa.array(copy, pa.int32()), "bands": pa.array(out_bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary()), "size": pa.array(np.minimum(vector_bytes, 1 << 30), pa.int32())})
 
         return B.with_answers(self.narrow, frequencies, sign, SIGNATURES)
 
-    def verified(self, pairs: DataFrame, frequencies: DataFrame) -> DataFrame:
-        """`pairs`: (a, a_batch, b, b_batch).  Those of at least the threshold, as (a, b, similarity)."""
-        vectors, threshold = self._vectors(), self.threshold
-        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-        leaders = placed.select(F.col("a_batch").alias(B.BATCH), "a", "part", F.col("a").alias("digest")).distinct()
-        wanted = placed.select(F.col("b_batch").alias(B.BATCH), "a", "part", F.col("b").alias("digest")).union(leaders)
-        none = [F.lit(None).cast("binary").alias("a"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("digest")]
-        asked = frequencies.select(B.BUCKET, B.BATCH, B.PAYLOAD, *none).union(wanted.select(F.lit(-1).alias(B.BUCKET), B.BATCH, F.lit(None).cast("binary").alias(B.PAYLOAD), "a", "part", "digest"))
+    def sent_vectors(self, requests: DataFrame, frequencies: DataFrame) -> DataFrame:
+        """`requests`: (batch, task, part, digest, root).  The weight vector of each wanted text beside what was asked."""
+        vectors = self._vectors()
+        none = [F.lit(None).cast(kind).alias(k) for k, kind in (("task", "binary"), ("part", "int"), ("digest", "binary"), ("root", "binary"))]
+        asked = frequencies.select(B.BUCKET, B.BATCH, B.PAYLOAD, *none).union(requests.select(F.lit(-1).alias(B.BUCKET), F.col("batch").alias(B.BATCH), F.lit(None).cast("binary").alias(B.PAYLOAD), "task", "part", "digest", "root"))
 
         def send(_, table: pa.Table, answers: pa.Table) -> pa.Table:
-            requests = [(a, p, d) for a, p, d in zip(B.column(answers, "a"), B.column(answers, "part"), B.column(answers, "digest"), strict=True) if d is not None]
-            if not requests:
+            asked = answers.filter(pa.compute.is_valid(answers["digest"]))
+            if not asked.num_rows:
                 return empty
             h, doc, weight = vectors(table, [x for x in B.column(answers, B.PAYLOAD) if x is not None])
             where = {_digest(t): i for i, t in enumerate(B.column(table, "text"))}
             edge = np.searchsorted(doc, np.arange(table.num_rows + 1))
-            packed = {}
-            for _, _, d in requests:
+            wanted, packed = B.column(asked, "digest"), {}
+            for d in wanted:
                 if d not in packed:
                     x, y = edge[where[d]], edge[where[d] + 1]
                     packed[d] = h[x:y].tobytes() + weight[x:y].astype(np.float32).tobytes()
-            return pa.table({"a": pa.array([r[0] for r in requests], pa.binary()), "part": pa.array([r[1] for r in requests], pa.int32()), "digest": pa.array([r[2] for r in requests], pa.binary()), "vector": pa.array([packed[r[2]] for r in requests], pa.binary())})
+            return asked.select(["task", "part", "digest", "root"]).append_column("vector", pa.array([packed[d] for d in wanted], pa.binary()))
 
-        empty = pa.schema([("a", pa.binary()), ("part", pa.int32()), ("digest", pa.binary()), ("vector", pa.binary())]).empty_table()
+        empty = pa.schema([("task", pa.binary()), ("part", pa.int32()), ("digest", pa.binary()), ("root", pa.binary()), ("vector", pa.binary())]).empty_table()
+        return B.with_answers(self.narrow, asked, send, "task binary, part int, digest binary, root binary, vector binary")
+
+    def verified(self, pairs: DataFrame, frequencies: DataFrame) -> DataFrame:
+        """`pairs`: (a, a_batch, b, b_batch, parts); the texts compared with `a` are dealt to as many tasks.  Those of at least the threshold, as (a, b)."""
+        threshold = self.threshold
+        none = F.lit(None).cast("binary").alias("root")
+        placed = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        leaders = placed.select(F.col("a_batch").alias("batch"), F.col("a").alias("task"), "part", F.col("a").alias("digest"), none).distinct()
+        requests = placed.select(F.col("b_batch").alias("batch"), F.col("a").alias("task"), "part", F.col("b").alias("digest"), none).union(leaders)
 
         def compare(table: pa.Table) -> pa.Table:
-            a = table["a"][0].as_py()
-            split = lambda v: (np.frombuffer(v, np.uint64, len(v) // 12), np.frombuffer(v, np.float32, len(v) // 12, len(v) // 12 * 8))
+            a = table["task"][0].as_py()
             digests, packed = B.column(table, "digest"), B.column(table, "vector")
-            leader = split(packed[digests.index(a)])
-            found = [(d, s) for d, v in zip(digests, packed, strict=True) if d != a and (s := similarity(*leader, *split(v))) >= threshold]
-            return pa.table({"a": pa.array([a] * len(found), pa.binary()), "b": pa.array([d for d, _ in found], pa.binary()), "similarity": pa.array([s for _, s in found], pa.float64())})
+            leader = _unpacked(packed[digests.index(a)])
+            found = [d for d, v in zip(digests, packed, strict=True) if d != a and similarity(*leader, *_unpacked(v)) >= threshold]
+            return pa.table({"a": pa.array([a] * len(found), pa.binary()), "b": pa.array(found, pa.binary())})
 
-        sent = B.with_answers(self.narrow, asked, send, "a binary, part int, digest binary, vector binary")
-        return sent.groupBy("a", "part").applyInArrow(compare, "a binary, b binary, similarity double")
+        return self.sent_vectors(requests, frequencies).groupBy("task", "part").applyInArrow(compare, "a binary, b binary")
 
-    def _others(self, members: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of a bucket that are in different classes and may reach the threshold, by their sketches.
+    def in_tiles(self, members: DataFrame, sketches: DataFrame, mixed: DataFrame) -> DataFrame:
+        """The texts of buckets with several classes that may reach the threshold with one of another class, by their sketches: (task, digest, batch, size, root).
 
-        A bucket's texts are dealt to blocks of about TILE; each two blocks are a tile, and some tiles are a task.
+        A bucket's texts are dealt to blocks of about TILE_BYTES of vectors; each two
+        blocks are a tile, and some tiles are a task.  A pair counts in the first band
+        that brings it together only.
         """
-        half, threshold, width = self.bands * self.rows / 2, self.threshold, self.bands * self.rows
-        inside = members.join(classes, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "batch", F.coalesce("root", "digest").alias("root"))
-        mixed = inside.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        mixed = mixed.select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-        inside = B.checkpoint(inside.join(mixed, ["band", "key"]))
-        n_tasks = max(1, -(-(inside.agg(F.sum("blocks")).first()[0] or 0) // TILE_ROWS))
+        half, threshold, bands, rows = self.bands * self.rows / 2, self.threshold, self.bands, self.rows
+        width = bands * rows
+        n_tasks = max(1, -(-(mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // TASK_ROWS))
+        inside = members.join(mixed.drop("n"), ["band", "key"])  # both are plain tables, so that Spark splits a hot bucket
         inside = inside.withColumn("block", F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int"))
         tiled = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("tile", F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")))
-        tiled = tiled.select(F.pmod("tile", F.lit(n_tasks)).alias("task"), "tile", "band", "key", "block", (F.col("block") == F.col("other")).alias("own"), "digest", "batch", "root").join(sketches, "digest")
+        tiled = tiled.select(F.pmod("tile", F.lit(n_tasks)).alias("task"), "tile", "band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "batch", "size", "root").join(sketches, "digest")
 
         def alike(table: pa.Table) -> pa.Table:
-            table = table.sort_by([(k, "ascending") for k in ("band", "key", "tile")]).combine_chunks()
+            table = table.sort_by([(k, "ascending") for k in ("band", "key", "low", "high")]).combine_chunks()
             n = table.num_rows
-            band, key, tile, block, own = (table[k].to_numpy() for k in ("band", "key", "tile", "block", "own"))
+            band, key, low, high, block = (table[k].to_numpy() for k in ("band", "key", "low", "high", "block"))
             root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
             sketch = np.frombuffer(b"".join(B.column(table, "sketch")), np.uint8).reshape(n, 4 + 2 * width)
             total, sample = sketch[:, :4].copy().view(np.float32)[:, 0], sketch[:, 4:].copy().view(np.uint16)
-            starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+            keys = np.array(B.column(table, "bands"), np.int64).reshape(n, bands)
+            starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-            found, x, d = [np.empty((0, 2), np.int64)], np.arange(n), 1
+            wanted, x, d = np.zeros(n, bool), np.arange(n), 1
             while len(x := x[x + d < end[x]]):  # each row with the d-th after it
                 y = x + d
-                u = np.flatnonzero((root[x] != root[y]) & (own[x] | (block[x] != block[y])) & (np.minimum(total[x], total[y]) >= (threshold - 1e-4) * np.maximum(total[x], total[y])))
+                u = np.flatnonzero((root[x] != root[y]) & ((low[x] == high[x]) | (block[x] != block[y])) & (np.minimum(total[x], total[y]) >= (threshold - 1e-4) * np.maximum(total[x], total[y])))
                 u = u[(sample[x[u]] == sample[y[u]]).sum(axis=1) >= half]
-                found.append(np.column_stack([x[u], y[u]]))
+                if len(u):
+                    first = (keys[x[u]] == keys[y[u]]).argmax(axis=1)
+                    u = u[first == band[x[u]]]
+                    wanted[x[u]] = wanted[y[u]] = True
                 d += 1
-            left, right = np.concatenate(found).T
-            pick = lambda name, at: table[name].take(pa.array(at))
-            return pa.table({"a": pick("digest", left), "a_batch": pick("batch", left), "b": pick("digest", right), "b_batch": pick("batch", right)})
+            task = [b"".join(t) for t in zip(*([v.to_bytes(8, "little", signed=True) for v in table[k].filter(pa.array(wanted)).to_pylist()] for k in ("band", "key", "low", "high")), strict=True)]
+            return table.filter(pa.array(wanted)).select(["digest", "batch", "size", "root"]).append_column("task", pa.array(task, pa.binary())).select(["task", "digest", "batch", "size", "root"])
+
+        return tiled.groupBy("task").applyInArrow(alike, "task binary, digest binary, batch int, size int, root binary")
 
-        return tiled.groupBy("task").applyInArrow(alike, "a binary, a_batch int, b binary, b_batch int")
+    def linked_in_tiles(self, wanted: DataFrame, frequencies: DataFrame) -> DataFrame:
+        """Exact links between texts of a tile that are in different classes, as (a, b) of these classes."""
+        threshold = self.threshold
+        n_groups = max(1, -(-(wanted.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // TASK_BYTES))
+        vectors = self.sent_vectors(wanted.select("batch", "task", F.lit(0).alias("part"), "digest", "root"), frequencies)
+        rooted = vectors.withColumn("group", F.pmod(F.xxhash64("task"), F.lit(n_groups)).cast("int"))
+
+        def link(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("task", "ascending"), ("digest", "ascending")]).combine_chunks()
+            tasks, names, packed = B.column(table, "task"), B.column(table, "root"), B.column(table, "vector")
+            root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+            edge = [i for i in range(len(tasks) + 1) if i in (0, len(tasks)) or tasks[i] != tasks[i - 1]]
+            found = [(names[x + i], names[x + j]) for x, y in zip(edge[:-1], edge[1:], strict=True) for i, j in links([_unpacked(v) for v in packed[x:y]], root[x:y], threshold)]
+            return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    @staticmethod
-    def _distinct(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "a_batch", "b", "b_batch")).alias("p")).select("p.*")
+        return rooted.groupBy("group").applyInArrow(link, "a binary, b binary")
 
     def classes(self) -> DataFrame:
         """(id, digest, batch, copy, root): one row for each document; root is its class."""
         frequencies = B.checkpoint(self.document_frequencies())
         signed = B.checkpoint(self.signatures(frequencies))
-        texts = signed.groupBy("digest").agg(F.min(F.struct("batch", "bands")).alias("s")).select("digest", "s.*")
-        members = B.checkpoint(texts.select("digest", "batch", F.posexplode("bands").alias("band", "key")))
-        leaders = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("digest", "band").alias("h"), "digest", "batch")).alias("l")).where("n > 1").select("band", "key", F.col("l.digest").alias("a"), F.col("l.batch").alias("a_batch"))
-        pairs = members.join(leaders, ["band", "key"]).where("digest <> a").select("a", "a_batch", F.col("digest").alias("b"), F.col("batch").alias("b_batch"))
-        pairs = B.checkpoint(self._distinct(pairs))
-        links = B.checkpoint(self.verified(pairs, frequencies))
-        found = components(links)
-        sketches = signed.where("sketch <> X''").groupBy("digest").agg(F.min("sketch").alias("sketch"))
-        done = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        more = self._distinct(self._others(members, sketches, found)).withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
-        more = B.checkpoint(more.join(done, ["x", "y"], "left_anti").select("a", "a_batch", "b", "b_batch"))
-        if not more.isEmpty():
-            found = components(links.union(self.verified(more, frequencies)))
-        return signed.join(found, F.col("digest") == F.col("node"), "left").select("id", "digest", "batch", "copy", F.coalesce("root", "digest").alias("root"))
+        texts = signed.groupBy("digest").agg(F.min(F.struct("batch", "bands", "size")).alias("s")).select("digest", "s.*")
+        members = B.checkpoint(texts.select("digest", "batch", "size", F.posexplode("bands").alias("band", "key")))
+        chosen = F.min(F.struct(F.xxhash64("digest", "band").alias("h"), "digest", "batch")).alias("l")
+        chunk = F.floor(F.col("batch") / LEADER_BATCHES).cast("int").alias("chunk")
+        leaders = members.groupBy("band", "key", chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), chosen)
+        leaders = B.checkpoint(leaders.select("band", "key", "chunk", "n", "bytes", "l"))
+        buckets = leaders.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("l").alias("first"), F.count(F.lit(1)).alias("chunks")).where("n > 1")
+        buckets = B.checkpoint(buckets)
+        parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
+        ahead = leaders.where("n > 1").select("band", "key", F.col("chunk").alias("c"), F.col("l.digest").alias("a"), F.col("l.batch").alias("a_batch"), parts)
+        placed = B.checkpoint(members.join(buckets.select("band", "key"), ["band", "key"]).withColumn("c", F.floor(F.col("batch") / LEADER_BATCHES).cast("int")))
+        pairs = placed.join(ahead, ["band", "key", "c"]).where("digest <> a").select("a", "a_batch", F.col("digest").alias("b"), F.col("batch").alias("b_batch"), "parts")
+        tops = buckets.where("chunks > 1").select("band", "key", F.col("first.digest").alias("a"), F.col("first.batch").alias("a_batch"), F.ceil(F.col("chunks") / BLOCK).cast("int").alias("parts"))
+        between = leaders.join(tops, ["band", "key"]).where("l.digest <> a").select("a", "a_batch", F.col("l.digest").alias("b"), F.col("l.batch").alias("b_batch"), "parts")
+        pairs = pairs.union(between).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "a_batch", "b", "b_batch", "parts")).alias("p")).select("p.*")
+        near = B.checkpoint(self.verified(pairs, frequencies))
+        found = components(near)
+        inside = B.checkpoint(placed.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "batch", "size", F.coalesce("root", "digest").alias("root")))
+        mixed = inside.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        mixed = B.checkpoint(mixed.select("band", "key", "n", F.ceil(F.greatest(F.col("bytes") / TILE_BYTES, F.col("n") / TILE)).cast("int").alias("blocks")))
+        sketches = signed.where("sketch <> X''").groupBy("digest").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("digest", "s.*")
+        wanted = B.checkpoint(self.in_tiles(inside, sketches, mixed))
+        rows = B.spread_join(signed, found.withColumnRenamed("node", "digest"), ["digest"], F.col("batch"), "left").select("id", "digest", "batch", "copy", F.coalesce("root", "digest").alias("root"))
+        if wanted.isEmpty():
+            return rows
+        merged = components(self.linked_in_tiles(wanted, frequencies)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        return B.spread_join(rows, merged, ["root"], F.col("batch"), "left").select("id", "digest", "batch", "copy", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -286,7 +364,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = NearDuplicates(docs, id_col, text_col, **options).classes()
     sizes = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "root").select(F.col("id").alias(id_col), "class_id", "class_size")
+    return B.spread_join(rows, sizes, ["root"], F.col("batch")).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

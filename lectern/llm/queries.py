@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import archive, decontamination, fingerprints, language, lengths, near_duplicates, packing, site_style, substrings, token_files
+from lectern.llm.batches import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), token_files.shared_folder(spark, "token-files"))
+    manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), shared_folder(spark, "token-files"))
     return token_files.read_token_files(manifest)
 
 
@@ -54,7 +55,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_files.shared_folder(spark, "archive")
+    folder = shared_folder(spark, "archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
     return archive.read_records(spark, folder)
 

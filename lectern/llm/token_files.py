@@ -34,12 +34,6 @@ MANIFEST = "shard int, ids_path string, index_path string, n_docs bigint, n_ids
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share."""
-    B.checkpoint_ready(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lectern.llm import batches, near_duplicates
@@ -59,7 +60,7 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_families_that_share_buckets(spark, monkeypatch, tile):
     """Texts about 0.5 to 0.75 alike fill the buckets; linked ones among them are seldom a bucket's leaders."""
     monkeypatch.setattr(near_duplicates, "TILE", tile)
-    monkeypatch.setattr(near_duplicates, "TILE_ROWS", 300)
+    monkeypatch.setattr(near_duplicates, "TASK_ROWS", 300)
     rng, rows = random.Random(8), []
     base = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(220)]
     for k in range(60):
@@ -75,6 +76,22 @@ def test_families_that_share_buckets(spark, monkeypatch, tile):
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows)
 
 
+def test_overlaps_and_links():
+    rng = np.random.Generator(np.random.PCG64(1))
+    vectors = []
+    for _ in range(40):
+        h = np.sort(rng.choice(60, rng.integers(0, 50), replace=False).astype(np.uint64))
+        vectors.append((h, rng.choice([0.5, 1.0, 1.7], len(h)).astype(np.float32)))
+    for columns in (7, 1024):
+        near_duplicates.COLUMNS = columns
+        least = near_duplicates.overlaps(vectors)
+        for i, (h1, w1) in enumerate(vectors):
+            for j, (h2, w2) in enumerate(vectors):
+                other = dict(zip(h2.tolist(), w2.tolist(), strict=True))
+                assert abs(least[i, j] - sum(min(w, other.get(h, 0)) for h, w in zip(h1.tolist(), w1.tolist(), strict=True))) < 1e-9 or i == j
+    assert near_duplicates.links(vectors[:1] * 3, np.array([0, 1, 0]), 0.8)[0] == (0, 1)
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = make(random.Random(4), 10)
     rows = [(d, t, "x") for d, t in [*rows, rows[0]]]
