@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +36,10 @@ def length_table(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     that length or more), truncated_tokens (of all documents cut to that length),
     docs_up_to and quantile (share of the documents of that length or less; the least
     n_tokens whose quantile is q or more is the q-quantile), total_docs, total_tokens.
-    Null lengths are left out.  An empty table gives an empty table.
+    Null lengths are left out, length 0 counts like any other.  An empty table gives an
+    empty table.  The sums over blocks are formed in one task, from one row for each
+    BLOCK possible lengths: they are as many as the longest text is long, however many
+    texts there are.
     """
     counts = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs"))
     counts = B.checkpoint(counts)  # read twice below; the texts are encoded once
@@ -50,3 +53,20 @@ def length_table(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     at_least, tokens = F.col("d") + F.col("docs_after"), F.col("t") + F.col("tokens_after")
     up_to = F.col("total_docs") - at_least + F.col("docs")
     return summed.select("n_tokens", "docs", "tokens", at_least.alias("docs_at_least"), tokens.alias("tokens_at_least"), (F.col("total_tokens") - tokens + F.col("n_tokens") * at_least).alias("truncated_tokens"), up_to.alias("docs_up_to"), (up_to / F.col("total_docs")).alias("quantile"), "total_docs", "total_tokens")
+
+
+def answers(table: DataFrame, limits: Sequence[int] = (), quantiles: Sequence[float] = ()) -> DataFrame:
+    """For any context limits and quantiles: (question, asked, answer), from `length_table` alone.
+
+    `truncated_tokens` of all documents cut to a limit, `docs_at_least` it, and the least
+    length that has a share of at least q of the documents at or below it (`quantile`).
+    Of an empty table the counts are 0 and the quantiles null.
+    """
+    n, zero = F.col("n_tokens"), F.lit(0).cast("long")
+    asked = [("truncated_tokens", float(x), F.coalesce(F.sum(F.least(n, F.lit(x)) * F.col("docs")), zero)) for x in limits]
+    asked += [("docs_at_least", float(x), F.coalesce(F.sum(F.when(n >= x, F.col("docs"))), zero)) for x in limits]
+    asked += [("quantile", float(q), F.min(F.when(F.col("quantile") >= q, n))) for q in quantiles]
+    if not asked:
+        raise ValueError("no limits and no quantiles are asked for")
+    row = F.array(*[F.struct(F.lit(name).alias("question"), F.lit(x).alias("asked"), c.cast("long").alias("answer")) for name, x, c in asked])
+    return table.agg(row.alias("rows")).select(F.explode("rows").alias("r")).select("r.*")

@@ -6,11 +6,13 @@ holds for single line ends.  So a text's ids are the ids of its chunks, one afte
 the other; each distinct chunk is
 encoded once per worker.  Texts for which that cut is not certain (runs of
 spaces, white space at a chunk's edge) are cut by the vocabulary's own pattern, and texts with letters beyond the
-common European ones are handed to the library as they are.
+common European ones are handed to the library as they are.  So are texts that may
+hold an added token, and all texts where a tokenizer has another layout than these two.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from unicodedata import is_normalized
 
@@ -31,6 +33,16 @@ _PIECES = {
 _TAIL = ".,!?;:*&$%#()[]\"-"
 
 
+#: How the two layouts normalise and split, as their files say it.
+_LAYOUTS = {
+    "bytes": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+}
+
+
 class _Whole(Exception):
     """The text cannot be cut at its spaces."""
 
@@ -72,9 +84,14 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocabulary_path(name))
-        self.library.encode_special_tokens = True
         self.tokenize = self.library.model.tokenize
-        self.words = self.library.normalizer is not None
+        known = json.loads(self.library.to_str())
+        layout = (known.get("normalizer"), known.get("pre_tokenizer"))
+        self.known = layout in _LAYOUTS.values() and known["model"]["type"] == "BPE"
+        self.words = layout == _LAYOUTS["words"]
+        #: How the added tokens begin; a text without any of these beginnings holds none.
+        self.marks = sorted({t["content"][:2] for t in known.get("added_tokens", [])})
+        self.known &= not any(c.isalpha() for m in self.marks for c in m)
         self.cut = _PIECES["words" if self.words else "bytes"].findall
         self.letters = byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -113,6 +130,8 @@ class Encoder:
         return self._pieces(before + chunk)
 
     def encode(self, text: str) -> bytes:
+        if not self.known or any(m in text for m in self.marks):
+            return self.whole(text)
         first, later, parts = self.first, self.later, []
         try:
             for line in text.split("\n"):
