@@ -8,7 +8,8 @@ around a hit.  Words are lower-cased runs of
 letters and digits; in scripts without spaces each letter is a word.
 
 The items are a stated query set: they are taken in blocks of bounded size, each of
-which is sent to all tasks and held against all documents where these lie.
+which is sent to all tasks and held against all documents where these lie:
+one scan of the documents for each block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.words import NOT_ALNUM, spaced, words
 
-MAX_ERRORS, MIN_WORDS = 0.1, 5
+#: Items of fewer words than STAGE_WORDS are phrases of everyday speech; `drop_contaminated` leaves documents that hold one.
+MAX_ERRORS, MIN_WORDS, STAGE_WORDS = 0.1, 1, 5
 #: Of items sent to every task at once.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _BITS = 22
@@ -143,12 +145,12 @@ def _items(sent: Broadcast, max_errors: float, min_words: int) -> Items:
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Broadcast]:
     """The items in blocks of at most about BLOCK_ITEMS rows and BLOCK_BYTES bytes."""
-    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     n = -(-total["n"] // BLOCK_ITEMS) + (total["b"] or 0) // BLOCK_BYTES
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        rows = sorted((r["id"], r["text"]) for r in block.toLocalIterator())
+        rows = sorted(((r["id"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
             yield items.sparkSession.sparkContext.broadcast(rows)
 
@@ -166,12 +168,14 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_errors: float = MAX_ERRORS, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document and item that match: id, item id, n_errors (least distance in words), end_word (the word after the passage).
 
-    Items with a null id or text, or of fewer than `min_words` words, match nothing; a
-    null or empty document matches nothing.  Rows with a null id are searched like any
-    other; repeated rows give repeated results.  Other columns are left out.
+    Items with a null text or without a word match nothing, those of fewer than ten
+    words match exactly or not at all; a null or empty document matches nothing.  Rows
+    and items with a null id are taken like any other; repeated rows or items give
+    repeated results.  Whole texts of any length are searched.  Other columns are left
+    out, whatever their names.  Without documents or without items there is no row.
     """
     schema = f"`{id_col}` bigint, `{item_id}` bigint, n_errors int, end_word bigint"
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for sent in blocks(items, item_id, item_text):
 
@@ -186,8 +190,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_errors: float = MAX_ERRORS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of `docs` that match no item, with all their columns."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_errors: float = MAX_ERRORS, min_words: int = STAGE_WORDS) -> DataFrame:
+    """The rows of `docs` that match no item of at least `min_words` words, with all their columns, whatever their names.
+
+    Rows with null ids, null or empty texts stay, and so do repeated rows that match
+    nothing.  Without items all rows stay; an empty table gives an empty table.
+    """
     for sent in blocks(items, item_id, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,11 @@ in lexicons; learned transitions tie neighbouring words.  Forward-backward gives
 word's probabilities, also where a text changes its language; a document's language is
 the one with the largest share.
 
-The field is fitted on the driver, on a bounded sample: at most about `per_language`
-documents of each language and `chain_words` words of each.  Chains are joined from
-pieces of several documents, so that transitions between languages are seen.
+The field is fitted on the driver, on a bounded sample: about `per_language` documents
+of each of the `max_languages` most frequent languages, and at most `chars` characters
+of each of them.  Chains of `chain_words` words are joined from pieces of several
+documents, one for each two of the sample, so that transitions are seen.  Prediction
+reads every text whole.
 """
 
 from __future__ import annotations
@@ -25,14 +27,20 @@ from pyspark.sql import functions as F
 from lectern.llm.words import NOT_ALNUM, Words, words
 
 UNKNOWN = "und"
-PER_LANGUAGE, CHAIN_WORDS, CHAINS = 1200, 100, 1200
+PER_LANGUAGE, MAX_LANGUAGES, CHARS, CHAIN_WORDS = 1200, 500, 20_000, 100
 SIZES, DIMENSIONS = (2, 3, 4), 1 << 16
 BLOCK = 64
 _BATCH_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 SEGMENTS = "array<struct<begin: bigint, end: bigint, lang: string>>"
 
 
+def has_letter(text: str | None) -> bool:
+    """Fractions, superscripts and the like are signs of words to `re`, but no letters."""
+    found = _WORD_SIGN.search(text or "")
+    return found is not None and (found[0].isalpha() or any(c.isalpha() for c in text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -142,8 +150,29 @@ def marginals(score: np.ndarray, first: np.ndarray, transitions: np.ndarray) ->
     return out / out.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chains: int = CHAINS, rounds: int = 30, seed: int = 5) -> Model:
-    """A field fitted to labelled texts by gradient steps on the likelihood of joined chains."""
+def expectations(score: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains of equal length, `score` by chain, word and language: each word's probabilities, and the expected number of each transition."""
+    n, length, k = score.shape
+    step = np.exp(transitions - transitions.max())
+    x = np.maximum(np.exp(score - score.max(axis=2, keepdims=True)), 1e-12)
+    alpha, beta = np.empty_like(x), np.ones_like(x)
+    alpha[:, 0] = x[:, 0] / x[:, 0].sum(1, keepdims=True)
+    for t in range(1, length):
+        a = (alpha[:, t - 1] @ step) * x[:, t]
+        alpha[:, t] = a / a.sum(1, keepdims=True)
+    for t in range(length - 2, -1, -1):
+        b = (x[:, t + 1] * beta[:, t + 1]) @ step.T
+        beta[:, t] = b / b.sum(1, keepdims=True)
+    p = alpha * beta
+    pairs = np.zeros((k, k))
+    for t in range(1, length):
+        joint = alpha[:, t - 1, :, None] * step * (x[:, t] * beta[:, t])[:, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    return p / p.sum(2, keepdims=True), pairs
+
+
+def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chains: int | None = None, rounds: int = 30, seed: int = 5) -> Model:
+    """A field fitted to labelled texts by gradient steps on the likelihood of joined chains: unless said otherwise, one for each two texts."""
     languages = sorted(set(langs))
     k = len(languages)
     found = words([t.lower() for t in texts], NOT_ALNUM)
@@ -153,8 +182,9 @@ def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chai
     usable = np.flatnonzero(length > 0)
     if not len(usable) or k == 0:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    chosen, owner, truth = [], [], []
-    for c in range(chains):
+    chains = chains or max(1, len(usable) // 2)
+    chosen, truth = [], []
+    for _ in range(chains):
         room = chain_words
         while room > 0:
             d = int(rng.choice(usable))
@@ -162,10 +192,8 @@ def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chai
             at = int(found.first[d] + rng.integers(0, length[d] - n + 1))
             chosen.append(np.arange(at, at + n))
             truth.append(np.full(n, label[d]))
-            owner.append(np.full(n, c))
             room -= n
     chosen, truth = np.concatenate(chosen), np.concatenate(truth)
-    first = np.searchsorted(np.concatenate(owner), np.arange(chains + 1))
     distinct, which, inverse = np.unique(found.hash[chosen], return_index=True, return_inverse=True)
     which = chosen[which]
     ids, begin = n_grams(found, which)
@@ -179,16 +207,13 @@ def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chai
     weights, lexicon_weights, transitions = np.zeros((DIMENSIONS, k)), np.zeros((k + 1, k)), np.zeros((k, k))
     params = [weights, lexicon_weights, transitions]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    inside = np.ones(len(chosen), bool)
-    inside[first[:-1]] = False
-    after = np.flatnonzero(inside)
+    after = np.flatnonzero(np.arange(len(chosen)) % chain_words)
     observed = np.zeros((k, k))
     np.add.at(observed, (truth[after - 1], truth[after]), 1)
     for r in range(1, rounds + 1):
         score = (np.add.reduceat(weights[ids], begin, axis=0) + lexicon_weights[member]) * has[:, None]
-        own = score[inverse].astype(np.float32)
-        p = marginals(own, first, transitions.astype(np.float32))
-        slope = p.astype(float)
+        p, expected = expectations(score[inverse].reshape(chains, chain_words, k), transitions)
+        slope = p.reshape(-1, k)
         slope[np.arange(len(truth)), truth] -= 1
         by_word = np.zeros((len(distinct), k))
         for j in range(k):
@@ -198,8 +223,6 @@ def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chai
         to_lexicon = np.zeros((k + 1, k))
         np.add.at(to_lexicon, member, by_word)
         to_lexicon[k] = 0
-        pair = p[after - 1][:, :, None] * np.exp(transitions) * p[after][:, None, :]  # neighbours' joint probability, to first order
-        expected = (pair / np.maximum(pair.sum((1, 2), keepdims=True), 1e-30)).sum(0)
         slopes = [to_weights / len(truth) + 1e-6 * weights, to_lexicon / len(truth) + 1e-6 * lexicon_weights, (expected - observed) / len(truth) + 1e-4 * transitions]
         for p_, g, (m, v) in zip(params, slopes, moments, strict=True):
             m += 0.1 * (g - m)
@@ -208,15 +231,23 @@ def fit(texts: list[str], langs: list[str], chain_words: int = CHAIN_WORDS, chai
     return Model(languages, weights.astype(np.float32), lexicon, lexicon_language, lexicon_weights[:k].astype(np.float32), transitions.astype(np.float32))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits a model on about `per_language` documents of each language (all, where there are fewer), chosen by a hash of id and text."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if where is None else where).alias("ok")).where("ok and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | str | None = None, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, chars: int = CHARS) -> Model:
+    """Fits a model on about `per_language` documents of each language (all, where there are fewer), chosen by a hash of id and text.
+
+    Null texts and labels teach nothing; rows with null or repeated ids are taken like
+    any other.  Of texts longer than `chars` a part of that length is read, from a place
+    that depends on their hash.  An empty table gives a model without languages.
+    """
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where).alias("ok")).where("ok and lang is not null")
+    most = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     if not sizes:
         return fit([], [])
     parts = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = sorted((r["text"], r["lang"]) for r in labelled.where(draw < parts[F.col("lang")]).where("text is not null").select(F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - 1500), F.lit(3000)).alias("text"), "lang").toLocalIterator())
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    over = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    part = F.substring("text", (F.pmod(F.xxhash64("text"), over) + 1).cast("int"), F.lit(chars)).alias("text")
+    rows = sorted((r["text"], r["lang"]) for r in labelled.where(draw < parts[F.col("lang")]).where("text is not null").select(part, "lang").toLocalIterator())
     return fit([t for t, _ in rows], [x for _, x in rows])
 
 
@@ -243,7 +274,7 @@ def label(model: Model, texts: list[str | None], with_segments: bool = False) ->
     counts = np.concatenate([[0], np.cumsum(has)])
     for d, t in enumerate(texts):
         x, y = found.first[d], found.first[d + 1]
-        if not t or not _LETTER.search(t) or counts[y] == counts[x]:
+        if counts[y] == counts[x] or not has_letter(t):
             names.append(UNKNOWN)
             shares.append(0.0)
         else:
@@ -264,7 +295,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """id, lang_pred, score of each row, and if asked for the segments of words; `und` and 0 for a text without letters.
 
     A model without languages says `und` of every text.  Rows with null or repeated
-    ids are labelled like any other.  Other columns are left out.
+    ids are labelled like any other; of equal shares the first language counts.  Texts
+    are read whole, whatever their length.  Other columns are left out.  An empty table
+    gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -278,11 +311,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", "segments"][: len(columns)])
 
     schema = f"`{id_col}` bigint, lang_pred string, score double" + f", segments {SEGMENTS}" * with_segments
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(apply, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4) -> DataFrame:
-    """The rows whose text has a language with at least that share of its words; with a model without languages, those that have a letter."""
+    """The rows whose text has a language with at least that share of its words; with a model without languages, those that have a letter.
+
+    All columns stay, whatever their names.  Null texts and those without letters go;
+    null ids and repeated rows are judged like any other.  An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +327,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             keep = []
             for low, high in _slices(texts := batch[text_col].to_pylist()):
                 names, shares, _ = label(sent.value, texts[low:high])
-                keep += [bool(_LETTER.search(t or "")) if not sent.value.languages else n != UNKNOWN and s >= least_score for t, n, s in zip(texts[low:high], names, shares, strict=True)]
+                keep += [has_letter(t) if not sent.value.languages else n != UNKNOWN and s >= least_score for t, n, s in zip(texts[low:high], names, shares, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)
