@@ -6,14 +6,24 @@ record is made again by joining its headers with its payload.  Of pages with equ
 payloads of at least `least_bytes`, the one with the smallest id is a response and the
 others are revisits that refer to it; smaller payloads are all responses.
 
-All steps are column expressions; payloads are shuffled once, when they are stored.
+All steps are column expressions.  Payloads are shuffled once when they are stored and
+once when records are made again; a digest that many pages share is no hot key, as
+pages look up what belongs to it by groups.
 """
 
 from __future__ import annotations
 
+import gzip
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import batches as B
+
 LEAST_BYTES = 100
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,17 +59,18 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     A null html is an empty payload.  A null url gives a record without a target.
     Rows with a null id are records of their own and never referred to, unless no row
     with that payload has an id: then all are responses.  Repeated ids with equal
-    payloads are responses alike.  Other columns are left out.
+    payloads are responses alike; the payload is stored once.  Other columns are left
+    out, whatever their names.  An empty table gives an empty archive.
     """
-    page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
+    page = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))
     keyed = page.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = keyed.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
     refers = F.when((F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    records = keyed.join(first, "payload_digest").withColumn("refers_to", refers)
+    records = B.spread_join(keyed, first, ["payload_digest"], F.struct("page_id", "url")).withColumn("refers_to", refers)
     records.select("page_id", headers(records, date).alias("header"), "payload_digest").write.mode("overwrite").parquet(f"{folder}/records")
-    owners = first.where("first_id is not null").select(F.col("first_id").alias("page_id"))
-    stored = page.join(owners, "page_id", "left_semi").union(page.where("page_id is null")).select(F.sha2("payload", 256).alias("payload_digest"), "payload")
+    stored = page.select(F.sha2("payload", 256).alias("payload_digest"), "payload").dropDuplicates(["payload_digest"])
     stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    B.release(pages.sparkSession)
 
 
 def _value(name: str) -> Column:
@@ -67,12 +78,11 @@ def _value(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_payloads(spark: SparkSession, folder: str, with_bytes: bool = True) -> DataFrame:
+def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """payload_digest, stored_bytes and the payload; bytes that don't have their digest raise an error."""
     stored = spark.read.parquet(f"{folder}/payloads")
     right = F.sha2("payload", 256) == F.col("payload_digest")
-    checked = stored.select("payload_digest", F.when(right, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("long")).alias("stored_bytes"), *(["payload"] if with_bytes else []))
-    return checked if with_bytes else checked.groupBy("payload_digest").agg(F.max("stored_bytes").alias("stored_bytes"))
+    return stored.select("payload_digest", F.when(right, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("long")).alias("stored_bytes"), "payload")
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,14 +95,45 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: headers joined with the verified facts of their payloads."""
-    facts = read_payloads(spark, folder, with_bytes=False)
-    return read_headers(spark, folder).join(facts, "payload_digest").select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: headers joined with the verified facts of their payloads, without the bytes."""
+    facts = read_payloads(spark, folder).select("payload_digest", "stored_bytes")
+    joined = B.spread_join(read_headers(spark, folder), facts, ["payload_digest"], F.col("header"))
+    return joined.select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def rebuild_records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, the payload each record stands for (revisits too), and the record's exact WARC bytes."""
-    payloads = read_payloads(spark, folder).dropDuplicates(["payload_digest"])
-    whole = read_headers(spark, folder).join(payloads, "payload_digest")
+    """page_id, url, record_type, refers_to, the payload each record stands for (revisits too), and the record's exact WARC bytes.
+
+    Headers and payloads are plain tables, so that Spark splits the pages of a digest
+    that many of them share.
+    """
+    whole = read_headers(spark, folder).join(read_payloads(spark, folder).drop("stored_bytes"), "payload_digest")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return whole.select("page_id", "record_type", "payload", F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(END * 2), "UTF-8")).alias("record"))
+    record = F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(END * 2), "UTF-8"))
+    return whole.select("page_id", "url", "record_type", "refers_to", "payload", record.alias("record"))
+
+
+def export_warc(records: DataFrame, folder: str) -> DataFrame:
+    """Writes the records of `rebuild_records` as .warc.gz files, one member for each record, and gives (path, records, bytes) of each file.
+
+    Tasks write under names of their own; only reported files count, so a task that is
+    lost or runs twice leaves an unused file and no wrong data.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, path, n, size = None, "", 0, 0
+        for batch in batches:
+            for record in batch["record"]:
+                if stream is None:
+                    system, root = fs.FileSystem.from_uri(folder)
+                    system.create_dir(root, recursive=True)
+                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                    stream = system.open_output_stream(path.replace(folder, root), compression=None)
+                member = gzip.compress(record.as_py(), 6, mtime=0)
+                stream.write(member)
+                n, size = n + 1, size + len(member)
+        if stream is not None:
+            stream.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    return B.checkpoint(records.select("record").mapInArrow(write, "path string, records bigint, bytes bigint"))

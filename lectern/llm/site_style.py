@@ -4,15 +4,16 @@ The element trees of all pages of one host are merged: elements with equal paths
 tags and classes are one node.  A node's presentation importance is the entropy of its
 children's arrangement over the pages that have it, and its content importance is one
 less the mean entropy of its blocks of text: a block that every page repeats tells
-nothing.  Both are to the base of the number of pages; they are combined as in site
-style trees (Yi, Liu and Li, 2003).  Branches whose nodes are all of low importance are
-noise and go.  Pages of equal main text count once, and named noise doesn't count.
-
-What a site's author names as navigation, advert, form and so on goes by its name (a
-whole class, id or role), on hosts with few pages too, unless that branch holds the
-page's only article or, where none is marked, most of its text.  Where a page marks its article, what stands outside goes;
-what stands inside is judged like the rest.  As equal articles count once, copies of an
-article are still articles.
+nothing.  Both are to the base of the number of pages and `prior` more, so that what few
+pages share counts little; they are combined as in site style trees (Yi, Liu and Li,
+2003).  Branches whose nodes are all of low importance are noise and go, inside marked
+articles and outside.  Pages of equal main text count once, and named noise doesn't.
+
+The tree can't tell a site's menu from its articles on a host of one page, nor adverts
+that change from page to page.  So what a site's author names as navigation, advert,
+form and so on goes by its name too (a whole class, id or role), unless that branch
+holds the page's only article or, where none is marked, most of its text; and where a
+page marks its article, what stands outside goes.
 """
 
 from __future__ import annotations
@@ -30,16 +31,19 @@ from pyspark.sql import functions as F
 
 from lectern.llm import batches as B
 
-LEAST_PAGES, LEAST_IMPORTANCE, DECAY = 6, 0.2, 0.9
+PRIOR, LEAST_IMPORTANCE, DECAY = 3.0, 0.2, 0.9
+#: Open elements at once; deeper ones are read as if they stood there, as browsers do.
+DEPTH = 512
 #: Rows of (host, path) that are sent to every task; beyond, pages are dealt out by host.
 BROADCAST_ROWS, HOST_SALT = 100_000, 32
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+#: What follows = is a value in quotes if they are closed; nothing is read twice (the groups give nothing back).
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that never hold main text.
 NOISE_TAGS = frozenset("head script style noscript template iframe svg math object embed nav footer aside form button select option datalist input dialog menu canvas audio video map".split())
 #: Words of classes, ids and roles that name noise.
@@ -189,8 +193,8 @@ def parse(text: str) -> Page:
             add(text[at:less])
         found = _TAG.match(text, less)
         if found is None:
-            if re.match(r"</?[a-zA-Z]", text[less : less + 3]) and text.find(">", less) < 0:
-                break  # a tag that is broken off
+            if re.match(r"</?[a-zA-Z]", text[less : less + 3]):
+                break  # a tag that is broken off: it has no end up to the page's
             add("<")
             at = less + 1
             continue
@@ -214,8 +218,12 @@ def parse(text: str) -> Page:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == kind or stack[i].tag in HOLDS and stack[i].tag not in CLOSES[tag]), 0)
             if k and stack[k].tag == kind:
                 pop(k)
-        if tag in VOID or found[4]:
+        if tag == "br":
+            add(" ")
+        if tag in VOID or found[3].endswith("/"):
             continue
+        if len(stack) > DEPTH and tag not in RAW:
+            pop(len(stack) - 1)
         element = _element(tag, found[3], stack[-1])
         if tag in RAW:
             end = RAW_END[tag].search(text, at)
@@ -290,16 +298,16 @@ def describe_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return once.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
 
 
-def node_importance(nodes: DataFrame) -> DataFrame:
+def node_importance(nodes: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(host, path, above, pages, importance) of every node of the hosts' style trees."""
     counted = B.checkpoint(nodes.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above")))
     styles = counted.where("kind = 's'")
     pages = styles.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("above").alias("above"))
-    base = F.log("pages")
-    presentation = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), (base - F.col("s") / F.col("pages")) / base)).otherwise(1.0)
+    base = F.log(F.col("pages") + prior)
+    presentation = (base - F.col("s") / F.col("pages")) / base  # entropy log(pages) - s / pages, and what the prior adds
     pages = pages.withColumn("presentation", presentation)
-    blocks = counted.where("kind = 't'").join(pages.select("host", "path", "pages"), ["host", "path"])
-    entropy = F.when(F.col("pages") > 1, F.least(F.lit(1.0), F.log("n") / F.log("pages"))).otherwise(0.0)
+    blocks = B.spread_join(counted.where("kind = 't'"), pages.select("host", "path", "pages"), ["host", "path"], F.col("value"))
+    entropy = F.least(F.lit(1.0), F.log("n") / F.log(F.col("pages") + prior))
     own = blocks.groupBy("host", "path").agg(F.sum("n").alias("blocks"), F.sum(F.col("n") * entropy).alias("repeated"))
     below = pages.join(own, ["host", "path"]).select("host", F.explode("above").alias("path"), "blocks", "repeated").groupBy("host", "path").agg(F.sum("blocks").alias("blocks"), F.sum("repeated").alias("repeated"))
     share = F.pow(F.lit(DECAY), F.col("styles"))
@@ -307,18 +315,21 @@ def node_importance(nodes: DataFrame) -> DataFrame:
     return pages.join(below, ["host", "path"]).select("host", "path", "above", "pages", ((1 - share) * F.col("presentation") + share * content).alias("importance"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", prior: float = PRIOR, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """id, url, text (empty if there is none) and n_chars of each page.
 
     A null html is empty.  Pages whose url is null or has no host are trees of their
     own, in which every node counts.  Rows with null or repeated ids are pages like any
-    other.  Other columns are left out.
+    other; equal pages get equal texts.  Pages are read whole, whatever their length, and
+    those that are broken off as far as they go.  Other columns are left out, whatever
+    their names.  An empty table gives an empty table.
     """
-    tree = node_importance(describe_nodes(pages, url_col, html_col))
-    tree = B.checkpoint(tree.withColumn("low", (F.col("pages") >= least_pages) & (F.col("importance") < least_importance)))
+    pages = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    tree = node_importance(describe_nodes(pages, "url", "html"), prior)
+    tree = B.checkpoint(tree.withColumn("low", F.col("importance") < least_importance))
     kept = tree.where(~F.col("low")).select("host", F.explode("above").alias("path")).distinct()  # a branch goes only if all of it is low
     low = B.checkpoint(tree.where("low").join(kept, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("low")))
-    page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), _host_column(url_col).alias("host"))
+    page = pages.select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), "html", _host_column("url").alias("host"))
     size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0]
     if size <= BROADCAST_ROWS:
         joined = page.join(F.broadcast(low), "host", "left")
