@@ -64,9 +64,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(folder)
     del df
+    release(spark)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that nothing refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(folder)
 
 
 def spread_join(df: DataFrame, table: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
@@ -88,6 +93,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The rows under the names c0, c1 ..., which clash with nothing, and what `columns` are called there."""
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(lower))]), [f"c{lower.index(c.lower())}" for c in columns]
+
+
 def in_batches(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     """The documents with a batch number, and the number of batches: about BATCH_BYTES of text in each.
 
@@ -99,6 +110,19 @@ def in_batches(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
     return docs.withColumn(BATCH, F.pmod(F.xxhash64(key, text, F.lit(7)), F.lit(n)).cast("int")), n
 
 
+def by_ranges(rows: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """The rows in ranges of ascending id, each of about `shard_bytes` of text or less, sorted.
+
+    Null ids come first; equal ids go by a hash of their text and may fill several ranges.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    tie = fresh("tie", rows.columns)
+    tied = rows.withColumn(tie, F.xxhash64(text_col))
+    return tied.repartitionByRange(n, id_col, tie).sortWithinPartitions(id_col, tie, text_col).drop(tie)
+
+
 def column(table: pa.Table, name: str) -> list:
     return table[name].to_pylist()
 

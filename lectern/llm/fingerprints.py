@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm import batches as B
 from lectern.llm.batches import shared_folder
 
 LEAST, USUAL, MOST = 16, 40, 160
@@ -27,6 +28,8 @@ _WINDOW_STEPS = 4  # doublings: 16 bytes
 _STRICT, _LOOSE = np.uint32(0b1111111 << 20), np.uint32(0b11111 << 20)
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BATCH_BYTES = 2 << 20
+#: Of text in one sorted range.
+RANGE_BYTES = 128 << 20
 RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -145,10 +148,11 @@ _KINDS = {"id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(),
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text (its last half replaced by the next document's start), and their likeness.
 
-    Next is by ascending id, after the last the first; equal ids go by text, null ids
-    come first.  A null text is empty.  A single row is its own next.  Other columns
-    are left out.  The texts are sorted by ranges of the id; only the last row of each
-    range waits for the first row of the next.
+    Next is by ascending id, after the last the first; equal ids go by a hash of their
+    text, null ids come first.  A null text is empty.  A single row is its own next.
+    Texts are read whole, whatever their length.  Other columns are left out.  An empty
+    table gives an empty table.  The texts are sorted by ranges of the id; only the last
+    row of each range waits for the first row of the next.
     """
     schema = f"id bigint, {RESULT}, part int, first boolean, last boolean, text string"
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -173,7 +177,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held is not None:
             yield batch_of({"id": [held[0]], "part": [part], "last": [True], "text": [held[1]]}, 1)
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = B.by_ranges(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", RANGE_BYTES)
     folder = shared_folder(docs.sparkSession, "fingerprints")  # compressed there, unlike a checkpoint
     ordered.withColumn("part", F.spark_partition_id()).mapInArrow(apply, schema).write.option("compression", "zstd").parquet(folder)
     rows = docs.sparkSession.read.schema(schema).parquet(folder)

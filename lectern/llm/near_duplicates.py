@@ -368,18 +368,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The row with the least id of each class, and all its columns; of wholly equal rows one."""
-    work = NearDuplicates(docs, id_col, text_col, **options)
+    """The row with the least id of each class, and all its columns, whatever their names.
+
+    Rows with an id go before those without; of rows equal in id and text one stays.
+    Null and empty texts are one class.  An empty table gives an empty table.
+    """
+    plain, (key, text) = B.numbered(docs, id_col, text_col)
+    work = NearDuplicates(plain, key, text, **options)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "copy", "batch")).alias("s")
     keepers = work.classes().groupBy("root").agg(first).select(F.col("s.batch").alias(B.BATCH), F.lit(0).alias(B.BUCKET), F.col("s.id").alias("id"), F.col("s.digest").alias("digest"))
 
     def keep(_, table: pa.Table, answers: pa.Table) -> pa.Table:
         wanted = set(zip(B.column(answers, "id"), B.column(answers, "digest"), strict=True))
         rows = []
-        for i, (d, t) in enumerate(zip(B.column(table, id_col), B.column(table, text_col), strict=True)):
-            if (key := (d, _digest(t))) in wanted:
-                wanted.remove(key)
+        for i, (d, t) in enumerate(zip(B.column(table, key), B.column(table, text), strict=True)):
+            if (found := (d, _digest(t))) in wanted:
+                wanted.remove(found)
                 rows.append(i)
         return table.drop_columns([B.BATCH]).take(pa.array(rows, pa.int64()))
 
-    return B.with_answers(work.docs, keepers, keep, docs.schema)
+    return B.with_answers(work.docs, keepers, keep, plain.schema).toDF(*docs.columns)

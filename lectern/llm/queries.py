@@ -57,7 +57,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
-    return archive.read_records(spark, folder)
+    record = archive.rebuild_records(spark, folder)
+    return record.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 Every document is a reference: its words are cut into non-overlapping blocks of
 `block` words, which are indexed by their hash.  Every rolling window of `block`
 words of every document probes the index.  `window` words (13) always hold a whole
-block of 7, whatever the block's offset, so no shared window is missed.  A hit is
-extended, word by word, while the rolling windows that follow are shared too: to
-runs of at least `window` words, the candidates of maximal exact repeats.  The
-windows in these runs are then settled by 96-bit digests of all their words: each
-gets the smallest doc_id that holds it, and a document loses the words of windows
-which a smaller doc_id holds.
+block of 7 of the reference, whatever the block's offset, so no shared window is missed.
+
+An anchor is a rolling window that hits a block of another document which may come
+earlier, or a document's own block that another document probes which may come later
+(the order of ids is known to the index in 63 steps).  Anchors are extended, word by
+word, while the rolling windows that follow are shared too, to runs of at least
+`window` words: the candidates of maximal exact repeats.  Windows without an anchor
+are out.  The windows in these runs are then settled by 96-bit digests of all their
+words: each gets the smallest doc_id that holds it, and a document loses the words of
+windows which a smaller doc_id holds.
 
 Hits never become pairs of documents: buckets answer with one code for each key.
 """
@@ -27,6 +31,7 @@ from lectern.llm.words import Words, any_of, words
 BLOCK, WINDOW = 7, 13
 OUTPUT = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])), "kept_text": T.StringType()}
 STATE = -1
+DIGEST = np.dtype([("one", "<u8"), ("low", "<u4")])
 
 
 def _ids(table: pa.Table, key: str) -> np.ndarray:
@@ -34,14 +39,66 @@ def _ids(table: pa.Table, key: str) -> np.ndarray:
     return np.array([np.iinfo(np.int64).max if x is None else x for x in B.column(table, key)], np.int64)
 
 
-def _probes(found: Words, known: np.ndarray, block: int, n_buckets: int):
-    """The rolling windows, and their place among the batch's distinct keys."""
-    at = np.flatnonzero((found.left() >= block) & known[found.doc])
-    return at, *B.to_buckets(found.windows(block)[at], n_buckets)
+#: A key's value: whether a block has it, whether several documents have it, whether blocks of several have it, whether several
+#: documents are at its last step; then its last step, and the first step of its blocks (63: none).
+BLOCK_BIT, SEVERAL, BLOCKS, LAST_TWICE, NO_BLOCK = 1, 2, 4, 8, 63
+#: Answers: shared, hits another document's block, own block that another document probes.
+SHARED, HIT, PROBED = 1, 2, 4
+
+
+def _value(flags: np.ndarray, last: np.ndarray, first_block: np.ndarray) -> np.ndarray:
+    return (flags | last << 4 | first_block << 10).astype(np.uint16)
+
+
+def _any(flag: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(flag.astype(np.int64), begin)
+
+
+def _merged(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The value of the documents of several entries together."""
+    if not len(values):
+        return values
+    v, count = values.astype(np.int64), B.repeats(begin, len(values))
+    step = v >> 4 & 63
+    last = np.maximum.reduceat(step, begin)
+    at_last = step == np.repeat(last, count)
+    twice = (np.add.reduceat(at_last.astype(np.int64), begin) > 1) | (_any(at_last & (v & LAST_TWICE > 0), begin) > 0)
+    n_blocks = np.add.reduceat(v & BLOCK_BIT, begin)
+    blocks = (n_blocks > 1) | (_any(v & BLOCKS > 0, begin) > 0)
+    several = (count > 1) | (_any(v & SEVERAL > 0, begin) > 0)
+    return _value((n_blocks > 0) * BLOCK_BIT | several * SEVERAL | blocks * BLOCKS | twice * LAST_TWICE, last, np.minimum.reduceat(v >> 10, begin))
+
+
+def _answer(own: np.ndarray, total: np.ndarray) -> np.ndarray:
+    own, total = own.astype(np.int64), total.astype(np.int64)
+    shared, block = total & SEVERAL > 0, own & BLOCK_BIT > 0
+    hit = shared & np.where(block, total & BLOCKS > 0, total & BLOCK_BIT > 0) & (total >> 10 <= (own >> 4 & 63))
+    last = total >> 4 & 63
+    probed = shared & block & ((last > own >> 10) | (last == own >> 10) & (total & LAST_TWICE > 0))
+    return (shared * SHARED | hit * HIT | probed * PROBED).astype(np.uint8)
+
+
+def _values(inverse: np.ndarray, doc: np.ndarray, step: np.ndarray, aligned: np.ndarray) -> np.ndarray:
+    """Each distinct key's value, from all its places: the document, its step and whether it is a block there. Documents ascend."""
+    order, begin = B.grouped(inverse, stable=True)
+    if not len(order):
+        return np.empty(0, np.uint16)
+    doc, step, aligned = doc[order], step[order], aligned[order]
+    count = B.repeats(begin, len(order))
+    new = np.ones(len(order), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    new[begin] = True
+    last = np.maximum.reduceat(step, begin)
+    twice = np.add.reduceat((new & (step == np.repeat(last, count))).astype(np.int64), begin) > 1
+    none = np.iinfo(np.int64).max
+    low, high = np.minimum.reduceat(np.where(aligned, doc, none), begin), np.maximum.reduceat(np.where(aligned, doc, -1), begin)
+    several = np.add.reduceat(new.astype(np.int64), begin) > 1
+    first_block = np.minimum.reduceat(np.where(aligned, step, NO_BLOCK), begin)
+    return _value((high >= 0) * BLOCK_BIT | several * SEVERAL | (high > low) * BLOCKS | twice * LAST_TWICE, last, first_block)
 
 
 def _candidates(found: Words, at: np.ndarray, n_buckets: int, window: int):
-    """Distinct digests of the windows that begin at `at`: bucket edges, two parts, and each window's place among them."""
+    """Distinct digests of the windows that begin at `at`: bucket edges, the digests, and each window's place among them."""
     one, two = found.windows(window)[at], found.windows(window, salt=24)[at]
     bucket = (two >> np.uint64(32)) % np.uint64(n_buckets)
     low = two & np.uint64(0xFFFFFFFF)
@@ -51,7 +108,9 @@ def _candidates(found: Words, at: np.ndarray, n_buckets: int, window: int):
     inverse = np.empty(len(at), np.int64)
     inverse[order] = np.cumsum(new) - 1
     edges = np.searchsorted(b[new], np.arange(n_buckets + 1, dtype=np.uint64))
-    return edges, o[new], w[new].astype(np.uint32), inverse
+    digests = np.empty(int(new.sum()), DIGEST)
+    digests["one"], digests["low"] = o[new], w[new]
+    return edges, digests, inverse
 
 
 def _least(values: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
@@ -66,94 +125,62 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Words are maximal runs of anything but ASCII white space, unchanged.  A null or
     blank text has no words and an empty kept_text.  Rows with a null id lose
     nothing.  Equal texts under the same id don't cost each other words; equal texts
-    under different ids leave them to the smallest.  Columns of `docs` that have the
-    name of a new column are replaced.  An empty table gives an empty table.
+    under different ids leave them to the smallest.  Texts are read whole, whatever
+    their length.  Columns of `docs` that have the name of a new column are replaced;
+    any other name is free.  An empty table gives an empty table.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block at any offset: window >= 2 * block - 1")
-    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in OUTPUT])
-    kept_fields = list(docs.schema.fields)
-    batched, n = B.in_batches(docs, text_col, id_col)
-    n_buckets = max(4, n // 3)
-
-    def index_and_probe(batch: int, table: pa.Table) -> pa.Table:
-        known = np.array([x is not None for x in B.column(table, id_col)], bool)
-        found = words(B.column(table, text_col))
-        at, distinct, inverse, edges = _probes(found, known, block, n_buckets)
-        order, begin = B.grouped(inverse, stable=True)
-        doc = found.doc[at][order]
-        end = np.append(begin[1:], len(order)) - 1
-        several = doc[begin] != doc[end] if len(order) else np.empty(0, bool)
-        aligned = np.zeros(len(distinct), bool)
-        aligned[inverse[found.place()[at] % block == 0]] = True
-        flags = aligned.astype(np.uint8) | (several.astype(np.uint8) << 1)
-        keys = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return B.packed_rows(batch, {b: keys[x:y].tobytes() + flags[x:y].tobytes() for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x})
-
-    def hits(_, payloads: list[bytes]) -> list[bytes]:
-        sizes = [len(p) // 5 for p in payloads]
-        keys = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(payloads, sizes, strict=True)])
-        flags = np.concatenate([np.frombuffer(p, np.uint8, n, 4 * n) for p, n in zip(payloads, sizes, strict=True)])
-        order, begin = B.grouped(keys)
-        count = np.diff(np.append(begin, len(keys)))
-        every = np.bitwise_or.reduceat(flags[order], begin)
-        code = np.where((count > 1) | (every & 2 > 0), 1 + (every & 1), 0).astype(np.uint8)  # 1: shared, 2: and a block of the index
-        out = np.empty(len(keys), np.uint8)
-        out[order] = np.repeat(code, count)
-        return [B.deflate(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUTPUT])
+    plain, (key, text) = B.numbered(docs, id_col, text_col)
+    kept_fields = list(plain.schema.fields)
+    batched, n = B.in_batches(plain, text, key)
+    ends = plain.agg(F.min(F.col(key).cast("double")).alias("low"), F.max(F.col(key).cast("double")).alias("high")).first()
+    low_id, spread = ends["low"] or 0.0, (ends["high"] or 0.0) - (ends["low"] or 0.0) + 1.0
+    anchors = B.Exchange(n, np.dtype(np.uint16), _merged, _answer)
+    least_ids = B.Exchange(n, np.dtype(np.int64), lambda v, begin: np.minimum.reduceat(v, begin) if len(v) else v, lambda own, total: total < own, DIGEST)
+    nowhere = np.iinfo(np.int64).max
 
     def ordered(table: pa.Table) -> pa.Table:
         """A shuffle may hand over a batch's rows in another order each time; the runs are kept by place."""
-        return table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+        return table.sort_by([(key, "ascending"), (text, "ascending")])
+
+    def probes(table: pa.Table):
+        """The words, the ids, the places of the rolling windows, and each one's place among the batch's distinct keys."""
+        ids, found = _ids(table, key), words(B.column(table, text))
+        at = np.flatnonzero((found.left() >= block) & (ids < nowhere)[found.doc])
+        return (ids, found, at, *anchors.split(found.windows(block)[at]))
+
+    def index_and_probe(batch: int, table: pa.Table) -> pa.Table:
+        ids, found, at, keys, inverse, edges = probes(ordered(table))
+        step = np.clip((ids.astype(np.float64) - low_id) / spread * 63, 0, 62).astype(np.int64)
+        doc = found.doc[at]
+        return anchors.pack(batch, keys, _values(inverse, doc, step[doc], found.place()[at] % block == 0), edges)
 
     def extend(batch: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = ordered(table)
-        ids = _ids(table, id_col)
-        found = words(B.column(table, text_col))
-        at, _, inverse, _ = _probes(found, ids < np.iinfo(np.int64).max, block, n_buckets)
+        ids, found, at, _, inverse, _ = probes(ordered(table))
         code = np.zeros(len(found.hash), np.uint8)
         answer = [B.inflate(x, np.uint8) for x in B.column(answers, B.PAYLOAD)]
         if answer:
             code[at] = np.concatenate(answer)[inverse]
+        anchor = (code & HIT > 0) | (code & PROBED > 0) & (found.place() % block == 0)
         span = window - block + 1
-        run = (any_of(code > 0, span) == span) & (any_of(code > 1, span) > 0) & (found.left() >= window)
+        run = (any_of(code & SHARED > 0, span) == span) & (any_of(anchor, span) > 0) & (found.left() >= window)
         where = np.flatnonzero(run)
-        edges, one, low, inverse = _candidates(found, where, n_buckets, window)
-        least = _least(ids[found.doc[where]], inverse, len(one))
-        rows = {b: one[x:y].tobytes() + low[x:y].tobytes() + least[x:y].tobytes() for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x}
-        return pa.concat_tables([B.packed_rows(batch, rows), B.packed_rows(batch, {STATE - batch % n_buckets: B.deflate(np.packbits(run))})])
-
-    def settle(_, payloads: list[bytes]) -> list[bytes]:
-        sizes = [len(p) // 20 for p in payloads]
-        parts = list(zip(payloads, sizes, strict=True))
-        one = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in parts])
-        low = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in parts])
-        least = np.concatenate([np.frombuffer(p, np.int64, n, 12 * n) for p, n in parts])
-        order = np.lexsort((low, one))
-        o, w = one[order], low[order]
-        begin = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])]))
-        first = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(o))))
-        earlier = np.empty(len(o), np.uint8)
-        earlier[order] = first < least[order]
-        return [B.deflate(x) for x in np.split(earlier, np.cumsum(sizes)[:-1])]
-
-    def settle_or_pass(table: pa.Table) -> pa.Table:
-        bucket = table[B.BUCKET][0].as_py()
-        payloads = B.column(table, B.PAYLOAD)
-        out = payloads if bucket <= STATE else settle(None, payloads)
-        return pa.table({B.BUCKET: table[B.BUCKET], B.BATCH: table[B.BATCH], B.PAYLOAD: pa.array(out, pa.binary())})
+        edges, digests, inverse = _candidates(found, where, least_ids.buckets, window)
+        least = _least(ids[found.doc[where]], inverse, len(digests))
+        return pa.concat_tables([least_ids.pack(batch, digests, least, edges), B.packed_rows(batch, {STATE: B.deflate(np.packbits(run))})])
 
     def remove(_, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
-        ids = _ids(table, id_col)
-        found = words(B.column(table, text_col))
-        by_bucket = dict(zip(B.column(answers, B.BUCKET), B.column(answers, B.PAYLOAD), strict=True))
-        state = next(v for k, v in by_bucket.items() if k <= STATE)
-        run = np.unpackbits(B.inflate(state, np.uint8), count=len(found.hash)).astype(bool)
+        ids = _ids(table, key)
+        found = words(B.column(table, text))
+        payloads = B.column(answers, B.PAYLOAD)  # the runs come first
+        run = np.unpackbits(B.inflate(payloads[0], np.uint8), count=len(found.hash)).astype(bool)
         where = np.flatnonzero(run)
-        _, one, _, inverse = _candidates(found, where, n_buckets, window)
-        least = _least(ids[found.doc[where]], inverse, len(one))
-        answer = [B.inflate(v, np.uint8) for k, v in sorted(by_bucket.items()) if k > STATE]
+        _, digests, inverse = _candidates(found, where, least_ids.buckets, window)
+        least = _least(ids[found.doc[where]], inverse, len(digests))
+        answer = [B.inflate(v, np.uint8) for v in payloads[1:]]
         earlier = np.concatenate(answer).astype(bool) if answer else np.empty(0, bool)
         where = where[earlier[inverse] | (least[inverse] < ids[found.doc[where]])]
         change = np.zeros(len(found.hash) + 1, np.int64)
@@ -180,7 +207,8 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             out = out.append_column(name, pa.array(new[name], kind))
         return out
 
-    answered = B.by_bucket(B.by_batch(batched, index_and_probe), hits)
-    extended = B.with_answers(batched, answered, extend, B.PACKED)
-    settled = extended.groupBy(B.BUCKET).applyInArrow(settle_or_pass, B.PACKED)
-    return B.with_answers(batched, settled, remove, T.StructType([*kept_fields, *(T.StructField(k, v) for k, v in OUTPUT.items())]))
+    answered = anchors.answers(B.by_batch(batched, index_and_probe))
+    extended = B.checkpoint(B.with_answers(batched, answered, extend, B.PACKED))  # read twice
+    settled = least_ids.answers(extended.where(F.col(B.BUCKET) > STATE)).union(extended.where(F.col(B.BUCKET) == STATE))
+    out = B.with_answers(batched, settled, remove, T.StructType([*kept_fields, *(T.StructField(k, v) for k, v in OUTPUT.items())]))
+    return out.toDF(*docs.columns, *OUTPUT)

@@ -4,9 +4,9 @@
 ids: a file of raw little-endian ids (two bytes each where the vocabulary allows, else
 four) and an index file.  The index maps each document id of the shard to its place by
 a minimal perfect hash (hash and displace): a seed for each bucket of keys, and for
-each slot a 32-bit fingerprint of its key, the row of its document and how many rows
-have that id.  So a lookup reads one seed and one slot, whatever the shard's size, and
-an id that is not there is told by its fingerprint.
+each slot a 64-bit fingerprint of its key and where its tokens are.  A lookup reads one
+seed, one slot and the tokens by their offsets, whatever the shard's size; an id that
+is not there is told by its fingerprint.
 
 Tasks write under names of their own and report them; only reported files count, so a
 task that is lost or runs twice leaves an unused file and no wrong data.
@@ -32,6 +32,8 @@ from lectern.llm.words import mix
 MAGIC = b"LECTERN1"
 MANIFEST = "shard int, ids_path string, index_path string, n_docs bigint, n_ids bigint, first_id bigint, last_id bigint"
 _STEP = np.uint64(0xA0761D6478BD642F)
+#: Of text in one shard, and shards that a task of `lookup` holds open.
+SHARD_BYTES, OPEN_SHARDS = 128 << 20, 64
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -73,59 +75,91 @@ class MinimalPerfectHash:
     def slots(self, keys: np.ndarray) -> np.ndarray:
         h = mix(keys.astype(np.uint64) + np.uint64(1))
         seed = self.seeds[(h % np.uint64(len(self.seeds))).astype(np.int64)]
-        hashed = mix(h + (seed.astype(np.uint64) + np.uint64(1)) * _STEP) % np.uint64(self.n)
+        return self.placed(h, seed, self.n)
+
+    @staticmethod
+    def placed(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+        hashed = mix(h + (seed.astype(np.uint64) + np.uint64(1)) * _STEP) % np.uint64(n)
         return np.where(seed >> 31, seed & np.uint32(0x7FFFFFFF), hashed).astype(np.int64)
 
 
-class ShardIndex:
-    """ids: the shard's document ids, ascending; edge: their places in the file, in ids; null ids come first and have no key."""
+SLOT = np.dtype([("print", "<u8"), ("row", "<i8"), ("count", "<i8"), ("begin", "<i8"), ("end", "<i8")])
+_HEAD = 40
 
-    def __init__(self, ids: np.ndarray, edge: np.ndarray, n_null: int, table: MinimalPerfectHash, prints: np.ndarray, rows: np.ndarray):
-        self.ids, self.edge, self.n_null, self.table, self.prints, self.rows = ids, edge, n_null, table, prints, rows
 
-    @staticmethod
-    def fingerprints(keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
+def fingerprints(keys: np.ndarray) -> np.ndarray:
+    """64 bits, different for different keys."""
+    return mix(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
-    @staticmethod
-    def build(ids: np.ndarray, lengths: np.ndarray, n_null: int) -> ShardIndex:
-        keys, first, count = np.unique(ids[n_null:], return_index=True, return_counts=True)
-        table = MinimalPerfectHash.build(keys)
-        slot = table.slots(keys)
-        prints, rows = np.zeros(len(keys), np.uint32), np.zeros((len(keys), 2), np.int64)
-        prints[slot], rows[slot] = ShardIndex.fingerprints(keys), np.stack([first + n_null, count], 1)
-        return ShardIndex(ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), n_null, table, prints, rows)
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first row of each key's documents and their number: 0 if there is none."""
-        if not self.table.n:
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        slot = self.table.slots(keys)
-        row = self.rows[slot]
-        known = (self.prints[slot] == self.fingerprints(keys)) & (self.ids[row[:, 0]] == keys)
-        return row[:, 0], np.where(known, row[:, 1], 0)
-
-    def to_bytes(self) -> bytes:
-        head = np.array([len(self.ids), self.n_null, self.table.n, len(self.table.seeds)], "<i8")
-        return MAGIC + b"".join(x.tobytes() for x in (head, self.ids, self.edge, self.rows, self.table.seeds, self.prints))
 
-    @staticmethod
-    def from_bytes(data: bytes) -> ShardIndex:
-        if data[:8] != MAGIC:
+def index_bytes(ids: np.ndarray, lengths: np.ndarray, n_null: int) -> bytes:
+    """The index of a shard whose documents have these ids, ascending, and as many tokens; null ids come first and have no key.
+
+    A head, the seeds, the slots (fingerprint of the key, its first row, how many rows
+    have it, where their tokens begin and end), and all rows' edges and ids, which only
+    a reader of the whole shard needs.
+    """
+    edge = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+    keys, first, count = np.unique(ids[n_null:], return_index=True, return_counts=True)
+    table = MinimalPerfectHash.build(keys)
+    slots = np.zeros(len(keys), SLOT)
+    at = table.slots(keys)
+    slots["print"][at], slots["row"][at], slots["count"][at] = fingerprints(keys), first + n_null, count
+    slots["begin"][at], slots["end"][at] = edge[first + n_null], edge[first + n_null + count]
+    head = np.array([len(ids), n_null, len(keys), len(table.seeds)], "<i8")
+    return MAGIC + b"".join(x.tobytes() for x in (head, table.seeds.astype("<u4"), slots, edge, ids.astype("<i8")))
+
+
+class Shard:
+    """A shard's two files, read by offsets: a lookup reads one seed, one slot and the tokens, however large the shard is."""
+
+    def __init__(self, ids_path: str, index_path: str):
+        system, path = open_folder(ids_path)
+        self.tokens, self.index = system.open_input_file(path), system.open_input_file(open_folder(index_path)[1])
+        self.kind = np.dtype("<" + ids_path.rsplit(".", 1)[1])
+        if self.index.read_at(8, 0) != MAGIC:
             raise ValueError("not an index file")
-        n, n_null, n_keys, m = np.frombuffer(data, "<i8", 4, 8)
-        at, out = 40, []
-        for kind, count in (("<i8", n), ("<i8", n + 1), ("<i8", 2 * n_keys), ("<u4", m), ("<u4", n_keys)):
-            out.append(np.frombuffer(data, kind, count, at))
-            at += out[-1].nbytes
-        return ShardIndex(out[0], out[1], int(n_null), MinimalPerfectHash(int(n_keys), out[3]), out[4], out[2].reshape(-1, 2))
+        self.n, self.n_null, self.n_keys, self.n_seeds = (int(x) for x in np.frombuffer(self.index.read_at(32, 8), "<i8"))
+        self.slots_at = _HEAD + 4 * self.n_seeds
+        self.edges_at = self.slots_at + SLOT.itemsize * self.n_keys
+
+    def close(self) -> None:
+        self.tokens.close()
+        self.index.close()
+
+    def read(self, begin: int, end: int) -> bytes:
+        """Tokens as little-endian unsigned 32-bit integers."""
+        wide = self.kind.itemsize
+        return np.frombuffer(self.tokens.read_at((end - begin) * wide, begin * wide), self.kind).astype("<u4").tobytes()
+
+    def lookup(self, key: int) -> list[bytes]:
+        """The tokens of each document of that id."""
+        if not self.n_keys:
+            return []
+        one = np.array([key], np.int64)
+        h = mix(one.astype(np.uint64) + np.uint64(1))
+        seed = np.frombuffer(self.index.read_at(4, _HEAD + 4 * int(h[0] % np.uint64(self.n_seeds))), "<u4")
+        at = int(MinimalPerfectHash.placed(h, seed, self.n_keys)[0])
+        slot = np.frombuffer(self.index.read_at(SLOT.itemsize, self.slots_at + SLOT.itemsize * at), SLOT)[0]
+        if slot["print"] != fingerprints(one)[0]:
+            return []
+        if slot["count"] == 1:
+            return [self.read(int(slot["begin"]), int(slot["end"]))]
+        edge = np.frombuffer(self.index.read_at(8 * (int(slot["count"]) + 1), self.edges_at + 8 * int(slot["row"])), "<i8").tolist()
+        return [self.read(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the edges of their tokens."""
+        data = self.index.read_at(8 * (2 * self.n + 1), self.edges_at)
+        return np.frombuffer(data, "<i8", self.n, 8 * (self.n + 1)), np.frombuffer(data, "<i8", self.n + 1)
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
     """Writes the shards and gives the manifest: one row for each shard, in the order of `shard`.
 
     A document is its ids and `end_id`; a null text is empty.  Rows with a null id come
-    first and have no key; repeated ids lie side by side.  Other columns are left out.
+    first and have no key; repeated ids lie side by side, in the order of a hash of their
+    texts.  Texts are encoded whole, whatever their length.  Other columns are left out.
     An empty table gives an empty manifest.
     """
     end = int(end_id).to_bytes(4, "little")
@@ -151,23 +185,15 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 lengths.append(len(own))
         if stream is not None:
             stream.close()
-            index = ShardIndex.build(np.array(ids, np.int64), np.array(lengths, np.int64), n_null)
             with system.open_output_stream(index_path.replace(folder, root)) as f:
-                f.write(index.to_bytes())
+                f.write(index_bytes(np.array(ids, np.int64), np.array(lengths, np.int64), n_null))
             keys = ids[n_null:] or [None]
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ids_path": [ids_path], "index_path": [index_path], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([sum(lengths)], pa.int64()), "first_id": pa.array(keys[:1], pa.int64()), "last_id": pa.array(keys[-1:], pa.int64())})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = B.by_ranges(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", SHARD_BYTES)
     return B.checkpoint(ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(write, MANIFEST))
 
 
-def _open_shard(ids_path: str, index_path: str):
-    system, path = open_folder(ids_path)
-    with system.open_input_file(open_folder(index_path)[1]) as f:
-        index = ShardIndex.from_bytes(f.read())
-    return system.open_input_file(path), index, np.dtype("<" + ids_path.rsplit(".", 1)[1])
-
-
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Every document from the files, each found by its key: id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -177,37 +203,52 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                file, index, kind = _open_shard(row["ids_path"], row["index_path"])
-                keys = np.unique(index.ids[index.n_null :])
-                first, count = index.lookup(keys)
-                rows = [*range(index.n_null), *(r for f, c in zip(first.tolist(), count.tolist(), strict=True) for r in range(f, f + c))]
-                with file:
-                    for at in range(0, len(rows), 500):
-                        part = rows[at : at + 500]
-                        own = [np.frombuffer(file.read_at(int(index.edge[r + 1] - index.edge[r]) * kind.itemsize, int(index.edge[r]) * kind.itemsize), kind).astype("<u4").tobytes() for r in part]
-                        out = {id_col: pa.array([None if r < index.n_null else int(index.ids[r]) for r in part], pa.int64()), "start": pa.array([row["before"] + int(index.edge[r]) for r in part], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in own], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
+                shard, given = Shard(row["ids_path"], row["index_path"]), 0
+                ids, edge = shard.rows()
+                found: list[bytes] = []
+                for r in range(shard.n):
+                    if r < shard.n_null:
+                        found.append(shard.read(int(edge[r]), int(edge[r + 1])))
+                    elif r == shard.n_null or ids[r] != ids[r - 1]:
+                        found += shard.lookup(int(ids[r]))
+                    if len(found) >= 500 or r == shard.n - 1:
+                        done, part = found, range(given, given + len(found))
+                        given, found = given + len(done), []
+                        out = {id_col: pa.array([None if i < shard.n_null else int(ids[i]) for i in part], pa.int64()), "start": pa.array([row["before"] + int(edge[i]) for i in part], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in done], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in done], pa.int64())}
                         if with_ids:
-                            out["ids"] = pa.array(own, pa.binary())
+                            out["ids"] = pa.array(done, pa.binary())
                         yield pa.RecordBatch.from_pydict(out)
+                shard.close()
 
     shards = manifest.join(starts, "shard").select("ids_path", "index_path", "before").repartition(max(1, manifest.rdd.getNumPartitions()), "ids_path")
     return shards.mapInArrow(read, schema)
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str) -> DataFrame:
-    """(key, ids) for each row of `keys` that the files hold, once for each document of that id. Keys go to their shards by range."""
-    ranges = manifest.where("first_id is not null").select(F.col("shard").alias("__shard"), "ids_path", "index_path", "first_id", "last_id")
-    placed = keys.select(F.col(key_col).cast("long").alias("key")).join(F.broadcast(ranges) if manifest.count() <= 100_000 else ranges, F.col("key").between(F.col("first_id"), F.col("last_id")))
-
-    def read(table: pa.Table) -> pa.Table:
-        file, index, kind = _open_shard(table["ids_path"][0].as_py(), table["index_path"][0].as_py())
-        wanted = np.array(table["key"].to_pylist(), np.int64)
-        out_keys, out = [], []
-        with file:
-            for key, f, c in zip(wanted.tolist(), *(x.tolist() for x in index.lookup(wanted)), strict=True):
-                for r in range(f, f + c):
-                    out_keys.append(key)
-                    out.append(np.frombuffer(file.read_at(int(index.edge[r + 1] - index.edge[r]) * kind.itemsize, int(index.edge[r]) * kind.itemsize), kind).astype("<u4").tobytes())
-        return pa.table({"key": pa.array(out_keys, pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    return placed.groupBy("__shard").applyInArrow(read, "key bigint, ids binary").withColumnRenamed("key", key_col)
+    """(key, ids) for each row of `keys` that the files hold, once for each document of that id; null keys are not found.
+
+    Each task finds its keys' shards by bisection of their ranges of ids: all tasks get
+    the names and ranges of the shards, some 200 bytes for each SHARD_BYTES of text, and
+    no key is shuffled.
+    """
+    rows = [tuple(r) for r in manifest.where("first_id is not null").orderBy("first_id", "last_id").select("first_id", "last_id", "ids_path", "index_path").toLocalIterator()]
+    sent = keys.sparkSession.sparkContext.broadcast(rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = sent.value
+        first, last = np.array([r[0] for r in ranges], np.int64), np.array([r[1] for r in ranges], np.int64)
+        held: dict[int, Shard] = {}
+        for batch in batches:
+            out_keys, out = [], []
+            for key in batch["key"].to_pylist():
+                for k in range(np.searchsorted(last, key, "left"), np.searchsorted(first, key, "right")):
+                    if k not in held:
+                        while len(held) >= OPEN_SHARDS:
+                            held.pop(next(iter(held))).close()
+                        held[k] = Shard(*ranges[k][2:])
+                    own = held[k].lookup(key)
+                    out_keys += [key] * len(own)
+                    out += own
+            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out, pa.binary())], names=[key_col, "ids"])
+
+    return keys.select(F.col(f"`{key_col}`").cast("long").alias("key")).where("key is not null").mapInArrow(read, f"`{key_col}` bigint, ids binary")

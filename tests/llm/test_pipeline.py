@@ -103,3 +103,14 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_that_are_named_like_theirs(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text + " and more", 7, "a", 8, 9), (2, text + " or less of all this here", 7, "a", 8, 9), (2, text + " or less of all this here", 7, "a", 8, 9), (None, text, 7, None, 8, 9), (3, None, 7, "a", 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept_text string, removed int, __batch int")
+    out = corpus_pipeline.drop_repeated_passages(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.kept_text or "", r.removed, r["__batch"]) for r in out) == sorted((d or 0, 7, k or "", 8, 9) for d, _, _, k, _, _ in rows)
+    assert {r.text for r in out if r.doc_id == 2} == {"or less of all this here"}
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in once) == [1, 2, 3] and all(r["__batch"] == 9 for r in once)
