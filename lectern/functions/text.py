@@ -14,6 +14,16 @@ SMALL_WORDS = ["a", "an", "and", "at", "by", "for", "in", "of", "on", "the", "to
 ABBREVIATIONS = ["Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Jr", "Sr", "vs", "cf", r"e\.g", r"i\.e"]
 
 
+#: Patterns of headings, back matter, page numbers and headers, dangling figures and citations, and what separates titles.
+HEADING = r"[^\w\n]*CHAPTER[ \t]+(\d+|[A-Za-z]+(?:[ \t]+[A-Za-z]+|-[A-Za-z]+)?)(?:[ \t]*[-:–—][^\n]*)?[^\w\n]*"
+BACK_MATTER = r"^[ \t]*(?:Titles available in\b|Read on for the first chapter\b|Text copyright\b)"
+REFERENCES = r"\n\s*(?:REFERENCES|INDEX)\s*(?:\n|$)"
+PAGE_NUMBER, NUMBERED_HEADER, CHAPTER_HEADER = r"[·.\- ]*\d{1,4}[·.\- ]*", r"\d{1,4}\s+[A-Z][A-Z .'\-]+", r"CHAPTER\s+[A-Za-z]+([- ]+[A-Za-z]+)?"
+FIGURE = r"\s*\((see\s+)?(Table\s+\d+\s+and\s+)?Figs?\.$|\s+in\s+Figs?\.$"
+NAME_YEAR = r"[A-Z][A-Za-z' \-]+ \d{4}:"
+BARE_FIGURE = "Fig."
+
+
 def number_words(limit: int = 38) -> list[str]:
     """ONE, TWO ... up to `limit` (below 100), parts joined by a space."""
     small = "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN".split()
@@ -125,7 +135,7 @@ def clean_markdown(c: Column) -> Column:
 def is_page_artifact(c: Column, header: str | None = None) -> Column:
     """Page numbers, numbered capital headers, chapter headings; `header`: a pattern for running author or book lines."""
     line = clean_text(c)
-    found = line.rlike(r"^[·.\- ]*\d{1,4}[·.\- ]*$") | line.rlike(r"^\d{1,4}\s+[A-Z][A-Z .'\-]+$") | line.rlike(r"(?i)^CHAPTER\s+[A-Z]+([- ]+[A-Z]+)?$")
+    found = line.rlike(f"^{PAGE_NUMBER}$") | line.rlike(f"^{NUMBERED_HEADER}$") | line.rlike(f"(?i)^{CHAPTER_HEADER}$")
     return found | line.rlike(f"(?i)^(?:{header})$") if header else found
 
 
@@ -144,7 +154,7 @@ def is_short_heading(c: Column) -> Column:
 
 
 def trim_back_matter(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?im)^[ \t]*(?:Titles available in\b|Read on for the first chapter\b|Text copyright\b)[\s\S]*\z", "")
+    return F.regexp_replace(c, rf"(?im){BACK_MATTER}[\s\S]*\z", "")
 
 
 def ensure_terminal(c: Column) -> Column:
@@ -152,12 +162,9 @@ def ensure_terminal(c: Column) -> Column:
     return F.when((text == "") | text.rlike(r"[.?!]$"), text).otherwise(F.concat(text, F.lit(".")))
 
 
-_FIGURE = r"\s*\((see\s+)?(Table\s+\d+\s+and\s+)?Figs?\.$|\s+in\s+Figs?\.$"
-
-
 def strip_dangling_figure(c: Column) -> Column:
     text = strip(c)
-    return F.when(text.rlike(_FIGURE), strip(F.regexp_replace(text, _FIGURE, "")))
+    return F.when(text.rlike(FIGURE), strip(F.regexp_replace(text, FIGURE, "")))
 
 
 def prose_after_figure_number(c: Column) -> Column:
@@ -165,24 +172,21 @@ def prose_after_figure_number(c: Column) -> Column:
     return F.when(text.rlike(r"^\d+\)"), F.regexp_extract(text, r"^\d+\)\s*([\s\S]*)$", 1)).when(text.rlike(r"^\d+(\s+and\s+\d+)?(,\s+which\b.*)?\.?$"), F.lit(""))
 
 
-_NAME_YEAR = r"[A-Z][A-Za-z' \-]+ \d{4}:"
-
-
 def is_citation_continuation(c: Column) -> Column:
     text = strip(c)
-    return text.rlike(r"^\d+[),;:\-]") | text.rlike(rf"^(and\s+)?[A-Z](\.\s*)?\s*{_NAME_YEAR}") | text.rlike(f"^{_NAME_YEAR}")
+    return text.rlike(r"^\d+[),;:\-]") | text.rlike(rf"^(and\s+)?[A-Z](\.\s*)?\s*{NAME_YEAR}") | text.rlike(f"^{NAME_YEAR}")
 
 
 def is_orphan_citation(c: Column) -> Column:
-    return strip(c).rlike(rf"^([A-Z](\.\s*)?\s*)?{_NAME_YEAR}")
+    return strip(c).rlike(rf"^([A-Z](\.\s*)?\s*)?{NAME_YEAR}")
 
 
 def ends_with_citation(c: Column) -> Column:
-    return c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){_NAME_YEAR}$")
+    return c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){NAME_YEAR}$")
 
 
 def strip_dangling_citation(c: Column) -> Column:
-    return ensure_terminal(strip(F.regexp_replace(strip(c), rf"\s*\([^()]*\b{_NAME_YEAR}$", "")))
+    return ensure_terminal(strip(F.regexp_replace(strip(c), rf"\s*\([^()]*\b{NAME_YEAR}$", "")))
 
 
 def is_caption(c: Column, prefixes: Sequence[str]) -> Column:

@@ -44,7 +44,7 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
     w = Window.partitionBy(*keys).orderBy("frag_idx")
     norm = X.normalize_match(F.col("text"))
     f = fragments.select(*keys, "frag_idx", norm.alias("norm"))
-    f = f.withColumn("more", F.trim(F.concat_ws(" ", "norm", *[F.lead("norm", k).over(w) for k in (1, 2, 3)])))
+    f = f.withColumn("more", F.trim(F.regexp_replace(F.concat_ws(" ", "norm", *[F.lead("norm", k).over(w) for k in (1, 2, 3)]), " +", " ")))
     f = f.where(F.length("norm") >= min_chars)
     c = clips.withColumn("norm", norm)
     sure = contained_anchors(c, f, keys).withColumn("score", F.lit(1.0))
@@ -57,7 +57,8 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
     score = F.greatest(F.when(F.col("one"), similarity(F.col("q"), F.col("norm"))).otherwise(0.0), F.when(F.col("four"), 0.92 * similarity(F.col("q"), F.col("more"))).otherwise(0.0))
     best = pairs.withColumn("score", score).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("frag_idx")).alias("n"))).alias("b")).where(F.col("b.score") >= least)
     found = sure.unionByName(best.select("clip_id", (-F.col("b.n")).alias("frag_idx"), "b.score"))
-    return clips.join(found, "clip_id", "left").withColumn("time", F.when(F.col("frag_idx").isNotNull(), F.col("clip_start") + F.col("first_start")))
+    time = X.round3(F.col("clip_start") + F.coalesce("first_start", F.lit(0.0)))
+    return clips.join(found, "clip_id", "left").withColumn("score", X.round3(F.col("score"))).withColumn("time", F.when(F.col("frag_idx").isNotNull(), time))
 
 
 def align_to_segments(fragments: DataFrame, segments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), accept: float = 0.58, stop: float = 0.92, lookahead: int | None = None) -> DataFrame:

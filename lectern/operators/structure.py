@@ -74,11 +74,11 @@ def sentence_fragments(chapters: DataFrame) -> DataFrame:
 
 
 def drop_figure_blocks(fragments: DataFrame, prefixes: Sequence[str], keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
-    """Drops a fragment that begins a figure ('Fig.') and the captions directly behind it."""
+    """Drops a fragment that is nothing but 'Fig.' and the captions directly behind it."""
     w = Window.partitionBy(*keys).orderBy("frag_idx")
-    f = fragments.withColumn("__block", F.count(F.when(~X.is_caption(F.col("text"), prefixes), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    f = fragments.withColumn("__block", F.count(F.when(~X.is_caption(F.col("text"), prefixes) | (X.strip(F.col("text")) == X.BARE_FIGURE), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     lead = F.first("text").over(Window.partitionBy(*keys, "__block").orderBy("frag_idx"))
-    return f.withColumn("__lead", lead).where("not (ltrim(__lead) like 'Fig.%' and __block > 0)").drop("__block", "__lead")
+    return f.withColumn("__lead", lead).where((X.strip(F.col("__lead")) != X.BARE_FIGURE) | (F.col("__block") == 0)).drop("__block", "__lead")
 
 
 def _fold(fragments: DataFrame, function, keys: Sequence[str]) -> DataFrame:
@@ -111,11 +111,11 @@ def merge_citations(fragments: DataFrame, keys: Sequence[str] = ("book_id", "cha
     return _fold(fragments, _each(lambda x: K.merge_citations(list(x)), "array<string>"), keys)
 
 
-def chapter_problems(chapters: DataFrame, fragments: DataFrame, count: int, least: int = 5) -> DataFrame:
-    """Books whose chapters aren't 1..count, and chapters of fewer than `least` paragraphs."""
+def chapter_problems(chapters: DataFrame, count: int, least: int = 5, headers: Sequence[str] = ()) -> DataFrame:
+    """Books whose chapters aren't 1..count, and chapters whose body has fewer than `least` paragraphs."""
     numbers = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.col("chapter_no").cast("int"))).alias("have"))
     wrong = numbers.where(F.col("have") != F.sequence(F.lit(1), F.lit(count))).select("book_id", F.lit(None).cast("int").alias("chapter_no"), F.lit("chapters not 1..n").alias("problem"))
-    short = fragments.groupBy("book_id", "chapter_no").count().where(F.col("count") < least)
+    short = chapters.where(F.size(normalize_paragraphs(F.coalesce("body", F.lit("")), headers)) < least)
     return wrong.unionByName(short.select("book_id", F.col("chapter_no").cast("int").alias("chapter_no"), F.lit("few paragraphs").alias("problem")))
 
 
@@ -124,8 +124,8 @@ def audit_reason(text: Column, prefixes: Sequence[str] = ()) -> Column:
     opened = F.length(F.regexp_replace(text, r"[^(]", "")) > F.length(F.regexp_replace(text, r"[^)]", ""))
     closed = F.length(F.regexp_replace(text, r"[^(]", "")) < F.length(F.regexp_replace(text, r"[^)]", ""))
     return (
-        F.when(X.strip_dangling_figure(text).isNotNull(), "dangling figure").when(X.is_caption(text, prefixes), "caption").when(X.is_orphan_citation(text), "orphan citation")
-        .when(X.strip(text).rlike(r"\bet al\.$"), "et al.").when(opened, "unmatched (").when(closed & (F.length(text) <= 80), "short unmatched )")
+        F.when(X.strip_dangling_figure(text).isNotNull(), "dangling figure").when((X.strip(text) == X.BARE_FIGURE) | X.is_caption(text, prefixes), "caption").when(X.is_orphan_citation(text), "orphan citation")
+        .when(X.strip(text).rlike(r"\bet al\.$"), "et al.").when(opened, "unmatched (").when(closed & (F.size(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1)) <= 8), "short unmatched )")
     )
 
 

@@ -5,8 +5,9 @@ Rows that break a rule come back as data-quality rows (`problem`), never as an e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +43,30 @@ def allocation_bounds(counts: DataFrame, parts: DataFrame, key: str = "book_id",
     return p.select(key, order, "duration", "start_idx", "end_idx", "problem")
 
 
+def allocated_texts(books: DataFrame, parts: DataFrame, key: str = "book_id", order: str = "part_no") -> DataFrame:
+    """(key, part_no, duration, frag_idx, text): each book's fragments in the parts that `allocation_bounds` gives them.
+
+    `books`: key and `fragments`, an array; so a text is split once, and shuffled once.
+    Books with a problem are left out.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(order, F.col("duration").cast("double").alias("duration")))).alias("parts")
+    both = books.join(parts.groupBy(key).agg(listed), key).withColumn("n", F.size("fragments")).withColumn("k", F.size("parts"))
+    both = both.withColumn("total", F.aggregate("parts", F.lit(0.0), lambda x, p: x + p["duration"])).where("n > 0 and total > 0 and n >= k")
+    zero = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0.0).alias("cum"), F.lit(0.0).alias("over"))
+
+    def step(state: Column, p: Column) -> Column:
+        i, cum = F.size(state["ends"]) + 1, state["cum"] + p["duration"]
+        target = F.least(F.bround(F.col("n") * cum / F.col("total")), (F.col("n") - (F.col("k") - i)).cast("double")) - i
+        over = F.greatest(state["over"], target)
+        end = F.when(i == F.col("k"), F.col("n")).otherwise((i + over).cast("int"))
+        return F.struct(F.concat(state["ends"], F.array(end)).alias("ends"), cum.alias("cum"), over.alias("over"))
+
+    cut = both.withColumn("ends", F.aggregate("parts", zero, step, lambda s: s["ends"]))
+    one = cut.select(key, "fragments", "ends", F.posexplode("parts").alias("i", "p")).withColumn("begin", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0))
+    own = F.slice("fragments", F.col("begin") + 1, F.get("ends", F.col("i")) - F.col("begin"))
+    return one.select(key, f"p.{order}", "p.duration", "begin", F.posexplode(own).alias("at", "text")).select(key, order, "duration", (F.col("begin") + F.col("at")).alias("frag_idx"), "text")
+
+
 def anchor_segments(fragments: DataFrame, parts: DataFrame, prefix: str, key: str = "book_id") -> DataFrame:
     """Three parts: the last begins at the first fragment with that prefix, the first two share what is before by their durations; else by allocation."""
     at = fragments.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("text").startswith(prefix), F.col("frag_idx"))).alias("anchor"))
@@ -145,23 +170,39 @@ def single_alignment_bounds(fragments: DataFrame, durations: DataFrame, key: str
 
 def anchor_windows(durations: DataFrame, step: float = 600.0, length: float = 30.0) -> DataFrame:
     """A clip of `length` seconds at every `step` seconds of each recording."""
+    if step <= 0 or length <= 0:
+        raise ValueError("step and length must be positive")
     n = F.ceil(F.col("duration") / step).cast("int")
     w = durations.where("duration > 0").withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
     return w.withColumn("clip_start", F.col("k") * F.lit(step)).withColumn("clip_length", F.least(F.lit(length), F.col("duration") - F.col("clip_start"))).drop("k")
 
 
 def monotone_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """By time and index, the points that lie beyond the last kept one in both; `points`: keys, time, idx, source."""
-    ordered = F.array_sort(F.collect_list(F.struct("time", "idx", "source")))
+    """By time and index, the points that lie beyond the last kept one in both; `points`: keys, time, idx, source.
 
-    def keep(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when(F.size(kept) == 0, F.array(p)).when((p["time"] > last["time"]) & (p["idx"] > last["idx"]), F.concat(kept, F.array(p))).otherwise(kept)
-
-    kind = "array<struct<time:double,idx:bigint,source:string>>"
-    typed = points.select(*keys, F.col("time").cast("double").alias("time"), F.col("idx").cast("long").alias("idx"), "source")
-    kept = typed.groupBy(*keys).agg(F.aggregate(ordered, F.array().cast(kind), keep).alias("kept"))
-    return kept.select(*keys, F.posexplode("kept").alias("pos", "p")).select(*keys, "pos", "p.time", "p.idx", "p.source")
+    Each key's points are read in order and only the last kept one is held.
+    """
+    names = [*keys, "pos", "time", "idx", "source"]
+    typed = points.select(*keys, F.col("time").cast("double").alias("time"), F.col("idx").cast("long").alias("idx"), F.col("source").cast("string").alias("source"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pos, last = None, 0, (0.0, 0)
+        for batch in batches:
+            rows, places = [], []
+            for i, (own, time, idx) in enumerate(zip(zip(*(batch[k].to_pylist() for k in keys), strict=True), batch["time"].to_pylist(), batch["idx"].to_pylist(), strict=True)):
+                if own != key:
+                    key, pos = own, 0
+                if pos == 0 or time > last[0] and idx > last[1]:
+                    rows.append(i)
+                    places.append(pos)
+                    pos, last = pos + 1, (time, idx)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            columns = {**{n: kept[n] for n in kept.schema.names}, "pos": pa.array(places, pa.int32())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    kinds = dict(typed.dtypes) | {"pos": "int"}
+    ordered = typed.where("time is not null and idx is not null").repartition(*keys).sortWithinPartitions(*keys, "time", "idx", "source")
+    return ordered.mapInArrow(keep, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def boundaries(anchors: DataFrame, ends: DataFrame, manual: DataFrame | None = None, keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:

@@ -21,11 +21,17 @@ def latest_progress(events: DataFrame, keys: tuple[str, ...] = ("user_id", "book
 
 
 def chapter_progress(positions: DataFrame, chapters: DataFrame, keys: tuple[str, ...] = ("book_id", "chapter_no"), margin: float = 0.15) -> DataFrame:
-    """Local time, share in thousandths, time in the book, and whether the player goes on to the next chapter."""
-    joined = positions.join(chapters.select(*keys, "start", "duration"), list(keys))
-    local = F.greatest(F.lit(0.0), F.least(F.col("t"), F.col("duration")))
-    share = F.when(F.col("duration") > 0, F.bround(1000 * local / F.col("duration"), 0)).otherwise(0.0)
-    return joined.withColumn("local", local).withColumn("permille", share.cast("int")).withColumn("clock", F.col("start") + local).withColumn("advance", F.col("t") >= F.col("duration") - margin)
+    """Time in the chapter, its share in thousandths (halves go up, at most 1000), time in the book, and whether the player goes on to the next chapter.
+
+    It does at a chapter's end if the next chapter is on the same audio. chapters: keys
+    (the last one orders a book's chapters), start, duration, audio.
+    """
+    after = F.lead("audio").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]))
+    on = chapters.select(*keys, "start", "duration", F.coalesce(after == F.col("audio"), F.lit(False)).alias("__on"))
+    joined = positions.join(on, list(keys))
+    local = F.greatest(F.lit(0.0), F.col("t"))
+    share = F.when(F.col("duration") > 0, F.least(F.lit(1000), F.floor(1000 * local / F.col("duration") + 0.5))).otherwise(0)
+    return joined.withColumn("local", local).withColumn("permille", share.cast("int")).withColumn("clock", F.col("start") + local).withColumn("advance", F.col("__on") & (F.col("t") >= F.col("duration") - margin)).drop("__on")
 
 
 def paragraph_changes(positions: DataFrame, paragraphs: DataFrame, user: str = "user_id") -> DataFrame:
@@ -35,8 +41,8 @@ def paragraph_changes(positions: DataFrame, paragraphs: DataFrame, user: str = "
     return now.where("(__n = 1 and frag_idx is not null) or (__n > 1 and not frag_idx <=> __before)").drop("__before", "__n")
 
 
-def active_paragraph_stream(events: DataFrame, paragraphs: DataFrame, user: str = "user_id", idle: str = "1 hour") -> DataFrame:
-    """Stream form of paragraph_changes. events: user, position_id, ts, book_id, chapter_no, t; one event is at one place, so the join is with a static table of minutes."""
+def active_paragraph_stream(events: DataFrame, paragraphs: DataFrame, user: str = "user_id", idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Stream form of paragraph_changes; a user's state goes after `idle_ms` without events. events: user, position_id, ts, book_id, chapter_no, t; one event is at one place, so the join is with a static table of minutes."""
     spread = paragraphs.withColumn("__minute", F.explode(F.sequence(F.floor(F.col("begin") / 60), F.floor(F.greatest("begin", "end") / 60))))
     spread = spread.select("book_id", "chapter_no", "__minute", F.col("frag_idx").alias("__idx"), F.col("begin").alias("__b"), F.col("end").alias("__e"))
     at = events.withColumn("__minute", F.floor(F.col("t") / 60))
@@ -45,6 +51,9 @@ def active_paragraph_stream(events: DataFrame, paragraphs: DataFrame, user: str
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).groupby(["ts", "position_id"], as_index=False)["frag_idx"].max().sort_values(["ts", "position_id"])
+        if state.hasTimedOut:  # idle for too long: the next event counts as the first
+            state.remove()
+            return
         last = state.get[0] if state.exists else -1
         out = []
         for ts, p, idx in zip(rows["ts"], rows["position_id"], rows["frag_idx"], strict=True):
@@ -53,11 +62,12 @@ def active_paragraph_stream(events: DataFrame, paragraphs: DataFrame, user: str
                 out.append((key[0], p, ts, None if now < 0 else now))
             last = now
         state.update((last,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[user, "position_id", "ts", "frag_idx"]).astype({"frag_idx": "Int64"})
 
     kind = dict(events.dtypes)
     schema = f"`{user}` {kind[user]}, position_id {kind['position_id']}, ts {kind['ts']}, frag_idx bigint"
-    return hit.groupBy(user).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return hit.groupBy(user).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_progress_stream(events: DataFrame, keys: tuple[str, ...] = ("user_id", "book_id"), late: str = "1 day") -> DataFrame:
