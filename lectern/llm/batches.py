@@ -53,21 +53,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, within: str | None = None) -> DataFrame:
     """The rows, written to a table in the shared folder and read again: later jobs neither repeat the work nor plan it.
 
+    `within`: a folder of tables that go together, by `remove_folder`.
+
     The shuffles behind them are needed no more, but Spark removes their files only
     when the driver next collects its garbage; that is asked for here, so that the
     shuffles of one stage after another don't pile up on the disks.
     """
     spark, schema = df.sparkSession, df.schema
-    folder = shared_folder(spark, "table")
+    folder = f"{within}/{uuid.uuid4().hex}" if within else shared_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(folder)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files that nothing refers to any more."""
     gc.collect()
@@ -220,10 +227,12 @@ class Exchange:
         return pa.array([deflate(x) for x in np.split(codes, np.cumsum(sizes)[:-1])], pa.binary())
 
     def answers(self, rows: DataFrame) -> DataFrame:
-        """A code for each entry of `rows`, which come from `pack`."""
+        """A code for each entry of `rows`, which come from `pack`; rows of negative buckets come back as they are."""
         if self.inner == 1:
 
             def answer(table: pa.Table) -> pa.Table:
+                if table[BUCKET][0].as_py() < 0:
+                    return table.select([BUCKET, BATCH, PAYLOAD])
                 keys, values, sizes = self._unpack(column(table, PAYLOAD))
                 return pa.table({BUCKET: table[BUCKET], BATCH: table[BATCH], PAYLOAD: self._answers(values, self._totals(keys, values), sizes)})
 
@@ -250,6 +259,8 @@ class Exchange:
             return table.select([BUCKET, "chunk", "inner"]).append_column(PAYLOAD, pa.array(payloads, pa.binary()))
 
         def back(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows:
+                return left.select([BUCKET, BATCH, PAYLOAD])
             known, totals, _ = self._unpack(column(right, PAYLOAD))
             keys, values, sizes = self._unpack(column(left, PAYLOAD))
             both = np.concatenate([known, keys])
@@ -260,7 +271,7 @@ class Exchange:
             of_run[where[: len(known)]] = totals
             return pa.table({BUCKET: left[BUCKET], BATCH: left[BATCH], PAYLOAD: self._answers(values, of_run[where[len(known) :]], sizes)})
 
-        merged = rows.groupBy(BUCKET, "chunk").applyInArrow(merge, of_chunk)
+        merged = rows.where(F.col(BUCKET) >= 0).groupBy(BUCKET, "chunk").applyInArrow(merge, of_chunk)
         totals = merged.groupBy(BUCKET, "inner").applyInArrow(total, of_chunk)
         return rows.groupBy(BUCKET, "chunk").cogroup(totals.groupBy(BUCKET, "chunk")).applyInArrow(back, PACKED)
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import checkpoint, spread_join
+from lectern.llm.batches import checkpoint as written
+from lectern.llm.batches import spread_join
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(folder: str, links: DataFrame) -> DataFrame:
     """`links`: columns a, b of any one orderable type.  Gives (node, root) for each node that has a link; root is the least of its component.
 
     Each round every node points to its least neighbour or itself, pointers are doubled
     until they end at roots, and links are drawn anew between these.  Every round halves
     the nodes at least, and doublings are as many as the logarithm of the longest chain.
-    All state stays in tables; a root that most nodes point to is no hot key, as nodes
+    All state stays in tables within `folder`; a root that most nodes point to is no hot key, as nodes
     look up their pointers by groups.
     """
+    checkpoint = partial(written, within=folder)
     edges = checkpoint(links.select("a", "b").where("a <> b").distinct())
     roots = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():

@@ -176,6 +176,7 @@ class NearDuplicates:
         self.docs, self.n_batches = B.in_batches(docs, text_col, id_col)
         self.narrow = self.docs.select(B.BATCH, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.n_docs = docs.count()
+        self.folder = B.shared_folder(docs.sparkSession, "near-duplicates")
         self.exchange = B.Exchange(self.n_batches, np.dtype(np.uint32), _add, lambda _, total: np.minimum(255, np.round(8 * np.log2(total))))
 
     def document_frequencies(self) -> DataFrame:
@@ -322,35 +323,43 @@ class NearDuplicates:
         return rooted.groupBy("group").applyInArrow(link, "a binary, b binary")
 
     def classes(self) -> DataFrame:
-        """(id, digest, batch, copy, root): one row for each document; root is its class."""
-        frequencies = B.checkpoint(self.document_frequencies())
-        signed = B.checkpoint(self.signatures(frequencies))
+        """(id, digest, batch, copy, root): one row for each document; root is its class. The tables behind it are removed."""
+        rows = B.checkpoint(self._classes())
+        B.remove_folder(rows.sparkSession, self.folder)
+        return rows
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return B.checkpoint(df, self.folder)
+
+    def _classes(self) -> DataFrame:
+        frequencies = self.keep(self.document_frequencies())
+        signed = self.keep(self.signatures(frequencies))
         texts = signed.groupBy("digest").agg(F.min(F.struct("batch", "bands", "size")).alias("s")).select("digest", "s.*")
-        members = B.checkpoint(texts.select("digest", "batch", "size", F.posexplode("bands").alias("band", "key")))
+        members = self.keep(texts.select("digest", "batch", "size", F.posexplode("bands").alias("band", "key")))
         chosen = F.min(F.struct(F.xxhash64("digest", "band").alias("h"), "digest", "batch")).alias("l")
         chunk = F.floor(F.col("batch") / LEADER_BATCHES).cast("int").alias("chunk")
         leaders = members.groupBy("band", "key", chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), chosen)
-        leaders = B.checkpoint(leaders.select("band", "key", "chunk", "n", "bytes", "l"))
+        leaders = self.keep(leaders.select("band", "key", "chunk", "n", "bytes", "l"))
         buckets = leaders.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("l").alias("first"), F.count(F.lit(1)).alias("chunks")).where("n > 1")
-        buckets = B.checkpoint(buckets)
+        buckets = self.keep(buckets)
         parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
         ahead = leaders.where("n > 1").select("band", "key", F.col("chunk").alias("c"), F.col("l.digest").alias("a"), F.col("l.batch").alias("a_batch"), parts)
-        placed = B.checkpoint(members.join(buckets.select("band", "key"), ["band", "key"]).withColumn("c", F.floor(F.col("batch") / LEADER_BATCHES).cast("int")))
+        placed = self.keep(members.join(buckets.select("band", "key"), ["band", "key"]).withColumn("c", F.floor(F.col("batch") / LEADER_BATCHES).cast("int")))
         pairs = placed.join(ahead, ["band", "key", "c"]).where("digest <> a").select("a", "a_batch", F.col("digest").alias("b"), F.col("batch").alias("b_batch"), "parts")
         tops = buckets.where("chunks > 1").select("band", "key", F.col("first.digest").alias("a"), F.col("first.batch").alias("a_batch"), F.ceil(F.col("chunks") / BLOCK).cast("int").alias("parts"))
         between = leaders.join(tops, ["band", "key"]).where("l.digest <> a").select("a", "a_batch", F.col("l.digest").alias("b"), F.col("l.batch").alias("b_batch"), "parts")
         pairs = pairs.union(between).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("a", "a_batch", "b", "b_batch", "parts")).alias("p")).select("p.*")
-        near = B.checkpoint(self.verified(pairs, frequencies))
-        found = components(near)
-        inside = B.checkpoint(placed.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "batch", "size", F.coalesce("root", "digest").alias("root")))
+        near = self.keep(self.verified(pairs, frequencies))
+        found = components(self.folder, near)
+        inside = self.keep(placed.join(found, F.col("digest") == F.col("node"), "left").select("band", "key", "digest", "batch", "size", F.coalesce("root", "digest").alias("root")))
         mixed = inside.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        mixed = B.checkpoint(mixed.select("band", "key", "n", F.ceil(F.greatest(F.col("bytes") / TILE_BYTES, F.col("n") / TILE)).cast("int").alias("blocks")))
+        mixed = self.keep(mixed.select("band", "key", "n", F.ceil(F.greatest(F.col("bytes") / TILE_BYTES, F.col("n") / TILE)).cast("int").alias("blocks")))
         sketches = signed.where("sketch <> X''").groupBy("digest").agg(F.min(F.struct("sketch", "bands")).alias("s")).select("digest", "s.*")
-        wanted = B.checkpoint(self.in_tiles(inside, sketches, mixed))
+        wanted = self.keep(self.in_tiles(inside, sketches, mixed))
         rows = B.spread_join(signed, found.withColumnRenamed("node", "digest"), ["digest"], F.col("batch"), "left").select("id", "digest", "batch", "copy", F.coalesce("root", "digest").alias("root"))
         if wanted.isEmpty():
             return rows
-        merged = components(self.linked_in_tiles(wanted, frequencies)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        merged = components(self.folder, self.linked_in_tiles(wanted, frequencies)).select(F.col("node").alias("root"), F.col("root").alias("last"))
         return B.spread_join(rows, merged, ["root"], F.col("batch"), "left").select("id", "digest", "batch", "copy", F.coalesce("last", "root").alias("root"))
 
 

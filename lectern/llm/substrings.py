@@ -72,7 +72,8 @@ def _merged(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def _answer(own: np.ndarray, total: np.ndarray) -> np.ndarray:
     own, total = own.astype(np.int64), total.astype(np.int64)
     shared, block = total & SEVERAL > 0, own & BLOCK_BIT > 0
-    hit = shared & np.where(block, total & BLOCKS > 0, total & BLOCK_BIT > 0) & (total >> 10 <= (own >> 4 & 63))
+    others = np.where(block & (own & SEVERAL == 0), total & BLOCKS > 0, total & BLOCK_BIT > 0)  # a batch's one document is no anchor for itself
+    hit = shared & others & (total >> 10 <= (own >> 4 & 63))
     last = total >> 4 & 63
     probed = shared & block & ((last > own >> 10) | (last == own >> 10) & (total & LAST_TWICE > 0))
     return (shared * SHARED | hit * HIT | probed * PROBED).astype(np.uint8)
@@ -169,7 +170,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         where = np.flatnonzero(run)
         edges, digests, inverse = _candidates(found, where, least_ids.buckets, window)
         least = _least(ids[found.doc[where]], inverse, len(digests))
-        return pa.concat_tables([least_ids.pack(batch, digests, least, edges), B.packed_rows(batch, {STATE: B.deflate(np.packbits(run))})])
+        return pa.concat_tables([least_ids.pack(batch, digests, least, edges), B.packed_rows(batch, {STATE - batch % least_ids.buckets: B.deflate(np.packbits(run))})])
 
     def remove(_, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
@@ -208,7 +209,6 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return out
 
     answered = anchors.answers(B.by_batch(batched, index_and_probe))
-    extended = B.checkpoint(B.with_answers(batched, answered, extend, B.PACKED))  # read twice
-    settled = least_ids.answers(extended.where(F.col(B.BUCKET) > STATE)).union(extended.where(F.col(B.BUCKET) == STATE))
+    settled = least_ids.answers(B.with_answers(batched, answered, extend, B.PACKED))
     out = B.with_answers(batched, settled, remove, T.StructType([*kept_fields, *(T.StructField(k, v) for k, v in OUTPUT.items())]))
     return out.toDF(*docs.columns, *OUTPUT)

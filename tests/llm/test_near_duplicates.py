@@ -122,4 +122,4 @@ def test_one_row_of_each_class_stays(spark):
 def test_empty_table_and_chains(spark):
     assert near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a int, b int")
-    assert sorted(map(tuple, components(links).collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]
+    assert sorted(map(tuple, components(batches.shared_folder(spark, "c"), links).collect())) == [(k, 0) for k in range(41)] + [(100, 100), (101, 100)]

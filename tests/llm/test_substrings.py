@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lectern.llm import batches, substrings
 from lectern.llm.substrings import drop_repeated_passages
@@ -31,8 +32,9 @@ def run(spark, rows, schema="doc_id long, text string"):
     return sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out)
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(batches, "BATCH_BYTES", 3000)
+@pytest.mark.parametrize("size", [3000, 4 << 20])
+def test_equals_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(batches, "BATCH_BYTES", size)
     rng = random.Random(5)
     passages = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(8, 40))) for _ in range(12)]
     rows = []
