@@ -46,7 +46,7 @@ def headers(df: DataFrame, date: str) -> Column:
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     return F.concat(
         F.lit("WARC/1.1" + END), _header("WARC-Type", kind), _header("WARC-Record-ID", record_id(F.col("page_id"))), _header("WARC-Date", F.lit(date)),
-        _header("WARC-Target-URI", F.col("url")), _header("X-Page-ID", F.col("page_id")), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        _header("WARC-Target-URI", F.col("url")), _header("X-Page-ID", F.col("page_id")), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("payload_digest")))),
         _header("X-Payload-Length", F.col("payload_bytes")), _header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _header("WARC-Refers-To", F.when(revisit, record_id(F.col("refers_to")))), _header("X-Refers-To-Page-ID", F.col("refers_to")),
         _header("Content-Type", F.lit("text/html; charset=utf-8")), _header("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))), F.lit(END),
@@ -54,7 +54,7 @@ def headers(df: DataFrame, date: str) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes `folder`/records (page_id, header, payload_digest) and `folder`/payloads (payload_digest, payload).
+    """Writes `folder`/records (page_id, header, which names the digest) and `folder`/payloads (payload_digest, payload).
 
     A null html is an empty payload.  A null url gives a record without a target.
     Rows with a null id are records of their own and never referred to, unless no row
@@ -63,14 +63,14 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     out, whatever their names.  An empty table gives an empty archive.
     """
     page = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = page.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    digest = F.unhex(F.sha2("payload", 256)).alias("payload_digest")  # half as long in shuffles
+    keyed = page.select("page_id", "url", digest, F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = keyed.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
     refers = F.when((F.col("payload_bytes") >= least_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     records = B.spread_join(keyed, first, ["payload_digest"], F.struct("page_id", "url")).withColumn("refers_to", refers)
-    records.select("page_id", headers(records, date).alias("header"), "payload_digest").write.mode("overwrite").parquet(f"{folder}/records")
-    stored = page.select(F.sha2("payload", 256).alias("payload_digest"), "payload").dropDuplicates(["payload_digest"])
+    records.select("page_id", headers(records, date).alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
+    stored = page.select(digest, "payload").dropDuplicates(["payload_digest"])
     stored.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
-    B.release(pages.sparkSession)
 
 
 def _value(name: str) -> Column:
@@ -81,7 +81,7 @@ def _value(name: str) -> Column:
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """payload_digest, stored_bytes and the payload; bytes that don't have their digest raise an error."""
     stored = spark.read.parquet(f"{folder}/payloads")
-    right = F.sha2("payload", 256) == F.col("payload_digest")
+    right = F.unhex(F.sha2("payload", 256)) == F.col("payload_digest")
     return stored.select("payload_digest", F.when(right, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("long")).alias("stored_bytes"), "payload")
 
 
@@ -90,7 +90,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     records = spark.read.parquet(f"{folder}/records").select("header")
     return records.select(
         _value("X-Page-ID").cast("long").alias("page_id"), _value("WARC-Target-URI").alias("url"), _value("WARC-Type").alias("record_type"),
-        F.regexp_replace(_value("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"), _value("X-Payload-Length").cast("long").alias("payload_bytes"), _value("X-Refers-To-Page-ID").cast("long").alias("refers_to"), "header",
+        F.unhex(F.regexp_replace(_value("WARC-Payload-Digest"), "^sha256:", "")).alias("payload_digest"), _value("X-Payload-Length").cast("long").alias("payload_bytes"), _value("X-Refers-To-Page-ID").cast("long").alias("refers_to"), "header",
     )
 
 
@@ -98,7 +98,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: headers joined with the verified facts of their payloads, without the bytes."""
     facts = read_payloads(spark, folder).select("payload_digest", "stored_bytes")
     joined = B.spread_join(read_headers(spark, folder), facts, ["payload_digest"], F.col("header"))
-    return joined.select("page_id", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return joined.select("page_id", F.col("stored_bytes").alias("payload_bytes"), F.lower(F.hex("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def rebuild_records(spark: SparkSession, folder: str) -> DataFrame:

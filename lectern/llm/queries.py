@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import archive, decontamination, fingerprints, language, lengths, near_duplicates, packing, site_style, substrings, token_files
-from lectern.llm.batches import shared_folder
+from lectern.llm.batches import release, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "archive")
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
+    release(spark)  # the payloads' shuffle, before records are made again
     record = archive.rebuild_records(spark, folder)
     return record.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
