@@ -48,3 +48,32 @@ def test_figures_fold(spark):
     rows = [(1, 1, 0, "It rose (see Figs."), (1, 1, 1, "3) and fell"), (1, 1, 2, "Plain in Fig."), (1, 1, 3, "Other.")]
     out = S.repair_figure_refs(spark.createDataFrame(rows, "book_id int, chapter_no int, frag_idx int, text string")).orderBy("frag_idx").collect()
     assert [r.text for r in out] == ["It rose and fell.", "Plain.", "Other."]
+
+
+def fragments(spark, *texts):
+    return spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "book_id int, chapter_no int, frag_idx int, text string")
+
+
+def test_only_a_bare_figure_begins_a_block(spark):
+    got = S.drop_figure_blocks(fragments(spark, "Caption first", "One.", " Fig. ", "Caption a", "Caption b", "Fig. 3 shows that it rose.", "Caption c", "Fig."), ["Caption"])
+    assert [r.text for r in got.orderBy("frag_idx").collect()] == ["Caption first", "One.", "Fig. 3 shows that it rose.", "Caption c"]
+
+
+def test_audit_counts_words_not_characters(spark):
+    texts = ["It rose (see Figs.", "Fig.", "Fig. 3 shows it.", "Mill 1940: 3", "by Mill et al.", "open (", "one two three four five six seven eight)", "a b c d e f g h i)", "extraordinarily incomprehensible representations notwithstanding internationalisation)"]
+    got = {r.frag_idx: r.reason for r in S.audit_fragments(fragments(spark, *texts)).collect()}
+    assert got == {0: "dangling figure", 1: "caption", 3: "orphan citation", 4: "et al.", 5: "unmatched (", 6: "short unmatched )", 8: "short unmatched )"}
+
+
+def test_short_chapters_are_counted_without_their_heading(spark):
+    body = lambda n: "\n\n".join(f"Paragraph {k} is here." for k in range(n))
+    chapters = spark.createDataFrame([(1, 1, body(5)), (1, 2, body(4)), (2, 1, body(6)), (2, 3, None)], "book_id int, chapter_no int, body string")
+    got = sorted((r.book_id, r.chapter_no or 0, r.problem) for r in S.chapter_problems(chapters, 2).collect())
+    assert got == [(1, 2, "few paragraphs"), (2, 0, "chapters not 1..n"), (2, 3, "few paragraphs")]
+
+
+def test_titles_and_marked_chapters():
+    assert K.split_title(["", "SOME LINE", "THE LONG", "TITLE", "", "Body here.", "more"], "The Long Title") == ("The Long Title", ["Body here.", "more"])
+    assert K.split_title(["the body starts here.", "x"], None) == ("", ["the body starts here.", "x"]) and K.split_title(["", " "], "T") == ("", [])
+    found = K.marked_chapters("0\n1\nThe First\nbody one\n 2 \n\nThe  Second\nbody two\nINDEX\nx", [{"chapter_no": n, "marker_title": t, "display_title": t.upper()} for n, t in ((1, "the first"), (2, "the second"), (3, "third"))])
+    assert [(c["title"], c["body"], c["problem"]) for c in found] == [("THE FIRST", "body one", None), ("THE SECOND", "body two", None), ("THIRD", None, "marker not found")]

@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import audio as A
@@ -97,3 +98,32 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = sorted((r.position_id, r.frag_idx) for r in P.paragraph_changes(ev, para).collect())
     assert sorted((r.position_id, r.frag_idx) for r in spark.table("changes").collect()) == want and len(want) == 4
+
+
+def test_progress_goes_on_within_one_audio_only(spark):
+    chapters = spark.createDataFrame([(1, 1, 0.0, 10.0, "a"), (1, 2, 10.0, 10.0, "a"), (1, 3, 20.0, 0.0, "b")], "book_id int, chapter_no int, start double, duration double, audio string")
+    at = spark.createDataFrame([(1, 1, 1, 9.9), (2, 1, 2, 9.9), (3, 1, 1, -1.0), (4, 1, 1, 0.005), (5, 1, 3, 2.0), (6, 1, 2, 12.0)], "position_id int, book_id int, chapter_no int, t double")
+    got = {r.position_id: (r.local, r.permille, r.clock, r.advance) for r in P.chapter_progress(at, chapters).collect()}
+    assert got == {1: (9.9, 990, 9.9, True), 2: (9.9, 990, 19.9, False), 3: (0.0, 0, 0.0, False), 4: (0.005, 1, 0.005, False), 5: (2.0, 0, 22.0, False), 6: (12.0, 1000, 22.0, False)}
+
+
+def test_spans_and_alignments_that_break_rules(spark):
+    spine = spark.createDataFrame([(1, 0, 100.0)], "book_id int, spine_index int, duration double")
+    spans = spark.createDataFrame([(1, 1, 0, 0.0, 40.0), (1, 2, 0, 40.0, 40.0), (1, 3, 7, 0.0, 5.0)], "book_id int, number int, spine_index int, start double, end double")
+    assert rows(A.span_problems(spans, spine).select("number", "problem"), "number") == [(2, "no duration"), (3, "spine out of range")]
+    aligned = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "book_id int, frag_idx int")
+    need = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 2), (3, 1, 1)], "book_id int, chapter_no int, n int")
+    assert [r[0] for r in rows(T.short_alignments(aligned, need).select("book_id"), "book_id")] == [2, 3]
+    with pytest.raises(ValueError):
+        T.anchor_windows(spark.createDataFrame([(1, 5.0)], "book_id int, duration double"), step=0)
+
+
+def test_allocated_texts_are_the_slices_of_the_bounds(spark):
+    books = [(b, [f"s{b}.{k}" for k in range(n)]) for b, n in ((1, 6), (2, 2), (3, 0), (4, 17))]
+    parts = spark.createDataFrame([(b, k, float(k % 3)) for b in (1, 2, 3, 4, 5) for k in (1, 2, 3)], "book_id int, part_no int, duration double")
+    frame = spark.createDataFrame(books, "book_id int, fragments array<string>")
+    counts = frame.select("book_id", F.size("fragments").cast("long").alias("n"))
+    fragments = frame.select("book_id", F.posexplode("fragments").alias("frag_idx", "text"))
+    want = T.slice_by_boundaries(fragments, T.allocation_bounds(counts, parts)).select("book_id", "part_no", "frag_idx", "text")
+    got = T.allocated_texts(frame, parts).select("book_id", "part_no", "frag_idx", "text")
+    assert rows(got, "book_id", "frag_idx") == rows(want, "book_id", "frag_idx") != []
