@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,15 @@ def contained_anchors(clips: DataFrame, fragments: DataFrame, keys: Sequence[str
     return hit.groupBy("clip_id").agg(F.min("frag_idx").alias("frag_idx"))
 
 
+def contained_in_blocks(clips: DataFrame, fragments: DataFrame, keys: Sequence[str], block_rows: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """As above for a stated set of clips against fragments that aren't split by key: one scan of the fragments for each block of clips, whose size is checked before it is sent."""
+    size = clips.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("b")).first()
+    n = max(1, -(-size["n"] // block_rows), -(-(size["b"] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("clip_id"), F.lit(n))
+    found = [contained_anchors(F.broadcast(clips.where(block == k)), fragments, keys) for k in range(n)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, keys: Sequence[str] = ("book_id", "chapter_no"), min_chars: int = 0) -> DataFrame:
     """For each clip (clip_id, keys, text, clip_start, first_start) the best fragment: frag_idx, score and time; unmatched clips have nulls.
 

@@ -396,7 +396,7 @@ _NORM = "trim(regexp_replace(lower(" + _CLEAN + "), '[^a-z0-9]+', ' ', 'g'), ' '
 def match_anchor_containment(s, d):
     clips = table(s, d, "benchmark").select(F.lit(1).alias("book_id"), F.col("item_id").alias("clip_id"), X.normalize_match(F.col("text")).alias("norm"))
     f = table(s, d, "documents").select(F.lit(1).alias("book_id"), F.col("doc_id").alias("frag_idx"), X.normalize_match(F.col("text")).alias("norm"))
-    return M.contained_anchors(F.broadcast(clips), f, ("book_id",))  # a stated query set
+    return M.contained_in_blocks(clips, f, ("book_id",))
 
 
 def _turns(s, d) -> DataFrame:
