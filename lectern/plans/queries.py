@@ -578,8 +578,12 @@ def manifest_rows(s, d):
     return j.select("book_id", "part_no", "frag_idx", X.round3(F.col("start") + F.col("begin")).alias("begin"), X.round3(F.col("start") + F.col("end")).alias("end"), F.col("begin").alias("local_begin"), F.col("end").alias("local_end"))
 
 
+def book_units(s, d) -> tuple[DataFrame, DataFrame]:
+    """Each part of a book as a chapter, and its time-coded paragraphs."""
+    chapters = book_parts(s, d).select("book_id", F.lit("chapter").alias("kind"), F.col("part_no").alias("number"), F.format_string("Unit %03d", F.col("part_no")).alias("title"), "part_no", "duration")
+    return chapters, _timed(s, d).select("book_id", "part_no", "frag_idx", X.fragment_id(F.col("frag_idx") + 1).alias("id"), "text", "begin", "end")
+
+
 @query()
 def manifest(s, d):
-    p = book_parts(s, d).select("book_id", F.lit("chapter").alias("kind"), F.col("part_no").alias("number"), F.format_string("Unit %03d", F.col("part_no")).alias("title"), "part_no", "duration")
-    f = _timed(s, d).select("book_id", "part_no", "frag_idx", X.fragment_id(F.col("frag_idx") + 1).alias("id"), "text", "begin", "end")
-    return M.manifest(p, f)
+    return M.manifest(*book_units(s, d))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -44,27 +44,48 @@ def _spine(name: str, content: bytes) -> list[tuple[str, int, str]]:
         return [(title, i, z.read(p).decode("utf-8", "replace")) for i, p in enumerate(paths) if p in names]
 
 
-def read_epub_pages(spark: SparkSession, path: str) -> DataFrame:
-    """book_id (the file's path), title, spine_pos, html."""
+def epub_pages(files: DataFrame) -> DataFrame:
+    """book_id (the file's path), title, spine_pos, html of files (path, content); an unreadable book or one without pages is a row without html."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"], strict=True):
-                rows = _spine(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], bytes(content))
-                yield pd.DataFrame([(p, *r) for r in rows], columns=["book_id", "title", "spine_pos", "html"])
+                stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                try:
+                    rows = _spine(stem, bytes(content))
+                except (zipfile.BadZipFile, ElementTree.ParseError):
+                    rows = []
+                yield pd.DataFrame([(p, *r) for r in rows or [(stem, 0, None)]], columns=["book_id", "title", "spine_pos", "html"])
+
+    return files.select("path", "content").mapInPandas(read, "book_id string, title string, spine_pos int, html string")
+
+
+def read_epub_pages(spark: SparkSession, path: str) -> DataFrame:
+    return epub_pages(spark.read.format("binaryFile").load(path))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "book_id string, title string, spine_pos int, html string")
+def epub_texts(pages: DataFrame) -> DataFrame:
+    """book_id, title, text, problem: clean pages in reading order, two line ends between them, blank ones dropped."""
+    rows = F.array_sort(F.collect_list(F.struct("spine_pos", html_to_text(F.col("html")).alias("text"))))
+    shown = F.filter(F.transform(rows, lambda p: p["text"]), lambda t: t.isNotNull() & (t != ""))
+    out = pages.groupBy("book_id", "title").agg(X.clean_text(F.array_join(shown, "\n\n")).alias("text"))
+    return out.withColumn("problem", F.when(F.col("text") == "", "no text"))
 
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
-    """book_id, title, text: pages in reading order, two line ends between them, blank ones dropped."""
-    pages = read_epub_pages(spark, path).withColumn("text", html_to_text(F.col("html"))).where("text <> ''")
-    parts = F.array_sort(F.collect_list(F.struct("spine_pos", "text")))
-    return pages.groupBy("book_id", "title").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+    return epub_texts(read_epub_pages(spark, path))
 
 
-def read_book_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("book_id"), F.col("value").alias("text"))
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """source, value: a file each; with `lines`, a JSON object on each line that names its own `source`, as large sets come in few files."""
+    files = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("source"), "value")
+    return files.withColumn("source", F.coalesce(F.get_json_object("value", "$.source"), "source")) if lines else files
+
+
+def read_book_text(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """book_id, text: a file each; with `lines`, objects of `source` and `text`."""
+    text = F.get_json_object("value", "$.text") if lines else F.col("value")
+    return read_documents(spark, path, lines).select(F.col("source").alias("book_id"), text.alias("text"))
 
 
 def route_sources(files: DataFrame, path: str = "path") -> DataFrame:
@@ -74,29 +95,36 @@ def route_sources(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("route", route).withColumn("problem", F.when(route.isNull(), "unsupported source"))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    books = read_book_text(spark, path)
+def read_markdown(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    books = read_book_text(spark, path, lines)
     return books.select("book_id", F.posexplode(X.split_sentences_simple(X.clean_markdown(F.col("text")))).alias("frag_idx", "text"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """source, seg_idx, start, end, text from {segments}, {transcription} or a bare list; times in seconds, time stamps or milliseconds."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("json"))
-    bare = F.when(F.ltrim("json").startswith("["), F.from_json("json", _SEGMENTS))
-    parsed = F.from_json("json", f"struct<segments:{_SEGMENTS},transcription:{_SEGMENTS}>")
-    return usable_segments(raw.select("source", F.posexplode(F.coalesce(bare, parsed["segments"], parsed["transcription"])).alias("pos", "s")).select("source", "pos", "s.*"))
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """source, seg_idx, start, end, text, problem from {segments}, {transcription} or a bare list; times in seconds, time stamps or milliseconds.
+
+    Blank segments and those that end before they start go; a transcript of which
+    nothing is left is one row with a problem.
+    """
+    raw = read_documents(spark, path, lines)
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", _SEGMENTS))
+    parsed = F.from_json("value", f"struct<segments:{_SEGMENTS},transcription:{_SEGMENTS}>")
+    found = raw.select("source", F.coalesce(bare, parsed["segments"], parsed["transcription"]).alias("found"))
+    usable = found.select("source", F.filter(F.transform("found", _segment), lambda s: (s["text"] != "") & (s["end"] >= s["start"])).alias("usable"))
+    problem = F.when(F.coalesce(F.size("usable"), F.lit(0)) <= 0, "no usable segment")
+    return usable.select("source", problem.alias("problem"), F.explode_outer("usable").alias("s")).select("source", "s.*", "problem")
 
 
-def usable_segments(rows: DataFrame) -> DataFrame:
-    start = F.coalesce(F.col("start"), X.timestamp_seconds(F.col("timestamps.from")), F.col("offsets.from") / 1000)
-    end = F.coalesce(F.col("end"), X.timestamp_seconds(F.col("timestamps.to")), F.col("offsets.to") / 1000)
-    return rows.select("source", F.col("pos").alias("seg_idx"), start.alias("start"), end.alias("end"), X.collapse_ws(F.col("text")).alias("text")).where("text <> '' and end >= start")
+def _segment(s: Column, pos: Column) -> Column:
+    start = F.coalesce(s["start"], X.timestamp_seconds(s["timestamps"]["from"]), s["offsets"]["from"] / 1000)
+    end = F.coalesce(s["end"], X.timestamp_seconds(s["timestamps"]["to"]), s["offsets"]["to"] / 1000)
+    return F.struct(pos.alias("seg_idx"), start.alias("start"), end.alias("end"), X.collapse_ws(s["text"]).alias("text"))
 
 
-def read_verbose_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_verbose_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """source, text, segments, words of verbose transcripts; blank items dropped, text from the segments where it is missing."""
     item = "array<struct<start:double,end:double,text:string,word:string>>"
-    raw = spark.read.schema(f"text string, segments {item}, words {item}").json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("source"))
+    raw = _objects(spark, path, lines, f"text:string,segments:{item},words:{item}")
 
     def items(c: str):
         named = F.transform(F.coalesce(F.col(c), F.array().cast(item)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), X.collapse_ws(F.coalesce(x["word"], x["text"])).alias("text")))
@@ -106,17 +134,20 @@ def read_verbose_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("text", F.coalesce(F.nullif(X.collapse_ws(F.col("text")), F.lit("")), F.array_join(F.transform("segments", lambda s: s["text"]), " ")))
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+def _objects(spark: SparkSession, path: str, lines: bool, fields: str) -> DataFrame:
+    return read_documents(spark, path, lines).select("source", F.from_json("value", f"struct<{fields}>").alias("o")).select("source", "o.*")
+
+
+def read_alignments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """source, frag_idx, id, begin, end, text of aligner files."""
-    schema = "fragments array<struct<id:string,begin:string,end:string,lines:array<string>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("source"), F.posexplode("fragments").alias("frag_idx", "f"))
+    raw = _objects(spark, path, lines, "fragments:array<struct<id:string,begin:string,end:string,lines:array<string>>>")
+    raw = raw.select("source", F.posexplode("fragments").alias("frag_idx", "f"))
     return raw.select("source", "frag_idx", "f.id", F.col("f.begin").try_cast("double").alias("begin"), F.col("f.end").try_cast("double").alias("end"), F.trim(F.array_join("f.lines", " ")).alias("text"))
 
 
-def read_audiobook_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_audiobook_metadata(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entries, spine): chapters (book_id, pos, title, spine_index, offset) and spine parts (book_id, spine_index, duration)."""
-    schema = "spine array<struct<duration:double>>, chapters array<struct<title:string,spine:int,offset:double>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("book_id"))
+    raw = _objects(spark, path, lines, "spine:array<struct<duration:double>>,chapters:array<struct<title:string,spine:int,offset:double>>").withColumnRenamed("source", "book_id")
     entries = raw.select("book_id", F.posexplode_outer("chapters").alias("pos", "c")).select("book_id", "pos", "c.title", F.col("c.spine").alias("spine_index"), "c.offset")
     return entries, raw.select("book_id", F.posexplode_outer("spine").alias("spine_index", "s")).select("book_id", "spine_index", "s.duration")
 

@@ -18,12 +18,30 @@ def book_lines(fragments: DataFrame) -> DataFrame:
     return chapter_lines(fragments).groupBy("book_id").agg(F.array_join(F.transform(chapters, lambda s: s["text"]), "\n").alias("text"))
 
 
-def write_chapter_text(fragments: DataFrame, path: str, max_records: int = 100_000) -> None:
-    chapter_lines(fragments).select("book_id", "name", "text").write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy("book_id", "name").text(path)
+def _write_by_book(texts: DataFrame, path: str, buckets: int) -> None:
+    """JSON rows, the books dealt over `buckets` folders: the number of files doesn't grow with that of books."""
+    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets)))
+    dealt.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def write_book_text(fragments: DataFrame, path: str) -> None:
-    book_lines(fragments).select("book_id", "text").write.mode("overwrite").partitionBy("book_id").text(path)
+def write_chapter_text(fragments: DataFrame, path: str, buckets: int = 64) -> None:
+    _write_by_book(chapter_lines(fragments).select("book_id", "name", "text"), path, buckets)
+
+
+def write_book_text(fragments: DataFrame, path: str, buckets: int = 64) -> None:
+    """As `readers.read_book_text(..., lines=True)` reads them."""
+    _write_by_book(book_lines(fragments).select("book_id", F.col("book_id").cast("string").alias("source"), "text"), path, buckets)
+
+
+def write_chapter_files(fragments: DataFrame, path: str) -> None:
+    """A folder of plain text for each chapter, for a few books that other programs read."""
+    chapter_lines(fragments).select("book_id", "name", "text").write.mode("overwrite").partitionBy("book_id", "name").text(path)
+
+
+def write_units(df: DataFrame, path: str, by: tuple[str, ...], force: bool = False) -> None:
+    """Appends units that were not there; with `force` their partitions take the place of the old ones, and others stay."""
+    writer = df.write.partitionBy(*by)
+    (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if force else writer.mode("append")).parquet(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -85,8 +85,55 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t/b.json").write_text(json.dumps([{"start": 1.0, "end": 2.0, "text": "c"}]))
     assert sorted((r.start, r.end, r.text) for r in readers.read_transcripts(spark, str(tmp_path / "t")).collect()) == [(1.0, 2.0, "c"), (3.0, 4.5, "a b")]
     frag = spark.createDataFrame([(1, 1, 1, "b"), (1, 1, 0, "a")], "book_id int, chapter_no int, frag_idx int, text string")
-    sinks.write_chapter_text(frag, str(tmp_path / "out"))
+    sinks.write_chapter_files(frag, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()] == ["a", "b"]
+    sinks.write_book_text(frag, str(tmp_path / "books"))
+    assert [tuple(r) for r in readers.read_book_text(spark, str(tmp_path / "books"), lines=True).collect()] == [("1", "a\nb")]
+
+
+def test_sources_report_what_they_cannot_use(spark, tmp_path):
+    (tmp_path / "bad.epub").write_bytes(b"no zip")
+    book = readers.read_epubs(spark, str(tmp_path / "*.epub")).collect()
+    assert [(b.title, b.text, b.problem) for b in book] == [("bad", "", "no text")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.json").write_text("[]")
+    (tmp_path / "t/b.json").write_text(json.dumps({"segments": [{"start": 2.0, "end": 1.0, "text": "x"}]}))
+    (tmp_path / "t/c.json").write_text("no json")
+    found = readers.read_transcripts(spark, str(tmp_path / "t")).collect()
+    assert len(found) == 3 and {(r.seg_idx, r.text, r.problem) for r in found} == {(None, None, "no usable segment")}
+
+
+def test_text_files_and_markdown_are_one_row_a_file(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Head\n\nOne **bold** word. Two [links](x).")
+    assert [r.text for r in readers.read_book_text(spark, str(tmp_path / "a.md")).collect()] == ["# Head\n\nOne **bold** word. Two [links](x)."]
+    found = readers.read_markdown(spark, str(tmp_path / "a.md")).orderBy("frag_idx").collect()
+    assert [r.frag_idx for r in found] == list(range(len(found))) and found[-1].text == "Two links."
+
+
+def test_verbose_transcripts_alignments_and_metadata(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"text": " ", "segments": [{"start": 0, "end": 1, "text": " a  b "}, {"text": ""}], "words": [{"word": "a", "text": "z"}, {"text": "b"}]}))
+    v = readers.read_verbose_transcripts(spark, str(tmp_path / "v.json")).collect()[0]
+    assert (v.text, [x.text for x in v.segments], [x.text for x in v.words]) == ("a b", ["a b"], ["a", "b"])
+    (tmp_path / "a.json").write_text(json.dumps({"fragments": [{"id": "f1", "begin": "0.5", "end": "x", "lines": ["a", "b"]}]}))
+    assert [tuple(r)[1:] for r in readers.read_alignments(spark, str(tmp_path / "a.json")).collect()] == [(0, "f1", 0.5, None, "a b")]
+    (tmp_path / "m.json").write_text(json.dumps({"spine": [{"duration": 5.5}], "chapters": [{"title": "Chapter 1: A", "spine": 0, "offset": 1.5}]}))
+    entries, spine = readers.read_audiobook_metadata(spark, str(tmp_path / "m.json"))
+    assert [tuple(r)[1:] for r in entries.collect()] == [(0, "Chapter 1: A", 0, 1.5)] and [tuple(r)[1:] for r in spine.collect()] == [(0, 5.5)]
+
+
+def test_audio_parts_are_the_best_tier_of_a_folder(spark, tmp_path):
+    for name in ("p/Part 10.mp3", "p/Part 2.mp3", "p/001 x.mp3", "n/002 b.mp3", "n/001 a.mp3", "n/z.mp3", "o/z.mp3", "o/b.mp3", "o/c.jpg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = readers.list_audio_parts(spark, str(tmp_path)).orderBy("dir", "part_no").collect()
+    assert [(r.name, r.number) for r in found] == [("001 a.mp3", 1), ("002 b.mp3", 2), ("b.mp3", 10000), ("z.mp3", 10000), ("Part 2.mp3", 2), ("Part 10.mp3", 10)]
+
+
+def test_forced_units_take_the_place_of_the_old(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "u int, v string")
+    sinks.write_units(df, str(tmp_path / "u"), ("u",))
+    sinks.write_units(spark.createDataFrame([(2, "c")], "u int, v string"), str(tmp_path / "u"), ("u",), force=True)
+    assert sorted((r.u, r.v) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [(1, "a"), (2, "c")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
