@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import archive, decontamination, fingerprints, language, lengths, near_duplicates, packing, site_style, substrings, token_files
+from lectern.llm import archive, decontamination, fingerprints, language, lengths, local_search, near_duplicates, packing, periodic_runs, phrases, site_style, substrings, token_files
 from lectern.llm.batches import release, shared_folder
 
 
@@ -66,11 +66,39 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_search.pack(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by crc32 of the id, is made periodic first, as the contract says."""
+    return periodic_runs.find_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language, op3_fingerprints, op4_token_files, op5_decontamination, op6_substrings, op7_token_counts, op8_near_duplicates, op9_archive, op10_main_text)
+    f.__name__: f for f in (op1_packing, op2_language, op3_fingerprints, op4_token_files, op5_decontamination, op6_substrings, op7_token_counts, op8_near_duplicates, op9_archive, op10_main_text, op11_local_search, op12_phrases, op13_periodic_runs)
 }
 
 ORACLES = {
+    "op12_phrases": r"""
+WITH p AS (SELECT lang, [x for x in string_split(translate(piece, chr(9), ' '), ' ') if x <> ''] AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 10),
+u AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE m = 3),
+v AS (SELECT lang, phrase, max(a) AS around FROM u GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, m)) AS cut FROM c LEFT JOIN v USING (lang, phrase) WHERE around IS NULL OR around * 100 < a * 50),
+s AS (SELECT k.lang, k.phrase, k.a, cut, x.a AS l, y.a AS r, CAST(1000000 * (CAST(k.a AS HUGEINT) * k.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, len(w)), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM o JOIN t USING (lang) WHERE rank <= 2000""",
     "op6_substrings": r"""
 WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
 g AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
