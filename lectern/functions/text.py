@@ -20,7 +20,9 @@ BACK_MATTER = r"^[ \t]*(?:Titles available in\b|Read on for the first chapter\b|
 REFERENCES = r"\n\s*(?:REFERENCES|INDEX)\s*(?:\n|$)"
 PAGE_NUMBER, NUMBERED_HEADER, CHAPTER_HEADER = r"[·.\- ]*\d{1,4}[·.\- ]*", r"\d{1,4}\s+[A-Z][A-Z .'\-]+", r"CHAPTER\s+[A-Za-z]+([- ]+[A-Za-z]+)?"
 FIGURE = r"\s*\((see\s+)?(Table\s+\d+\s+and\s+)?Figs?\.$|\s+in\s+Figs?\.$"
+FIGURE_NUMBER, ONLY_FIGURE_NUMBERS = r"^\d+\)", r"^\d+(\s+and\s+\d+)?(,\s+which\b.*)?\.?$"
 NAME_YEAR = r"[A-Z][A-Za-z' \-]+ \d{4}:"
+INITIAL, PAGE_OF_CITATION = r"[A-Z](\.\s*)?\s*", r"^\d+[),;:\-]"
 BARE_FIGURE = "Fig."
 
 
@@ -169,24 +171,24 @@ def strip_dangling_figure(c: Column) -> Column:
 
 def prose_after_figure_number(c: Column) -> Column:
     text = strip(c)
-    return F.when(text.rlike(r"^\d+\)"), F.regexp_extract(text, r"^\d+\)\s*([\s\S]*)$", 1)).when(text.rlike(r"^\d+(\s+and\s+\d+)?(,\s+which\b.*)?\.?$"), F.lit(""))
+    return F.when(text.rlike(FIGURE_NUMBER), F.regexp_extract(text, rf"{FIGURE_NUMBER}\s*([\s\S]*)$", 1)).when(text.rlike(ONLY_FIGURE_NUMBERS), F.lit(""))
 
 
 def is_citation_continuation(c: Column) -> Column:
     text = strip(c)
-    return text.rlike(r"^\d+[),;:\-]") | text.rlike(rf"^(and\s+)?[A-Z](\.\s*)?\s*{NAME_YEAR}") | text.rlike(f"^{NAME_YEAR}")
+    return text.rlike(PAGE_OF_CITATION) | text.rlike(rf"^((and\s+)?{INITIAL})?{NAME_YEAR}")
 
 
 def is_orphan_citation(c: Column) -> Column:
-    return strip(c).rlike(rf"^([A-Z](\.\s*)?\s*)?{NAME_YEAR}")
+    return strip(c).rlike(rf"^({INITIAL})?{NAME_YEAR}")
 
 
 def ends_with_citation(c: Column) -> Column:
-    return c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){NAME_YEAR}$")
+    return strip(c).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){NAME_YEAR}$")
 
 
 def strip_dangling_citation(c: Column) -> Column:
-    return ensure_terminal(strip(F.regexp_replace(strip(c), rf"\s*\([^()]*\b{NAME_YEAR}$", "")))
+    return ensure_terminal(strip(F.regexp_replace(strip(c), rf"\s*\([^()]*(?<![\p{{L}}\p{{N}}_]){NAME_YEAR}$", "")))
 
 
 def is_caption(c: Column, prefixes: Sequence[str]) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,40 +16,101 @@ from lectern.operators import kernels as K
 from lectern.operators import timeline as T
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([K.similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+def _ratio(least: float):
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        """The ratio where it can reach `least`, else 0; a's letters are placed once for all its neighbours."""
+        out, last, masks = [], None, {}
+        for x, y in zip(a, b, strict=True):
+            if not x or not y:
+                out.append(0.0)
+                continue
+            if x != last:
+                last, masks = x, K.letter_masks(x)
+            out.append(K.similarity(x, y) if K.ratio_bound(masks, len(x), y) >= least else 0.0)
+        return pd.Series(out, dtype="float64")
 
+    return ratio
 
-def similarity(a: Column, b: Column) -> Column:
-    """Containment is settled by Spark; only what is left is sent to Python."""
+
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Containment is settled by Spark; only what is left is sent to Python. Below `least` the score is 0."""
     empty = F.coalesce(a == "", F.lit(True)) | F.coalesce(b == "", F.lit(True))
     held = a.contains(b) | b.contains(a)
-    return F.when(empty, 0.0).when(held, 1.0).otherwise(_ratio(F.when(~empty & ~held, a), F.when(~empty & ~held, b)))
+    return F.when(empty, 0.0).when(held, 1.0).otherwise(_ratio(least)(F.when(~empty & ~held, a), F.when(~empty & ~held, b)))
+
+
+#: Words of a window by which a text and one that holds it meet.
+WINDOW_WORDS = 4
+
+
+def _windows(words: Column, first: Column, last: Column, width: Column) -> Column:
+    """Hashes of the windows of `width` words that begin at the words first..last."""
+    return F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _held(short: DataFrame, long: DataFrame, keys: Sequence[str], short_id: str, long_id: str) -> DataFrame:
+    """(keys, short_id, long_id) of the texts `norm` of `short` that stand in one of `long`, wherever, also within words.
+
+    A text of three words or more stands where its inner words are whole words: its
+    longest inner window of up to WINDOW_WORDS words is its key, and a long text has all
+    its windows as keys.  A text of one or two words stands within a word, or at the end
+    of one and the start of the next: long texts have the pieces of these lengths as
+    keys.  Only texts with a key in common are compared.
+    """
+    words, n = F.split("norm", " "), F.size("w")
+    a = short.where("norm <> ''").select(*keys, F.col(short_id).alias("__s"), words.alias("w"))
+    width = F.least(F.lit(WINDOW_WORDS), n - 2)
+    inner = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n - width)), lambda i: F.struct(F.length(F.array_join(F.slice("w", i, F.greatest(F.lit(1), width)), "")).alias("length"), F.xxhash64(F.slice("w", i, F.greatest(F.lit(1), width))).alias("hash")))
+    key = F.when(n > 2, F.array_max(inner)["hash"]).otherwise(F.xxhash64(F.lit("piece"), F.array_join("w", " ")))
+    a = a.select(*keys, "__s", key.alias("__key"), F.when(n > 2, width).alias("__width"), F.when(n == 1, F.length(F.get("w", F.lit(0)))).alias("__one"), F.when(n == 2, F.struct(F.length(F.get("w", F.lit(0))).alias("a"), F.length(F.get("w", F.lit(1))).alias("b"))).alias("__two"))
+    shapes = a.agg(F.collect_set("__width").alias("widths"), F.collect_set("__one").alias("ones"), F.collect_set("__two").alias("twos"))  # one row: few lengths, however many texts
+    b = long.where("norm <> ''").select(*keys, F.col(long_id).alias("__l"), words.alias("w")).join(F.broadcast(shapes))
+    inside = F.flatten(F.transform("widths", lambda q: _windows(F.col("w"), F.lit(1), n - q + 1, q)))
+
+    def piece(text: Column) -> Column:
+        return F.xxhash64(F.lit("piece"), text)
+
+    within = F.flatten(F.transform("ones", lambda k: F.flatten(F.transform("w", lambda x: F.when(F.length(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - k + 1)), lambda i: piece(F.substring(x, i, k)))).otherwise(F.array().cast("array<bigint>"))))))
+    across = F.flatten(F.transform("twos", lambda t: F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: piece(F.concat(F.right(F.get("w", i - 1), t["a"]), F.lit(" "), F.left(F.get("w", i), t["b"]))))).otherwise(F.array().cast("array<bigint>"))))
+    b = b.select(*keys, "__l", F.explode_outer(F.array_distinct(F.concat(inside, within, across))).alias("__key")).where("__key is not null")
+    met = a.select(*keys, "__s", "__key").join(b, [*keys, "__key"]).select(*keys, "__s", "__l").distinct()
+    texts = met.join(short.select(*keys, F.col(short_id).alias("__s"), F.col("norm").alias("__a")), [*keys, "__s"]).join(long.select(*keys, F.col(long_id).alias("__l"), F.col("norm").alias("__b")), [*keys, "__l"])
+    return texts.where(F.col("__b").contains(F.col("__a"))).select(*keys, F.col("__s").alias(short_id), F.col("__l").alias(long_id))
+
+
+def contained_pairs(clips: DataFrame, fragments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, clip_id, frag_idx) where one's normalised text, not empty, holds the other's. Texts meet by windows of words, not by `keys` alone, of which there may be none."""
+    longest = clips.agg(F.max(F.length("norm")).alias("__most"))
+    small = fragments.join(F.broadcast(longest)).where(F.length("norm") <= F.col("__most")).drop("__most")  # one row
+    names = [*keys, "clip_id", "frag_idx"]
+    return _held(clips, fragments, keys, "clip_id", "frag_idx").select(names).unionByName(_held(small, clips, keys, "frag_idx", "clip_id").select(names)).distinct()
 
 
 def contained_anchors(clips: DataFrame, fragments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
     """Clips whose normalised text holds a fragment or is held by one: the lowest such index. Nothing can score more."""
-    joined = clips.join(fragments.select(*keys, "frag_idx", F.col("norm").alias("__f")), list(keys))
-    hit = joined.where((F.col("norm") != "") & (F.col("__f") != "") & (F.col("norm").contains(F.col("__f")) | F.col("__f").contains(F.col("norm"))))
-    return hit.groupBy("clip_id").agg(F.min("frag_idx").alias("frag_idx"))
+    return contained_pairs(clips, fragments, keys).groupBy("clip_id").agg(F.min("frag_idx").alias("frag_idx"))
+
 
+def _near_in_length(q: DataFrame, f: DataFrame, keys: Sequence[str], a: str, b: str, ratio: float) -> DataFrame:
+    """Pairs within the keys whose lengths let them reach `ratio`: they meet by bands of length, in which each is at most one away from the other's."""
+    wide = (2 - ratio) / ratio * (1 + 1e-9)
 
-def contained_in_blocks(clips: DataFrame, fragments: DataFrame, keys: Sequence[str], block_rows: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
-    """As above for a stated set of clips against fragments that aren't split by key: one scan of the fragments for each block of clips, whose size is checked before it is sent."""
-    size = clips.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("norm")).alias("b")).first()
-    n = max(1, -(-size["n"] // block_rows), -(-(size["b"] or 0) // block_bytes))
-    block = F.pmod(F.xxhash64("clip_id"), F.lit(n))
-    found = [contained_anchors(F.broadcast(clips.where(block == k)), fragments, keys) for k in range(n)]
-    return reduce(DataFrame.unionByName, found)
+    def band(c: str) -> Column:
+        return F.floor(F.log(F.greatest(F.lit(1), F.length(c))) / F.lit(math.log(wide))).cast("int")
+
+    bands = F.explode(F.array(*[band(a) + k for k in (-1, 0, 1)])).alias("__band")
+    pairs = q.where(F.length(a) > 0).select("*", bands).join(f.where(F.length(b) > 0).withColumn("__band", band(b)), [*keys, "__band"]).drop("__band")
+    return pairs.where(2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) >= ratio)
 
 
 def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, keys: Sequence[str] = ("book_id", "chapter_no"), min_chars: int = 0) -> DataFrame:
     """For each clip (clip_id, keys, text, clip_start, first_start) the best fragment: frag_idx, score and time; unmatched clips have nulls.
 
     Score: the similarity to a fragment, or 0.92 of that to it and the next three; ties
-    go to the lowest index.  Pairs that cannot reach `least`, by their lengths alone,
-    are never compared.
+    go to the lowest index.  Texts that hold each other meet by their words, others by
+    the bands of their lengths; what their longest common subsequence keeps below
+    `least` is never compared.
     """
     w = Window.partitionBy(*keys).orderBy("frag_idx")
     norm = X.normalize_match(F.col("text"))
@@ -58,28 +119,29 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
     f = f.where(F.length("norm") >= min_chars)
     c = clips.withColumn("norm", norm)
     sure = contained_anchors(c, f, keys).withColumn("score", F.lit(1.0))
-    pairs = c.join(sure.select("clip_id"), "clip_id", "left_anti").select("clip_id", *keys, F.col("norm").alias("q")).join(f, list(keys))
-
-    def bound(a: str, b: str) -> Column:
-        return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-
-    pairs = pairs.withColumn("one", bound("q", "norm") >= least).withColumn("four", 0.92 * F.when(F.col("more").contains(F.col("q")) | F.col("q").contains(F.col("more")), 1.0).otherwise(bound("q", "more")) >= least).where("one or four")
-    score = F.greatest(F.when(F.col("one"), similarity(F.col("q"), F.col("norm"))).otherwise(0.0), F.when(F.col("four"), 0.92 * similarity(F.col("q"), F.col("more"))).otherwise(0.0))
-    best = pairs.withColumn("score", score).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("frag_idx")).alias("n"))).alias("b")).where(F.col("b.score") >= least)
+    rest = c.join(sure.select("clip_id"), "clip_id", "left_anti")
+    q = rest.select("clip_id", *keys, F.col("norm").alias("q"))
+    held = contained_pairs(rest, f.select(*keys, "frag_idx", F.col("more").alias("norm")), keys).select("clip_id", "frag_idx", F.lit(0.92).alias("score"))
+    one = _near_in_length(q, f.select(*keys, "frag_idx", "norm"), keys, "q", "norm", least)
+    one = one.select("clip_id", "frag_idx", similarity(F.col("q"), F.col("norm"), least).alias("score"))
+    far = least / 0.92 - 1e-9
+    four = _near_in_length(q, f.select(*keys, "frag_idx", "more"), keys, "q", "more", far)
+    four = four.select("clip_id", "frag_idx", (0.92 * similarity(F.col("q"), F.col("more"), far)).alias("score"))
+    best = held.unionByName(one).unionByName(four).where(F.col("score") >= least).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("frag_idx")).alias("n"))).alias("b"))
     found = sure.unionByName(best.select("clip_id", (-F.col("b.n")).alias("frag_idx"), "b.score"))
     time = X.round3(F.col("clip_start") + F.coalesce("first_start", F.lit(0.0)))
     return clips.join(found, "clip_id", "left").withColumn("score", X.round3(F.col("score"))).withColumn("time", F.when(F.col("frag_idx").isNotNull(), time))
 
 
 def align_to_segments(fragments: DataFrame, segments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), accept: float = 0.58, stop: float = 0.92, lookahead: int | None = None) -> DataFrame:
-    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx (null where unmatched) and score."""
+    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx and score (nulls where unmatched)."""
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("frag_idx"), right.sort_values("seg_idx")
         found = K.align(left["norm"].fillna("").tolist(), right["norm"].fillna("").tolist(), accept, stop, lookahead)
         places = right["seg_idx"].tolist()
         left["seg_idx"] = pd.array([None if i is None else places[i] for i, _ in found], dtype="Int64")
-        left["score"] = [s for _, s in found]
+        left["score"] = pd.array([s for _, s in found], dtype="Float64")
         return left.drop(columns="norm")
 
     f = fragments.select(*keys, F.col("frag_idx").cast("long").alias("frag_idx"), "text", X.normalize_match(F.col("text")).alias("norm"))

@@ -70,7 +70,18 @@ def paragraph_fragments(chapters: DataFrame, headers: Sequence[str] = ()) -> Dat
 
 def sentence_fragments(chapters: DataFrame) -> DataFrame:
     heading = F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string"), F.lit(". "), F.col("title"), F.lit("."))
-    return chapters.select("book_id", "chapter_no", F.posexplode(F.concat(F.array(heading), X.split_sentences(F.col("body")))).alias("frag_idx", "text"))
+    return chapters.select("book_id", "chapter_no", F.posexplode_outer(F.concat(F.array(heading), X.split_sentences(F.col("body")))).alias("frag_idx", "text")).where("frag_idx is not null")
+
+
+def book_fragments(books: DataFrame, split=X.split_sentences, keys: Sequence[str] = ("book_id",)) -> DataFrame:
+    """(keys, n, frag_idx, text): each text's fragments by `split`, and how many it has.
+
+    Outer, and filtered afterwards: before an inner explode Spark would test the array's
+    size, which splits every text twice.
+    """
+    listed = books.select(*keys, split(F.col("text")).alias("__all"))
+    rows = listed.select(*keys, F.size("__all").alias("n"), F.posexplode_outer("__all").alias("frag_idx", "text"))
+    return rows.where("frag_idx is not null")
 
 
 def drop_figure_blocks(fragments: DataFrame, prefixes: Sequence[str], keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
@@ -81,34 +92,66 @@ def drop_figure_blocks(fragments: DataFrame, prefixes: Sequence[str], keys: Sequ
     return f.withColumn("__lead", lead).where((X.strip(F.col("__lead")) != X.BARE_FIGURE) | (F.col("__block") == 0)).drop("__block", "__lead")
 
 
-def _fold(fragments: DataFrame, function, keys: Sequence[str]) -> DataFrame:
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("frag_idx", "text"))), lambda s: s["text"])
-    return fragments.groupBy(*keys).agg(texts.alias("texts")).select(*keys, F.posexplode(function(F.col("texts"))).alias("frag_idx", "text"))
-
-
 def repair_figure_refs(fragments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
-    """A fragment that ends in a cut-off figure reference loses it and takes in the prose behind the next one's figure number."""
-
-    def repair(texts: Column) -> Column:
-        def step(state: Column, text: Column) -> Column:
-            held, prose = state["held"], X.prose_after_figure_number(text)
-            ended = F.concat(state["out"], F.array(X.ensure_terminal(held)))
-            absorbed = F.concat(state["out"], F.array(X.ensure_terminal(X.strip(F.concat(held, F.lit(" "), prose)))))
-            cut = X.strip_dangling_figure(text)
-            plain = F.when(held.isNotNull(), ended).otherwise(state["out"])
-            begun = F.struct(plain.alias("out"), cut.alias("held"))
-            kept = F.struct(F.concat(plain, F.array(text)).alias("out"), F.lit(None).cast("string").alias("held"))
-            return F.when(held.isNotNull() & prose.isNotNull(), F.struct(absorbed.alias("out"), F.lit(None).cast("string").alias("held"))).when(cut.isNotNull(), begun).otherwise(kept)
+    """A fragment that ends in a cut-off figure reference loses it and takes in the prose behind the next one's figure number.
 
-        first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-        done = F.aggregate(texts, first, step, lambda s: F.when(s["held"].isNotNull(), F.concat(s["out"], F.array(X.ensure_terminal(s["held"])))).otherwise(s["out"]))
-        return F.filter(done, lambda x: x != "")
-
-    return _fold(fragments, repair, keys)
-
-
-def merge_citations(fragments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
-    return _fold(fragments, _each(lambda x: K.merge_citations(list(x)), "array<string>"), keys)
+    Whether a reference waits at a fragment depends on what stands before: a fragment
+    with a cut-off reference leaves one, one that is both that and a figure number
+    turns the state around, all others leave none.  So it is the last fragment that
+    isn't both, and how many are since then.
+    """
+    w = Window.partitionBy(*keys).orderBy("frag_idx")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    f = fragments.select(*keys, "frag_idx", "text").withColumn("__cut", X.strip_dangling_figure(F.col("text"))).withColumn("__prose", X.prose_after_figure_number(F.col("text")))
+    leaves, number = F.col("__cut").isNotNull(), F.col("__prose").isNotNull()
+    both = leaves & number
+    f = f.withColumn("__seen", F.count(F.when(both, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    f = f.withColumn("__sure", F.last(F.when(~both, F.struct(leaves.alias("leaves"), "__seen")), ignorenulls=True).over(before))
+    turned = F.col("__seen") - F.when(both, 1).otherwise(0) - F.coalesce("__sure.__seen", F.lit(0))
+    waits = F.coalesce("__sure.leaves", F.lit(False)) != (turned % 2 == 1)
+    f = f.withColumn("__taken", number & waits)
+    joined = F.when(F.lead("__taken").over(w), X.ensure_terminal(X.strip(F.concat("__cut", F.lit(" "), F.lead("__prose").over(w))))).otherwise(X.ensure_terminal(F.col("__cut")))
+    out = f.withColumn("__out", F.when(leaves, joined).otherwise(F.col("text"))).where("not __taken and __out <> ''")
+    return out.select(*keys, (F.row_number().over(w) - 1).alias("frag_idx"), F.col("__out").alias("text"))
+
+
+#: What a chapter's citations wait for, as digits: nothing behind an ended fragment, nothing behind an open one, a run of one
+#: fragment behind either (by what is left if it stays alone), a run of more.
+_ENDED, _OPEN, _ALONE_ENDED, _ALONE_OPEN, _RUN = "01234"
+
+
+def merge_citations(fragments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), rounds: int = 16) -> DataFrame:
+    """Puts citations together that were cut in two: a citation goes to the open fragment before it, a fragment that ends with a citation takes in its continuations up to the first that ends a sentence. A fragment that follows an unfinished run stays by itself.
+
+    A fragment maps what was waited for before it to what is waited for after it, a
+    word of five digits; such maps are composed over 1, 2, 4 ... fragments by windows.
+    An ordinary fragment's map doesn't depend on what was before, so `rounds` is enough
+    for runs of 2 ** rounds citations and figures without one.  Then it is known of
+    every fragment whether it belongs to the one before, and groups are joined.
+    """
+    w = Window.partitionBy(*keys).orderBy("frag_idx")
+    text = F.col("text")
+    f = fragments.select(*keys, "frag_idx", X.strip(text).alias("text"))
+    f = f.withColumn("__more", X.is_citation_continuation(text)).withColumn("__orphan", X.is_orphan_citation(text)).withColumn("__head", X.ends_with_citation(text))
+    f = f.withColumn("__ended", text.rlike(r"[.?!]\z")).withColumn("__alone", F.when(F.col("__head"), X.strip_dangling_citation(text)))
+    after = F.when(F.col("__ended"), _ENDED).otherwise(_OPEN)
+    gone = F.col("__alone") == ""
+    from_ended = F.when(F.col("__head"), _ALONE_ENDED).otherwise(after)  # a lone run that leaves nothing is behind what was there before
+    from_open = F.when(F.col("__orphan"), after).when(F.col("__head"), F.when(gone, _ALONE_OPEN).otherwise(_ALONE_ENDED)).otherwise(after)
+    taken = F.when(F.col("__ended"), _ENDED).otherwise(_RUN)
+    f = f.withColumn("__map", F.concat(from_ended, from_open, *[F.when(F.col("__more"), taken).otherwise(x) for x in (from_ended, from_open, from_open)]))
+    for k in range(rounds):
+        f = f.withColumn("__earlier", F.coalesce(F.lag("__map", 1 << k).over(w), F.lit("01234"))).withColumn("__map", F.expr("translate(__earlier, '01234', __map)"))
+    f = f.withColumn("__before", F.substring(F.coalesce(F.lag("__map").over(w), F.lit("01234")), 1, 1))
+    in_run = F.col("__before").isin(_ALONE_ENDED, _ALONE_OPEN, _RUN) & F.col("__more")
+    open_before = F.col("__before").isin(_OPEN, _ALONE_OPEN, _RUN)
+    f = f.withColumn("__joins", in_run | (open_before & F.col("__orphan")))
+    f = f.withColumn("__taken", F.coalesce(F.lead(in_run).over(w), F.lit(False)))
+    single = F.col("__head") & ~F.col("__joins") & ~F.col("__taken")
+    f = f.withColumn("text", F.when(single, F.col("__alone")).otherwise(text)).where(~(single & gone))
+    f = f.withColumn("__group", F.count(F.when(~F.col("__joins"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("frag_idx", "text"))), lambda s: s["text"])
+    return f.groupBy(*keys, "__group").agg(F.array_join(parts, " ").alias("text")).select(*keys, (F.col("__group") - 1).cast("int").alias("frag_idx"), "text")
 
 
 def chapter_problems(chapters: DataFrame, count: int, least: int = 5, headers: Sequence[str] = ()) -> DataFrame:

@@ -43,28 +43,32 @@ def allocation_bounds(counts: DataFrame, parts: DataFrame, key: str = "book_id",
     return p.select(key, order, "duration", "start_idx", "end_idx", "problem")
 
 
-def allocated_texts(books: DataFrame, parts: DataFrame, key: str = "book_id", order: str = "part_no") -> DataFrame:
-    """(key, part_no, duration, frag_idx, text): each book's fragments in the parts that `allocation_bounds` gives them.
+def allocated_texts(fragments: DataFrame, parts: DataFrame, key: str = "book_id", order: str = "part_no") -> DataFrame:
+    """The fragments (key, `n` of the book, frag_idx, ...) with the part that `allocation_bounds` gives them: adds part_no and duration.
 
-    `books`: key and `fragments`, an array; so a text is split once, and shuffled once.
-    Books with a problem are left out.
+    One sweep: the parts' bounds are found by windows over the parts of a book and its
+    fragments together, and each fragment takes the last part that begins at or before
+    it.  So fragments are made once and shuffled once, by book, and nothing is copied
+    for each part.  Books with a problem are left out.
     """
-    listed = F.array_sort(F.collect_list(F.struct(order, F.col("duration").cast("double").alias("duration")))).alias("parts")
-    both = books.join(parts.groupBy(key).agg(listed), key).withColumn("n", F.size("fragments")).withColumn("k", F.size("parts"))
-    both = both.withColumn("total", F.aggregate("parts", F.lit(0.0), lambda x, p: x + p["duration"])).where("n > 0 and total > 0 and n >= k")
-    zero = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0.0).alias("cum"), F.lit(0.0).alias("over"))
-
-    def step(state: Column, p: Column) -> Column:
-        i, cum = F.size(state["ends"]) + 1, state["cum"] + p["duration"]
-        target = F.least(F.bround(F.col("n") * cum / F.col("total")), (F.col("n") - (F.col("k") - i)).cast("double")) - i
-        over = F.greatest(state["over"], target)
-        end = F.when(i == F.col("k"), F.col("n")).otherwise((i + over).cast("int"))
-        return F.struct(F.concat(state["ends"], F.array(end)).alias("ends"), cum.alias("cum"), over.alias("over"))
-
-    cut = both.withColumn("ends", F.aggregate("parts", zero, step, lambda s: s["ends"]))
-    one = cut.select(key, "fragments", "ends", F.posexplode("parts").alias("i", "p")).withColumn("begin", F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0))
-    own = F.slice("fragments", F.col("begin") + 1, F.get("ends", F.col("i")) - F.col("begin"))
-    return one.select(key, f"p.{order}", "p.duration", "begin", F.posexplode(own).alias("at", "text")).select(key, order, "duration", (F.col("begin") + F.col("at")).alias("frag_idx"), "text")
+    rest = [c for c in fragments.columns if c not in (key, "n", "frag_idx")]
+    kinds = dict(fragments.dtypes)
+    f = fragments.select(key, F.col("n").cast("long").alias("n"), F.col("frag_idx").cast("long").alias("frag_idx"), *rest, F.lit(None).cast(dict(parts.dtypes)[order]).alias(order), F.lit(None).cast("double").alias("duration"))
+    p = parts.select(key, F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("frag_idx"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], order, F.col("duration").cast("double").alias("duration"))
+    both, whole = f.unionByName(p), Window.partitionBy(key)
+    of_part, upto = F.col("frag_idx").isNull(), _book([key], order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__n", F.max("n").over(whole)).withColumn("__k", F.count(F.when(of_part, 1)).over(whole)).withColumn("__total", F.sum("duration").over(whole))
+    both = both.where("__n > 0 and __total > 0 and __n >= __k")
+    both = both.withColumn("__i", F.count(F.when(of_part, 1)).over(upto)).withColumn("__cum", F.sum("duration").over(upto))
+    target = F.least(F.bround(F.col("__n") * F.col("__cum") / F.col("__total")), (F.col("__n") - (F.col("__k") - F.col("__i"))).cast("double")) - F.col("__i")
+    both = both.withColumn("__t", F.when(of_part, target))
+    end = (F.col("__i") + F.greatest(F.lit(0.0), F.max("__t").over(upto))).cast("long")
+    both = both.withColumn("__end", F.when(of_part, end))
+    start = F.when(F.col("__i") == 1, F.lit(0).cast("long")).otherwise(F.lag("__end").over(_book([key], order)))
+    at = both.withColumn("__at", F.when(of_part, start).otherwise(F.col("frag_idx"))).withColumn("__part", of_part)
+    sweep = Window.partitionBy(key).orderBy("__at", F.desc("__part")).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(of_part, F.struct(order, "duration")), ignorenulls=True).over(sweep)
+    return at.withColumn("__last", last).where("not __part").select(key, F.col(f"__last.{order}").alias(order), "__last.duration", F.col("frag_idx").cast("int").alias("frag_idx"), *rest)
 
 
 def anchor_segments(fragments: DataFrame, parts: DataFrame, prefix: str, key: str = "book_id") -> DataFrame:
@@ -151,10 +155,15 @@ def interpolate_gaps(times: DataFrame, first_start: Column, last_end: Column, ke
     return t.withColumn("new_begin", X.round3(begin)).withColumn("new_end", X.round3(end)).drop("begin", "end", "open", "left", "right", "island", "k", "m").withColumnsRenamed({"new_begin": "begin", "new_end": "end"})
 
 
+def weight(text: Column) -> Column:
+    """A fragment's share in the time of its segment: the length of its normalised text."""
+    return F.greatest(F.lit(1), F.length(X.normalize_match(text)))
+
+
 def proportional_times(assigned: DataFrame, keys: Sequence[str], order: str = "frag_idx") -> DataFrame:
-    """Fragments that share a segment (seg_start, seg_end) split it by the length of their normalised text; the last ends with it."""
+    """Fragments that share a segment (seg_start, seg_end) split it by their weights `w`, or if there are none those of `text`; the last ends with it."""
     w, whole = _book(keys, order), Window.partitionBy(*keys)
-    a = assigned.withColumn("w", F.greatest(F.lit(1), F.length(X.normalize_match(F.col("text")))))
+    a = assigned if "w" in assigned.columns else assigned.withColumn("w", weight(F.col("text")))
     span = F.greatest(F.lit(0.001), F.col("seg_end") - F.col("seg_start"))
     total, upto = F.sum("w").over(whole), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0))
     last = F.row_number().over(w) == F.count(F.lit(1)).over(whole)

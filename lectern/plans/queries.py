@@ -37,8 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that are worth a task of their own, where each is searched by many patterns.
+TASK_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, of which a scan makes fewer tasks than the session has cores, dealt over the cores. Larger ones stay as they are read."""
+    size, cores = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
+
+
 def books(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("book_id"), "text")
+    return spread(table(s, d, "documents").select(F.col("doc_id").alias("book_id"), "text"))
 
 
 def parts(s: SparkSession, d: str) -> DataFrame:
@@ -47,7 +57,7 @@ def parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def fragments(s: SparkSession, d: str) -> DataFrame:
-    return books(s, d).select("book_id", F.posexplode(X.split_sentences(F.col("text"))).alias("frag_idx", "text"))
+    return S.book_fragments(books(s, d)).drop("n")
 
 
 def book_parts(s: SparkSession, d: str) -> DataFrame:
@@ -132,7 +142,7 @@ p AS (SELECT doc_id, i, CASE WHEN length(line) <= 80 AND regexp_matches(line, '^
 f AS (SELECT doc_id, i, unnest(range(len(p))) AS j, unnest(p) AS text FROM p)
 SELECT doc_id AS book_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS frag_idx, text FROM f WHERE text <> ''""")
 def split_sentences_simple(s, d):
-    return books(s, d).select("book_id", F.posexplode(X.split_sentences_simple(F.col("text"))).alias("frag_idx", "text"))
+    return S.book_fragments(books(s, d), X.split_sentences_simple).drop("n")
 
 
 _MD_SQL = "'# ' || replace(replace(text, chr(10), chr(10) || '- **a** `b` [c](d) [e][1] '), '. ', '.' || chr(10) || '[1]: http://x' || chr(10) || '> ')"
@@ -225,8 +235,8 @@ def timeline(s, d):
 
 def _timed(s, d) -> DataFrame:
     """Fragments in their parts, with the part's time as the segment."""
-    split = books(s, d).select("book_id", X.split_sentences(F.col("text")).alias("fragments"))
-    placed = T.allocated_texts(split, parts(s, d)).withColumn("seg_start", F.lit(0.0)).withColumn("seg_end", F.col("duration"))
+    f = S.book_fragments(books(s, d)).withColumn("w", T.weight(F.col("text")))
+    placed = T.allocated_texts(f, parts(s, d)).withColumn("seg_start", F.lit(0.0)).withColumn("seg_end", F.col("duration"))
     return T.proportional_times(placed, ["book_id", "part_no"])
 
 
@@ -394,9 +404,9 @@ _NORM = "trim(regexp_replace(lower(" + _CLEAN + "), '[^a-z0-9]+', ' ', 'g'), ' '
 
 @query(f"WITH b AS (SELECT item_id AS clip_id, {_NORM.format('text')} AS n FROM benchmark), d AS (SELECT doc_id AS frag_idx, {_NORM.format('text')} AS m FROM documents) SELECT clip_id, min(frag_idx) AS frag_idx FROM b JOIN d ON n <> '' AND m <> '' AND (contains(m, n) OR contains(n, m)) GROUP BY 1")
 def match_anchor_containment(s, d):
-    clips = table(s, d, "benchmark").select(F.lit(1).alias("book_id"), F.col("item_id").alias("clip_id"), X.normalize_match(F.col("text")).alias("norm"))
-    f = table(s, d, "documents").select(F.lit(1).alias("book_id"), F.col("doc_id").alias("frag_idx"), X.normalize_match(F.col("text")).alias("norm"))
-    return M.contained_in_blocks(clips, f, ("book_id",))
+    clips = table(s, d, "benchmark").select(F.col("item_id").alias("clip_id"), X.normalize_match(F.col("text")).alias("norm"))
+    f = books(s, d).select(F.col("book_id").alias("frag_idx"), X.normalize_match(F.col("text")).alias("norm"))
+    return M.contained_anchors(clips, f, ())
 
 
 def _turns(s, d) -> DataFrame:
@@ -407,7 +417,7 @@ def _turns(s, d) -> DataFrame:
 
 def _turn_fragments(s, d) -> DataFrame:
     w = Window.partitionBy("book_id", "chapter_no").orderBy("seg_idx", "pos")
-    f = _turns(s, d).select("book_id", "chapter_no", "seg_idx", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "text"))
+    f = S.book_fragments(_turns(s, d), keys=("book_id", "chapter_no", "seg_idx")).withColumnRenamed("frag_idx", "pos")
     return f.withColumn("frag_idx", F.row_number().over(w) - 1).select("book_id", "chapter_no", "frag_idx", "text")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import audio as A
 from lectern.operators import matching as M
+from lectern.operators import structure as S
 from lectern.operators import timeline as T
 from lectern.sources import readers, sinks
 from lectern.streaming import playback as P
@@ -172,5 +173,5 @@ def test_allocated_texts_are_the_slices_of_the_bounds(spark):
     counts = frame.select("book_id", F.size("fragments").cast("long").alias("n"))
     fragments = frame.select("book_id", F.posexplode("fragments").alias("frag_idx", "text"))
     want = T.slice_by_boundaries(fragments, T.allocation_bounds(counts, parts)).select("book_id", "part_no", "frag_idx", "text")
-    got = T.allocated_texts(frame, parts).select("book_id", "part_no", "frag_idx", "text")
+    got = T.allocated_texts(S.book_fragments(frame.withColumnRenamed("fragments", "text"), split=lambda c: c), parts).select("book_id", "part_no", "frag_idx", "text")
     assert rows(got, "book_id", "frag_idx") == rows(want, "book_id", "frag_idx") != []
