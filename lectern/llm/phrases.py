@@ -12,7 +12,8 @@ counted; every phrase is counted in one pass, whole, so counts are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ SAMPLED, LOWERED = 4, 0.8
 #: Bits for each phrase of a filter, and for a filter at most; a filter that is too full counts more phrases, it loses none.
 BITS_EACH, MOST_BITS, SEGMENTS, PROBES = 12, 1 << 27, 64, 3
 #: Bytes of text that a task counts at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
+#: Buckets of hashes, and chunks that a bucket's task merges at most before inner buckets are made.
+BUCKETS, MERGED_CHUNKS = 128, 1024
 SALTS = 16
 COUNTS = "lang string, m int, phrase string, n bigint"
 
@@ -110,73 +113,142 @@ class _Words(dict):
         return n
 
 
-def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(m, phrases, counts) of the phrases of `lengths` words that this round counts: all words in round 0, and else those of whose two parts the later one came by this round's filter."""
+def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+    """(m, hashes, counts, spell) of the distinct phrases of `lengths` words that this round counts: all words in round 0, and else those of whose two parts the later one came by this round's filter. `spell` gives the phrases at some places."""
     words = _Words({b"\n": 0, b"": 1})
     ids = np.fromiter(map(words.__getitem__, b"\n".join(texts).translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")), np.int64)
     ids = ids[ids != 1]
     names = list(words)
+    del words
+    hashes = word_hash = _word_hashes(names, lang)
     if 1 in lengths and round_ == 0:
         n = np.bincount(ids, minlength=len(names))
         n[:2] = 0
         own = np.flatnonzero(n)
-        yield 1, [names[i] for i in own.tolist()], n[own]
+        yield 1, word_hash[own], n[own], lambda at, own=own: [names[i] for i in own[at].tolist()]
     if lengths[-1] < 2:
         return
-    word_hash = _word_hashes(names, lang)
     code = _codes(filters, 1, word_hash)
     code[:2] = -1
-    # at[i]: which distinct phrase of m - 1 words begins at i, if it has a code; what it is: its hash, words and code
-    at, hashes, phrases = ids, word_hash, names
+    # at[i]: which distinct phrase of m - 1 words begins at i, or -1; built: what each phrase of a length is made of
+    at, built = ids, []
+
+    def spell(m: int, which: np.ndarray) -> list[bytes]:
+        if m == 1:
+            return [names[i] for i in which.tolist()]
+        first, end = built[m - 2]
+        return [a + b" " + names[b] for a, b in zip(spell(m - 1, first[which]), end[which].tolist(), strict=True)]
+
     for m in range(2, lengths[-1] + 1):
         left, right = at[:-1], at[1:]
         both = np.flatnonzero((left >= 0) & (right >= 0))
         both = both[(code[left[both]] >= 0) & (code[right[both]] >= 0)]
-        last = ids[both + m - 1]
-        key, inverse, n = np.unique(left[both] * len(names) + last, return_inverse=True, return_counts=True)
+        key, inverse, n = np.unique(left[both] * len(names) + ids[both + m - 1], return_inverse=True, return_counts=True)
         first, end = key // len(names), key % len(names)
         turn = np.zeros(len(key), np.int64)
         turn[inverse] = np.maximum(code[left[both]], code[right[both]])
-        spelt = [phrases[a] + b" " + names[b] for a, b in zip(first.tolist(), end.tolist(), strict=True)] if m < lengths[-1] else None
+        hashes = _joined(hashes[first], word_hash[end])
+        built.append((first, end))
         if m in lengths:
             own = np.flatnonzero(turn == round_)
-            yield m, [spelt[i] for i in own.tolist()] if spelt else [phrases[a] + b" " + names[b] for a, b in zip(first[own].tolist(), end[own].tolist(), strict=True)], n[own]
+            yield m, hashes[own], n[own], lambda at, m=m, own=own: spell(m, own[at])
         if m < lengths[-1]:
-            hashes = _joined(hashes[first], word_hash[end])
-            code, phrases = _codes(filters, m, hashes), spelt
+            code = _codes(filters, m, hashes)
             at = np.full(len(ids) - m + 1, -1, np.int64)
             at[both] = inverse
 
 
-def count_phrases(docs: DataFrame, filters: Filters, round_: int, lengths: range) -> DataFrame:
-    """(lang, m, phrase, n), one row for each phrase. `docs`: lang, raw (the text's UTF-8)."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
+    """About CHUNK_BYTES of texts by language, or one longer text."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, raw in zip(batch["lang"].to_pylist(), batch["raw"].to_pylist(), strict=True):
+            held.setdefault(lang, []).append(raw)
+            size += len(raw)
+            if size >= CHUNK_BYTES:
+                yield held
+                held, size = {}, 0
+    if held:
+        yield held
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for m, phrases, n in _count(texts, lang, shared.value, round_, lengths):
-                    if phrases:
-                        spelt = pa.array(phrases, pa.binary()).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([m] * len(n), pa.int32()), spelt, pa.array(n, pa.int64())], names=["lang", "m", "phrase", "n"])
+def count_phrases(docs: DataFrame, filters: Filters, round_: int, lengths: range, hot: Filter | None = None) -> DataFrame:
+    """(lang, m, phrase, n), one row for each phrase, if `hot` holds it; in round 0 also the number of words of each language, as m = 0. `docs`: lang, raw (the text's UTF-8)."""
+    shared = docs.sparkSession.sparkContext.broadcast((filters, hot))
 
-        for batch in batches:
-            for lang, raw in zip(batch["lang"].to_pylist(), batch["raw"].to_pylist(), strict=True):
-                held.setdefault(lang, []).append(raw)
-                size += len(raw)
-                if size >= CHUNK_BYTES:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, most = shared.value
+        for held in _chunks(batches):
+            for lang, texts in held.items():
+                for m, hashes, n, spell in _count(texts, lang, known, round_, lengths):
+                    own = np.arange(len(n)) if most is None else np.flatnonzero(most.holds(hashes))
+                    spelt, n_words, counts = spell(own), [m] * len(own), n[own]
+                    if m == 1:
+                        spelt, n_words, counts = [*spelt, b""], [*n_words, 0], np.append(counts, n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(n_words, pa.int32()), pa.array(spelt, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "m", "phrase", "n"])
 
     return docs.mapInArrow(count, COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order, begin = B.grouped(keys)
+    return keys[order][begin], np.minimum(np.add.reduceat(counts[order].astype(np.int64), begin), 255) if len(begin) else counts
+
+
+def frequent_hashes(docs: DataFrame, filters: Filters, lengths: range, least: int, text_bytes: int) -> Filter | None:
+    """A filter of the phrases of round 0 whose hashes occur `least` times or more: those that are frequent, and few others.
+
+    Tasks count hashes for each chunk and deal them, packed, to BUCKETS buckets; so
+    the many phrases that are rare never become rows of text.  Where buckets would
+    grow beyond a task, groups of chunks are merged and dealt to inner buckets.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    inner = -(-text_bytes // (CHUNK_BYTES * MERGED_CHUNKS))
+    kind, buckets = "bucket int, inner int, payload binary", np.uint64(BUCKETS)
+
+    def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+        return keys.tobytes() + counts.astype(np.uint8).tobytes()
+
+    def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = table["payload"].to_pylist()
+        sizes = [len(r) // 9 for r in rows]
+        keys = np.concatenate([np.frombuffer(r, np.uint64, n) for r, n in zip(rows, sizes, strict=True)])
+        return _summed(keys, np.concatenate([np.frombuffer(r, np.uint8, n, 8 * n) for r, n in zip(rows, sizes, strict=True)]))
+
+    def rows(bucket: list[int], inside: list[int], payload: list[bytes]) -> pa.Table:
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "inner": pa.array(inside, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, held in enumerate(_chunks(batches)):
+            found = [(h, n) for lang, texts in held.items() for _, h, n, _ in _count(texts, lang, shared.value, 0, lengths)]
+            keys, counts = _summed(np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found]))
+            order = np.argsort(keys % buckets, kind="stable")
+            keys, counts = keys[order], counts[order]
+            edge = np.searchsorted(keys % buckets, np.arange(BUCKETS + 1, dtype=np.uint64)).tolist()
+            filled = [b for b in range(BUCKETS) if edge[b + 1] > edge[b]]
+            group = zlib.crc32(keys[:64].tobytes()) % inner
+            yield from rows(filled, [group] * len(filled), [packed(keys[edge[b] : edge[b + 1]], counts[edge[b] : edge[b + 1]]) for b in filled]).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, counts = summed(table)
+        part = keys // buckets % np.uint64(inner)
+        own = [np.flatnonzero(part == i) for i in np.unique(part)]
+        return rows([table["bucket"][0].as_py()] * len(own), np.unique(part).tolist(), [packed(keys[i], counts[i]) for i in own])
+
+    def frequent(table: pa.Table) -> pa.Table:
+        keys, counts = summed(table)
+        keys = keys[counts >= min(least, 255)]
+        return pa.table({"h": pa.array(keys.view(np.int64), pa.int64())})
+
+    dealt = docs.mapInArrow(deal, kind)
+    if inner > 1:
+        dealt = dealt.groupBy("bucket", "inner").applyInArrow(merge, kind)
+    return _build(B.checkpoint(dealt.groupBy("bucket", "inner").applyInArrow(frequent, "h bigint")))
+
+
 def _build(phrases: DataFrame) -> Filter | None:
-    """A filter of the phrases, whose parts are made by as many tasks; its size is bounded by MOST_BITS."""
+    """A filter of the phrases (lang, phrase) or hashes (h), whose parts are made by as many tasks; its size is bounded by MOST_BITS."""
     n = phrases.count()
     if not n:
         return None
@@ -184,7 +256,7 @@ def _build(phrases: DataFrame) -> Filter | None:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _phrase_hashes(batch["phrase"].to_pylist(), batch["lang"].to_pylist())
+            h = batch["h"].to_numpy().view(np.uint64) if "h" in batch.schema.names else _phrase_hashes(batch["phrase"].to_pylist(), batch["lang"].to_pylist())
             segment = (h >> np.uint64(58)).astype(np.int32)
             at = Filter.places(h, bits).astype(np.int64)
             order = np.argsort(segment, kind="stable")
@@ -201,7 +273,7 @@ def _build(phrases: DataFrame) -> Filter | None:
 
     kind = "segment int, part binary"
     parts = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for row in phrases.select("lang", "phrase").mapInArrow(hashed, kind).groupBy("segment").applyInArrow(merged, kind).collect():
+    for row in phrases.select("h" if "h" in phrases.columns else F.struct("lang", "phrase").alias("p")).select("h" if "h" in phrases.columns else "p.*").mapInArrow(hashed, kind).groupBy("segment").applyInArrow(merged, kind).collect():
         parts[row.segment] = np.frombuffer(row.part, np.uint8)
     return Filter(parts)
 
@@ -229,22 +301,21 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     plain, (lang, text) = B.numbered(docs, lang_col, text_col)
     dealt = [F.col(c) for c, kind in plain.dtypes if kind in ("bigint", "int", "string")]
     plain = plain.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), (F.pmod(F.xxhash64(*dealt), F.lit(sampled)) == 0).alias("in_sample"))
+    text_bytes = plain.agg(F.sum(F.octet_length("raw"))).first()[0] or 1
     sample = plain.where("in_sample").select("lang", "raw")
     plain = plain.select("lang", "raw")
     lowered = least if sampled == 1 else max(1, int(LOWERED * least / sampled))
     filters: Filters = {m: [] for m in range(1, longest)}
     for m in range(1, longest):
-        found = B.checkpoint(count_phrases(sample, filters, 0, range(m, m + 1)).where(F.col("n") >= lowered), folder)
+        found = B.checkpoint(count_phrases(sample, filters, 0, range(m, m + 1)).where((F.col("m") == m) & (F.col("n") >= lowered)), folder)
         filters[m] = [_build(found)]
     tables, failed, round_ = [], [], 0
     while True:
-        counted = count_phrases(plain, filters, round_, range(1, longest + 1))
+        hot = frequent_hashes(plain, filters, range(1, longest + 1), least, text_bytes) if round_ == 0 else None
+        counted = B.checkpoint(count_phrases(plain, filters, round_, range(1, longest + 1), hot).where((F.col("m") == 0) | (F.col("n") >= least)), folder)
         if round_ == 0:
-            counted = B.checkpoint(counted.where((F.col("m") == 1) | (F.col("n") >= least)), folder)
-            words = counted.where("m = 1").groupBy("lang").agg(F.sum("n").alias("words"))
-            counted = counted.where(F.col("n") >= least)
-        else:
-            counted = B.checkpoint(counted.where(F.col("n") >= least), folder)
+            words = counted.where("m = 0").select("lang", F.col("n").alias("words"))
+            counted = counted.where("m > 0")
         tables.append(counted)
         new = B.checkpoint(_unknown(counted, filters, longest), folder)
         fresh = {m: _build(new.where(F.col("m") == m)) for m in range(1, longest)}

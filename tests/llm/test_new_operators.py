@@ -150,6 +150,7 @@ def test_phrases_of_four_words_and_full_filters(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(phrases, "MOST_BITS", 64 * 64)
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(phrases, "MERGED_CHUNKS", 2)
     got = sorted(tuple(r) for r in phrases.collocations(df, longest=4, least=6, sampled=3).collect())
     assert got == brute_phrases([(r[2], r[1]) for r in rows], least=6, longest=4)
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
