@@ -43,7 +43,7 @@ TASK_BYTES = 4 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table, of which a scan makes fewer tasks than the session has cores, dealt over the cores. Larger ones stay as they are read."""
-    size, cores = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue(), df.sparkSession.sparkContext.defaultParallelism
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < cores * TASK_BYTES else df
 
 
