@@ -13,6 +13,7 @@ counted; every phrase is counted in one pass, whole, so counts are exact.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,9 +32,12 @@ SAMPLED, LOWERED = 4, 0.8
 BITS_EACH, MOST_BITS, SEGMENTS, PROBES = 12, 1 << 27, 64, 3
 #: Bytes of text that a task counts at once.
 CHUNK_BYTES = 3 << 20
+#: Phrases that a task sums up before it hands them on.
+HELD_PHRASES = 400_000
 #: Buckets of hashes, and chunks that a bucket's task merges at most before inner buckets are made.
 BUCKETS, MERGED_CHUNKS = 128, 1024
-SALTS = 16
+#: The best of each language are found among the best of so many parts.
+SALTS = (32, 2)
 COUNTS = "lang string, m int, phrase string, n bigint"
 
 _LETTERS = bytes(range(256))
@@ -139,25 +143,44 @@ def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths
         first, end = built[m - 2]
         return [a + b" " + names[b] for a, b in zip(spell(m - 1, first[which]), end[which].tolist(), strict=True)]
 
+    if round_:  # few phrases are left: only what stands on a part that came last
+        yield from _count_late(ids, names, word_hash, code, filters, round_, lengths)
+        return
     for m in range(2, lengths[-1] + 1):
         left, right = at[:-1], at[1:]
         both = np.flatnonzero((left >= 0) & (right >= 0))
-        both = both[(code[left[both]] >= 0) & (code[right[both]] >= 0)]
+        both = both[(code[left[both]] == 0) & (code[right[both]] == 0)]
         key, inverse, n = np.unique(left[both] * len(names) + ids[both + m - 1], return_inverse=True, return_counts=True)
         first, end = key // len(names), key % len(names)
-        turn = np.zeros(len(key), np.int64)
-        turn[inverse] = np.maximum(code[left[both]], code[right[both]])
         hashes = _joined(hashes[first], word_hash[end])
         built.append((first, end))
         if m in lengths:
-            own = np.flatnonzero(turn == round_)
-            yield m, hashes[own], n[own], lambda at, m=m, own=own: spell(m, own[at])
+            yield m, hashes, n, lambda at, m=m: spell(m, at)
         if m < lengths[-1]:
-            code = _codes(filters, m, hashes)
+            code = _codes({m: filters[m][:1]}, m, hashes)
             at = np.full(len(ids) - m + 1, -1, np.int64)
             at[both] = inverse
 
 
+def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word_code: np.ndarray, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+    """`_count` of later rounds, by places in the text: of m words, where one part of m - 1 words came by this round's filter and the other by this or an earlier one."""
+    hashes, code = word_hash[ids], word_code[ids]  # of the m - 1 words from each place on
+    for m in range(2, lengths[-1] + 1):
+        late = (code[:-1] == round_) | (code[1:] == round_)
+        own = np.flatnonzero(late & (code[:-1] >= 0) & (code[1:] >= 0))
+        if m in lengths and len(own):
+            spelt = ids[own[:, None] + np.arange(m)]
+            _, first, n = np.unique(spelt, axis=0, return_index=True, return_counts=True) if m > 2 else np.unique(spelt[:, 0] * len(names) + spelt[:, 1], return_index=True, return_counts=True)
+            words = spelt[first]
+            yield m, _joined(hashes[own[first]], word_hash[words[:, -1]]), n, lambda at, words=words: [b" ".join([names[i] for i in w]) for w in words[at].tolist()]
+        if m < lengths[-1]:
+            inside = (code[:-1] >= 0) & (code[1:] >= 0)
+            hashes, code = _joined(hashes[:-1], word_hash[ids[m - 1 :]]), np.full(len(inside), -1)
+            places = np.flatnonzero(inside)
+            distinct, inverse = np.unique(hashes[places], return_inverse=True)
+            code[places] = _codes(filters, m, distinct)[inverse]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
     """About CHUNK_BYTES of texts by language, or one longer text."""
     held: dict[str, list[bytes]] = {}
@@ -179,14 +202,26 @@ def count_phrases(docs: DataFrame, filters: Filters, round_: int, lengths: range
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, most = shared.value
+        counts: dict[tuple[str, int], Counter] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, m), own in counts.items():
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([m] * n, pa.int32()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "m", "phrase", "n"])
+            counts.clear()
+
         for held in _chunks(batches):
             for lang, texts in held.items():
                 for m, hashes, n, spell in _count(texts, lang, known, round_, lengths):
-                    own = np.arange(len(n)) if most is None else np.flatnonzero(most.holds(hashes))
-                    spelt, n_words, counts = spell(own), [m] * len(own), n[own]
+                    places = np.arange(len(n)) if most is None else np.flatnonzero(most.holds(hashes))
+                    total = counts.setdefault((lang, m), Counter())
+                    for phrase, k in zip(spell(places), n[places].tolist(), strict=True):
+                        total[phrase] += k
                     if m == 1:
-                        spelt, n_words, counts = [*spelt, b""], [*n_words, 0], np.append(counts, n.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(n_words, pa.int32()), pa.array(spelt, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "m", "phrase", "n"])
+                        counts.setdefault((lang, 0), Counter())[b""] += int(n.sum())
+            if sum(map(len, counts.values())) >= HELD_PHRASES:
+                yield from rows()
+        yield from rows()
 
     return docs.mapInArrow(count, COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
@@ -307,8 +342,7 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     lowered = least if sampled == 1 else max(1, int(LOWERED * least / sampled))
     filters: Filters = {m: [] for m in range(1, longest)}
     for m in range(1, longest):
-        found = B.checkpoint(count_phrases(sample, filters, 0, range(m, m + 1)).where((F.col("m") == m) & (F.col("n") >= lowered)), folder)
-        filters[m] = [_build(found)]
+        filters[m] = [frequent_hashes(sample, filters, range(m, m + 1), lowered, text_bytes)]
     tables, failed, round_ = [], [], 0
     while True:
         hot = frequent_hashes(plain, filters, range(1, longest + 1), least, text_bytes) if round_ == 0 else None
@@ -362,8 +396,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     best = cut.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
     best = best.select("lang", "phrase", "a", "s.l", "s.r", "s.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    first = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    for salts in SALTS:
+        best = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     out = ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
     done = B.checkpoint(out)
     B.remove_folder(spark, folder)
