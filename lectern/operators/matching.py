@@ -62,7 +62,7 @@ def _held(short: DataFrame, long: DataFrame, keys: Sequence[str], short_id: str,
     a = short.where("norm <> ''").select(*keys, F.col(short_id).alias("__s"), words.alias("w"))
     width = F.least(F.lit(WINDOW_WORDS), n - 2)
     inner = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n - width)), lambda i: F.struct(F.length(F.array_join(F.slice("w", i, F.greatest(F.lit(1), width)), "")).alias("length"), F.xxhash64(F.slice("w", i, F.greatest(F.lit(1), width))).alias("hash")))
-    key = F.when(n > 2, F.array_max(inner)["hash"]).otherwise(F.xxhash64(F.lit("piece"), F.array_join("w", " ")))
+    key = F.when(n > 2, F.coalesce(F.array_max(inner)["hash"], F.lit(0))).otherwise(F.xxhash64(F.lit("piece"), F.array_join("w", " ")))  # never null: else a filter on it would split each text for each of its words
     a = a.select(*keys, "__s", key.alias("__key"), F.when(n > 2, width).alias("__width"), F.when(n == 1, F.length(F.get("w", F.lit(0)))).alias("__one"), F.when(n == 2, F.struct(F.length(F.get("w", F.lit(0))).alias("a"), F.length(F.get("w", F.lit(1))).alias("b"))).alias("__two"))
     shapes = a.agg(F.collect_set("__width").alias("widths"), F.collect_set("__one").alias("ones"), F.collect_set("__two").alias("twos"))  # one row: few lengths, however many texts
     b = long.where("norm <> ''").select(*keys, F.col(long_id).alias("__l"), words.alias("w")).join(F.broadcast(shapes))
