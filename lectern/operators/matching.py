@@ -64,8 +64,9 @@ def _held(short: DataFrame, long: DataFrame, keys: Sequence[str], short_id: str,
     inner = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n - width)), lambda i: F.struct(F.length(F.array_join(F.slice("w", i, F.greatest(F.lit(1), width)), "")).alias("length"), F.xxhash64(F.slice("w", i, F.greatest(F.lit(1), width))).alias("hash")))
     key = F.when(n > 2, F.coalesce(F.array_max(inner)["hash"], F.lit(0))).otherwise(F.xxhash64(F.lit("piece"), F.array_join("w", " ")))  # never null: else a filter on it would split each text for each of its words
     a = a.select(*keys, "__s", key.alias("__key"), F.when(n > 2, width).alias("__width"), F.when(n == 1, F.length(F.get("w", F.lit(0)))).alias("__one"), F.when(n == 2, F.struct(F.length(F.get("w", F.lit(0))).alias("a"), F.length(F.get("w", F.lit(1))).alias("b"))).alias("__two"))
-    shapes = a.agg(F.collect_set("__width").alias("widths"), F.collect_set("__one").alias("ones"), F.collect_set("__two").alias("twos"))  # one row: few lengths, however many texts
-    b = long.where("norm <> ''").select(*keys, F.col(long_id).alias("__l"), words.alias("w")).join(F.broadcast(shapes))
+    shapes = a.groupBy(*keys).agg(F.collect_set("__width").alias("widths"), F.collect_set("__one").alias("ones"), F.collect_set("__two").alias("twos"))  # lengths, few however many texts; one row if there are no keys
+    b = long.where("norm <> ''").select(*keys, F.col(long_id).alias("__l"), words.alias("w"))
+    b = b.join(shapes, list(keys)) if keys else b.join(F.broadcast(shapes))
     inside = F.flatten(F.transform("widths", lambda q: _windows(F.col("w"), F.lit(1), n - q + 1, q)))
 
     def piece(text: Column) -> Column:
@@ -117,18 +118,16 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
     f = fragments.select(*keys, "frag_idx", norm.alias("norm"))
     f = f.withColumn("more", F.trim(F.regexp_replace(F.concat_ws(" ", "norm", *[F.lead("norm", k).over(w) for k in (1, 2, 3)]), " +", " ")))
     f = f.where(F.length("norm") >= min_chars)
-    c = clips.withColumn("norm", norm)
-    sure = contained_anchors(c, f, keys).withColumn("score", F.lit(1.0))
-    rest = c.join(sure.select("clip_id"), "clip_id", "left_anti")
-    q = rest.select("clip_id", *keys, F.col("norm").alias("q"))
-    held = contained_pairs(rest, f.select(*keys, "frag_idx", F.col("more").alias("norm")), keys).select("clip_id", "frag_idx", F.lit(0.92).alias("score"))
-    one = _near_in_length(q, f.select(*keys, "frag_idx", "norm"), keys, "q", "norm", least)
-    one = one.select("clip_id", "frag_idx", similarity(F.col("q"), F.col("norm"), least).alias("score"))
-    far = least / 0.92 - 1e-9
-    four = _near_in_length(q, f.select(*keys, "frag_idx", "more"), keys, "q", "more", far)
-    four = four.select("clip_id", "frag_idx", (0.92 * similarity(F.col("q"), F.col("more"), far)).alias("score"))
-    best = held.unionByName(one).unionByName(four).where(F.col("score") >= least).groupBy("clip_id").agg(F.max(F.struct("score", (-F.col("frag_idx")).alias("n"))).alias("b"))
-    found = sure.unionByName(best.select("clip_id", (-F.col("b.n")).alias("frag_idx"), "b.score"))
+    texts = F.explode(F.array(F.struct((F.col("frag_idx") * 2).cast("long").alias("place"), "norm"), F.struct((F.col("frag_idx") * 2 + 1).cast("long").alias("place"), F.col("more").alias("norm"))))
+    f = f.select(*keys, texts.alias("t")).select(*keys, F.col("t.place").alias("frag_idx"), "t.norm")  # both texts of a fragment: even places, and odd ones with the next three
+    c = clips.select("clip_id", *keys, norm.alias("norm"))
+    factor = F.when(F.col("frag_idx") % 2 == 0, 1.0).otherwise(0.92)
+    best = F.max(F.struct("score", (-F.floor(F.col("frag_idx") / 2)).alias("n"))).alias("b")
+    held = contained_pairs(c, f, keys).withColumn("score", factor).groupBy("clip_id").agg(best)
+    rest = c.join(held.where("b.score = 1").select("clip_id"), "clip_id", "left_anti").withColumnRenamed("norm", "q")
+    near = _near_in_length(rest, f, keys, "q", "norm", least).where(2.0 * F.least(F.length("q"), F.length("norm")) / (F.length("q") + F.length("norm")) * factor >= least - 1e-9)
+    near = near.select("clip_id", "frag_idx", (factor * similarity(F.col("q"), F.col("norm"), least)).alias("score")).where(F.col("score") >= least).groupBy("clip_id").agg(best)
+    found = held.unionByName(near).groupBy("clip_id").agg(F.max("b").alias("b")).where(F.col("b.score") >= least).select("clip_id", (-F.col("b.n")).alias("frag_idx"), "b.score")
     time = X.round3(F.col("clip_start") + F.coalesce("first_start", F.lit(0.0)))
     return clips.join(found, "clip_id", "left").withColumn("score", X.round3(F.col("score"))).withColumn("time", F.when(F.col("frag_idx").isNotNull(), time))
 

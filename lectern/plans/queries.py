@@ -411,7 +411,7 @@ def match_anchor_containment(s, d):
 
 def _turns(s, d) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("seg_idx")
-    t = table(s, d, "conversations").select("conv_id", F.col("turn").alias("seg_idx"), "text", F.length("text").cast("double").alias("len"))
+    t = spread(table(s, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", F.col("turn").alias("seg_idx"), "text", F.length("text").cast("double").alias("len"))
     return t.withColumn("end", F.sum("len").over(w)).withColumn("start", F.col("end") - F.col("len")).select(F.col("conv_id").alias("book_id"), F.lit(1).alias("chapter_no"), "seg_idx", "start", "end", "text")
 
 
