@@ -5,8 +5,11 @@ Rows that break a rule come back as data-quality rows (`problem`), never as an e
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,32 +189,122 @@ def anchor_windows(durations: DataFrame, step: float = 600.0, length: float = 30
     return w.withColumn("clip_start", F.col("k") * F.lit(step)).withColumn("clip_length", F.least(F.lit(length), F.col("duration") - F.col("clip_start"))).drop("k")
 
 
-def monotone_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """By time and index, the points that lie beyond the last kept one in both; `points`: keys, time, idx, source.
-
-    Each key's points are read in order and only the last kept one is held.
+#: Points of a key that one task walks through.
+BLOCK_POINTS = 50_000
+
+
+def _point_blocks(points: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Adds `block`: long keys are cut between times, into blocks of about `size` points, by counts over a few equal spans of time for each block. Equal times stay together."""
+    w = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    spans = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("time").alias("__low"), F.max("time").alias("__high")).where(F.col("__n") > size)
+    bins = F.ceil(F.lit(16) * F.col("__n") / size)
+    share = (F.col("time") - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300))
+    binned = points.join(spans, list(keys), "left").withColumn("__bin", F.coalesce(F.least(F.floor(share * bins), bins - 1), F.lit(0)).cast("long")).drop("__n", "__low", "__high")
+    filled = binned.where("__bin >= 0").join(spans.select(*keys), list(keys), "left_semi").groupBy(*keys, "__bin").count()
+    blocks = filled.select(*keys, "__bin", F.floor(F.coalesce(F.sum("count").over(w), F.lit(0)) / size).cast("int").alias("block"))
+    return binned.join(blocks, [*keys, "__bin"], "left").withColumn("block", F.coalesce("block", F.lit(0))).drop("__bin")
+
+
+def _pointers(time: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the points, in order of time and idx: the idx of the last point kept if it is kept, how many are kept from it on, and the least idx of what comes no earlier (to find where a chain enters)."""
+    n = len(time)
+    last, many = idx.copy(), np.ones(n, np.int64)
+    stack: list[int] = []  # points of later times, of which none has a greater idx behind a smaller one
+    i = n
+    while i > 0:
+        j = i
+        while j > 0 and time[j - 1] == time[i - 1]:
+            j -= 1
+        for k in range(i - 1, j - 1, -1):
+            at = bisect.bisect_left(stack, -int(idx[k]), key=lambda p: -int(idx[p]))  # idx falls along the stack's end
+            if at > 0:
+                to = stack[at - 1]
+                last[k], many[k] = last[to], many[to] + 1
+        for k in range(i - 1, j - 1, -1):
+            while stack and idx[stack[-1]] <= idx[k]:
+                stack.pop()
+            stack.append(k)
+        i = j
+    return last, many
+
+
+def _entries(time: np.ndarray, idx: np.ndarray) -> list[int]:
+    """The points at which chains enter, whatever idx they come with: those above all points of earlier times and, of one time, all above these."""
+    out, bar, i = [], -(1 << 63), 0
+    while i < len(time):
+        j = i
+        while j < len(time) and time[j] == time[i]:
+            j += 1
+        own = [k for k in range(i, j) if idx[k] > bar]
+        out += own
+        bar = max(bar, int(idx[j - 1]))
+        i = j
+    return out
+
+
+def monotone_points(points: DataFrame, keys: Sequence[str], block_points: int = BLOCK_POINTS) -> DataFrame:
+    """By time and index, the points that lie beyond the last kept one in both: keys, pos, time, idx, source; `points`: keys, time, idx, source.
+
+    Each point points to the next one that would be kept after it, so what is kept is a
+    chain.  The points of a long key lie in blocks of time.  A block tells, for each idx
+    that a chain may come in with, the idx it goes out with and how many it keeps; a
+    key's blocks are put together from these few rows, and then each block walks its
+    own part of the chain.  So no key is one task's work.
     """
-    names = [*keys, "pos", "time", "idx", "source"]
-    typed = points.select(*keys, F.col("time").cast("double").alias("time"), F.col("idx").cast("long").alias("idx"), F.col("source").cast("string").alias("source"))
+    typed = points.select(*keys, F.col("time").cast("double").alias("time"), F.col("idx").cast("long").alias("idx"), F.col("source").cast("string").alias("source")).where("time is not null and idx is not null")
+    first = typed.groupBy(*keys, "time", "idx").agg(F.min("source").alias("source"))  # of equal points the first source is kept
+    blocks = _point_blocks(first, keys, block_points)
+    names, kinds = [*keys, "block"], dict(typed.dtypes)
+    keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("time", "ascending"), ("idx", "ascending")])
+        time, idx = table["time"].to_numpy(), table["idx"].to_numpy()
+        last, many = _pointers(time, idx)
+        # a chain that comes in with less than the idx of an entry, and with no less than that of the entry before, goes on there
+        enter = _entries(time, idx)
+        head = table.slice(0, 1).select(names).take(pa.array([0] * len(enter), pa.int64()))
+        return head.append_column("below", pa.array(idx[enter], pa.int64())).append_column("out", pa.array(last[enter], pa.int64())).append_column("kept", pa.array(many[enter], pa.int64()))
+
+    def compose(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("block", "ascending"), ("below", "ascending")])
+        bar, pos, out = -(1 << 63), 0, []
+        block, below, leave, kept = (rows[c].to_pylist() for c in ("block", "below", "out", "kept"))
+        for b in sorted(set(block)):
+            x, y = bisect.bisect_left(block, b), bisect.bisect_right(block, b)
+            out.append((b, bar, pos))
+            at = bisect.bisect_right(below, bar, x, y)
+            if at < y:
+                bar, pos = leave[at], pos + kept[at]
+        head = rows.slice(0, 1).select(list(keys)).take(pa.array([0] * len(out), pa.int64()))
+        for i, (name, kind) in enumerate((("block", pa.int32()), ("bar", pa.int64()), ("offset", pa.int64()))):
+            head = head.append_column(name, pa.array([o[i] for o in out], kind))
+        return head
+
+    long = blocks.where("block > 0").select(*keys).distinct()
+    summaries = blocks.join(long, list(keys), "left_semi").groupBy(*names).applyInArrow(summary, f"{keyed}, block int, below bigint, out bigint, kept bigint")
+    come = summaries.groupBy(*keys).applyInArrow(compose, f"{keyed}, block int, bar bigint, offset bigint")
+    walked = blocks.join(come, names, "left").select(*names, "time", "idx", "source", F.coalesce("bar", F.lit(-(1 << 63))).alias("bar"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    result = [*keys, "pos", "time", "idx", "source"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pos, last = None, 0, (0.0, 0)
         for batch in batches:
             rows, places = [], []
-            for i, (own, time, idx) in enumerate(zip(zip(*(batch[k].to_pylist() for k in keys), strict=True), batch["time"].to_pylist(), batch["idx"].to_pylist(), strict=True)):
+            owner = list(zip(*(batch[k].to_pylist() for k in names), strict=True))
+            for i, (own, time, idx, bar, offset) in enumerate(zip(owner, *(batch[c].to_pylist() for c in ("time", "idx", "bar", "offset")), strict=True)):
                 if own != key:
-                    key, pos = own, 0
-                if pos == 0 or time > last[0] and idx > last[1]:
+                    key, pos, last = own, offset, (-math.inf, bar)
+                if time > last[0] and idx > last[1]:
                     rows.append(i)
                     places.append(pos)
                     pos, last = pos + 1, (time, idx)
             kept = batch.take(pa.array(rows, pa.int64()))
             columns = {**{n: kept[n] for n in kept.schema.names}, "pos": pa.array(places, pa.int32())}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in result], names=result)
 
-    kinds = dict(typed.dtypes) | {"pos": "int"}
-    ordered = typed.where("time is not null and idx is not null").repartition(*keys).sortWithinPartitions(*keys, "time", "idx", "source")
-    return ordered.mapInArrow(keep, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    ordered = walked.repartition(*names).sortWithinPartitions(*names, "time", "idx")
+    return ordered.mapInArrow(keep, f"{keyed}, pos int, time double, idx bigint, source string")
 
 
 def boundaries(anchors: DataFrame, ends: DataFrame, manual: DataFrame | None = None, keys: Sequence[str] = ("book_id", "chapter_no")) -> DataFrame:
