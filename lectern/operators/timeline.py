@@ -253,7 +253,8 @@ def monotone_points(points: DataFrame, keys: Sequence[str], block_points: int =
     """
     typed = points.select(*keys, F.col("time").cast("double").alias("time"), F.col("idx").cast("long").alias("idx"), F.col("source").cast("string").alias("source")).where("time is not null and idx is not null")
     first = typed.groupBy(*keys, "time", "idx").agg(F.min("source").alias("source"))  # of equal points the first source is kept
-    blocks = _point_blocks(first, keys, block_points)
+    long_keys = (first.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > block_points
+    blocks = _point_blocks(first, keys, block_points) if long_keys else first.withColumn("block", F.lit(0))
     names, kinds = [*keys, "block"], dict(typed.dtypes)
     keyed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
@@ -284,7 +285,8 @@ def monotone_points(points: DataFrame, keys: Sequence[str], block_points: int =
     long = blocks.where("block > 0").select(*keys).distinct()
     summaries = blocks.join(long, list(keys), "left_semi").groupBy(*names).applyInArrow(summary, f"{keyed}, block int, below bigint, out bigint, kept bigint")
     come = summaries.groupBy(*keys).applyInArrow(compose, f"{keyed}, block int, bar bigint, offset bigint")
-    walked = blocks.join(come, names, "left").select(*names, "time", "idx", "source", F.coalesce("bar", F.lit(-(1 << 63))).alias("bar"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    walked = blocks.join(come, names, "left") if long_keys else blocks.withColumns({"bar": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    walked = walked.select(*names, "time", "idx", "source", F.coalesce("bar", F.lit(-(1 << 63))).alias("bar"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
     result = [*keys, "pos", "time", "idx", "source"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
