@@ -6,14 +6,15 @@ size.  The full pass counts each phrase whose two parts without the last and the
 word are in S: those are S itself and its negative border, and all words.  Where a phrase
 of the border (one not in S) turns out frequent, phrases over it haven't been counted:
 a further pass counts just these, and so on until a pass finds no new frequent phrase
-that longer ones could stand on.  A false hit of a filter means that a phrase more is
-counted; every phrase is counted in one pass, whole, so counts are exact.
+that longer ones could stand on.  The hashes tell the failures of the first border
+before anything is spelt, so the pass that spells counts what stands on these, too.  A
+false hit of a filter means that a phrase more is counted; every phrase is counted in
+one pass, whole, so counts are exact.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,6 @@ SAMPLED, LOWERED = 4, 0.8
 BITS_EACH, MOST_BITS, SEGMENTS, PROBES = 12, 1 << 27, 64, 3
 #: Bytes of text that a task counts at once.
 CHUNK_BYTES = 3 << 20
-#: Phrases that a task sums up before it hands them on.
-HELD_PHRASES = 400_000
 #: Buckets of hashes, and chunks that a bucket's task merges at most before inner buckets are made.
 BUCKETS, MERGED_CHUNKS = 128, 1024
 #: The best of each language are found among the best of so many parts.
@@ -117,19 +116,19 @@ class _Words(dict):
         return n
 
 
-def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
-    """(m, hashes, counts, spell) of the distinct phrases of `lengths` words that this round counts: all words in round 0, and else those of whose two parts the later one came by this round's filter. `spell` gives the phrases at some places."""
+def _count(texts: list[bytes], lang: str, filters: Filters, rounds: range, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+    """(round, m, hashes, counts, spell) of the distinct phrases of `lengths` words that these rounds count: all words in round 0, and else those of whose two parts the later one came by the round's filter. `spell` gives the phrases at some places."""
     words = _Words({b"\n": 0, b"": 1})
     ids = np.fromiter(map(words.__getitem__, b"\n".join(texts).translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")), np.int64)
     ids = ids[ids != 1]
     names = list(words)
     del words
     hashes = word_hash = _word_hashes(names, lang)
-    if 1 in lengths and round_ == 0:
+    if 1 in lengths and 0 in rounds:
         n = np.bincount(ids, minlength=len(names))
         n[:2] = 0
         own = np.flatnonzero(n)
-        yield 1, word_hash[own], n[own], lambda at, own=own: [names[i] for i in own[at].tolist()]
+        yield 0, 1, word_hash[own], n[own], lambda at, own=own: [names[i] for i in own[at].tolist()]
     if lengths[-1] < 2:
         return
     code = _codes(filters, 1, word_hash)
@@ -143,10 +142,10 @@ def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths
         first, end = built[m - 2]
         return [a + b" " + names[b] for a, b in zip(spell(m - 1, first[which]), end[which].tolist(), strict=True)]
 
-    if round_:  # few phrases are left: only what stands on a part that came last
-        yield from _count_late(ids, names, word_hash, code, filters, round_, lengths)
-        return
-    for m in range(2, lengths[-1] + 1):
+    for k in rounds:
+        if k:
+            yield from _count_late(ids, names, word_hash, code, filters, k, lengths)
+    for m in range(2, lengths[-1] + 1 if 0 in rounds else 2):
         left, right = at[:-1], at[1:]
         both = np.flatnonzero((left >= 0) & (right >= 0))
         both = both[(code[left[both]] == 0) & (code[right[both]] == 0)]
@@ -155,14 +154,14 @@ def _count(texts: list[bytes], lang: str, filters: Filters, round_: int, lengths
         hashes = _joined(hashes[first], word_hash[end])
         built.append((first, end))
         if m in lengths:
-            yield m, hashes, n, lambda at, m=m: spell(m, at)
+            yield 0, m, hashes, n, lambda at, m=m: spell(m, at)
         if m < lengths[-1]:
             code = _codes({m: filters[m][:1]}, m, hashes)
             at = np.full(len(ids) - m + 1, -1, np.int64)
             at[both] = inverse
 
 
-def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word_code: np.ndarray, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word_code: np.ndarray, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
     """`_count` of later rounds, by places in the text: of m words, where one part of m - 1 words came by this round's filter and the other by this or an earlier one."""
     hashes, code = word_hash[ids], word_code[ids]  # of the m - 1 words from each place on
     for m in range(2, lengths[-1] + 1):
@@ -172,7 +171,7 @@ def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word
             spelt = ids[own[:, None] + np.arange(m)]
             _, first, n = np.unique(spelt, axis=0, return_index=True, return_counts=True) if m > 2 else np.unique(spelt[:, 0] * len(names) + spelt[:, 1], return_index=True, return_counts=True)
             words = spelt[first]
-            yield m, _joined(hashes[own[first]], word_hash[words[:, -1]]), n, lambda at, words=words: [b" ".join([names[i] for i in w]) for w in words[at].tolist()]
+            yield round_, m, _joined(hashes[own[first]], word_hash[words[:, -1]]), n, lambda at, words=words: [b" ".join([names[i] for i in w]) for w in words[at].tolist()]
         if m < lengths[-1]:
             inside = (code[:-1] >= 0) & (code[1:] >= 0)
             hashes, code = _joined(hashes[:-1], word_hash[ids[m - 1 :]]), np.full(len(inside), -1)
@@ -196,32 +195,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]
         yield held
 
 
-def count_phrases(docs: DataFrame, filters: Filters, round_: int, lengths: range, hot: Filter | None = None) -> DataFrame:
-    """(lang, m, phrase, n), one row for each phrase, if `hot` holds it; in round 0 also the number of words of each language, as m = 0. `docs`: lang, raw (the text's UTF-8)."""
+def count_phrases(docs: DataFrame, filters: Filters, rounds: range, lengths: range, hot: Filter | None = None) -> DataFrame:
+    """(lang, m, phrase, n), one row for each phrase; those of round 0 if `hot` holds them, and the number of words of each language as m = 0. `docs`: lang, raw (the text's UTF-8)."""
     shared = docs.sparkSession.sparkContext.broadcast((filters, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, most = shared.value
-        counts: dict[tuple[str, int], Counter] = {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, m), own in counts.items():
-                n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([m] * n, pa.int32()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "m", "phrase", "n"])
-            counts.clear()
-
         for held in _chunks(batches):
             for lang, texts in held.items():
-                for m, hashes, n, spell in _count(texts, lang, known, round_, lengths):
-                    places = np.arange(len(n)) if most is None else np.flatnonzero(most.holds(hashes))
-                    total = counts.setdefault((lang, m), Counter())
-                    for phrase, k in zip(spell(places), n[places].tolist(), strict=True):
-                        total[phrase] += k
+                for k, m, hashes, n, spell in _count(texts, lang, known, rounds, lengths):
+                    own = np.arange(len(n)) if k or most is None else np.flatnonzero(most.holds(hashes))
+                    spelt, n_words, counts = spell(own), [m] * len(own), n[own]
                     if m == 1:
-                        counts.setdefault((lang, 0), Counter())[b""] += int(n.sum())
-            if sum(map(len, counts.values())) >= HELD_PHRASES:
-                yield from rows()
-        yield from rows()
+                        spelt, n_words, counts = [*spelt, b""], [*n_words, 0], np.append(counts, n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(n_words, pa.int32()), pa.array(spelt, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "m", "phrase", "n"])
 
     return docs.mapInArrow(count, COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
 
@@ -256,7 +243,7 @@ def frequent_hashes(docs: DataFrame, filters: Filters, lengths: range, least: in
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, held in enumerate(_chunks(batches)):
-            found = [(h, n) for lang, texts in held.items() for _, h, n, _ in _count(texts, lang, shared.value, 0, lengths)]
+            found = [(h, n) for lang, texts in held.items() for _, _, h, n, _ in _count(texts, lang, shared.value, range(1), lengths)]
             keys, counts = _summed(np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found]))
             order = np.argsort(keys % buckets, kind="stable")
             keys, counts = keys[order], counts[order]
@@ -343,22 +330,23 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     filters: Filters = {m: [] for m in range(1, longest)}
     for m in range(1, longest):
         filters[m] = [frequent_hashes(sample, filters, range(m, m + 1), lowered, text_bytes)]
-    tables, failed, round_ = [], [], 0
-    while True:
-        hot = frequent_hashes(plain, filters, range(1, longest + 1), least, text_bytes) if round_ == 0 else None
-        counted = B.checkpoint(count_phrases(plain, filters, round_, range(1, longest + 1), hot).where((F.col("m") == 0) | (F.col("n") >= least)), folder)
-        if round_ == 0:
-            words = counted.where("m = 0").select("lang", F.col("n").alias("words"))
-            counted = counted.where("m > 0")
-        tables.append(counted)
-        new = B.checkpoint(_unknown(counted, filters, longest), folder)
+    hot = frequent_hashes(plain, filters, range(1, longest + 1), least, text_bytes)
+    sample_only = {m: list(f) for m, f in filters.items()}
+    for known in filters.values():  # what is frequent and not in S is in this one: the pass that spells the hot phrases counts what stands on it, too
+        known.append(hot)
+    counted = B.checkpoint(count_phrases(plain, filters, range(2), range(1, longest + 1), hot).where((F.col("m") == 0) | (F.col("n") >= least)), folder)
+    words = counted.where("m = 0").select("lang", F.col("n").alias("words"))
+    tables, round_ = [counted.where("m > 0")], 2
+    failed = [_unknown(tables[0], sample_only, longest).count()]
+    while failed[-1]:
+        new = B.checkpoint(_unknown(tables[-1], filters, longest), folder)
         fresh = {m: _build(new.where(F.col("m") == m)) for m in range(1, longest)}
         failed.append(new.count())
-        if not any(fresh.values()):
-            break
-        for m, f in fresh.items():
-            filters[m].append(f)
-        round_ += 1
+        if failed[-1]:
+            for m, f in fresh.items():
+                filters[m].append(f)
+            tables.append(B.checkpoint(count_phrases(plain, filters, range(round_, round_ + 1), range(1, longest + 1)).where(F.col("n") >= least), folder))
+            round_ += 1
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
