@@ -509,14 +509,54 @@ def sentence_fragments(s, d):
     return S.sentence_fragments(_chapters(s, d))
 
 
-@query()
+def _by_place(s, d, texts: list[str | None]) -> DataFrame:
+    """The fragments, of which the k-th of each len(texts) is followed by texts[k], or is that alone if it begins with '='."""
+    k = F.col("frag_idx") % len(texts)
+    text = F.col("text")
+    for i, t in enumerate(texts):
+        if t is not None:
+            text = F.when(k == i, F.lit(t[1:]) if t.startswith("=") else F.concat(F.col("text"), F.lit(t))).otherwise(text)
+    return fragments(s, d).withColumn("text", text)
+
+
+def _by_place_sql(texts: list[str | None]) -> str:
+    cases = " ".join(f"WHEN {i} THEN " + (f"'{t[1:]}'" if t.startswith("=") else f"text || '{t}'") for i, t in enumerate(texts) if t is not None)
+    return f"placed AS (SELECT book_id, frag_idx, CASE frag_idx % {len(texts)} {cases} ELSE text END AS text FROM fragments)"
+
+
+_FIGURES = [" (see Figs.", "=3) and so it went", None, " in Fig.", "=4 and 5, which is so", "=12) (see Fig.", "=7) and (see Figs.", "=8", "=9", " (see Table 3 and Fig.", None]
+_CITED = [" (Mill 1940:", "=12).", None, " as Smith 1999:", "=3; ", "=and B. Mill 1950:", "=14)", "=(Mill 1940:", "=Mill 1940: 3", None, "=as it is", "=J. Mill 1940: 4.", "=by Mill 1940:"]
+_FIGURE_SQL = r"'\s*\((see\s+)?(Table\s+\d+\s+and\s+)?Figs?\.$|\s+in\s+Figs?\.$'"
+
+
+@query(rf"""WITH RECURSIVE {FRAGMENTS}, {_by_place_sql(_FIGURES)},
+k AS (SELECT *, CASE WHEN regexp_matches(text, {_FIGURE_SQL}) THEN trim(regexp_replace(text, {_FIGURE_SQL}, '')) END AS cut, CASE WHEN regexp_matches(text, '^\d+\)') THEN regexp_extract(text, '^\d+\)\s*(.*)$', 1) WHEN regexp_matches(text, '^\d+(\s+and\s+\d+)?(,\s+which\b.*)?\.?$') THEN '' END AS prose FROM placed),
+f AS (SELECT book_id, frag_idx, cut IS NOT NULL AS held, false AS taken FROM k WHERE frag_idx = 0
+  UNION ALL SELECT k.book_id, k.frag_idx, cut IS NOT NULL AND NOT (held AND prose IS NOT NULL), held AND prose IS NOT NULL FROM f JOIN k ON k.book_id = f.book_id AND k.frag_idx = f.frag_idx + 1),
+n AS (SELECT k.*, taken, lead(taken) OVER w AS next_taken, lead(prose) OVER w AS next_prose FROM k JOIN f USING (book_id, frag_idx) WINDOW w AS (PARTITION BY k.book_id ORDER BY k.frag_idx)),
+o AS (SELECT book_id, frag_idx, CASE WHEN cut IS NULL THEN text ELSE trim(cut || CASE WHEN next_taken THEN ' ' || next_prose ELSE '' END) END AS t, cut FROM n WHERE NOT taken),
+e AS (SELECT book_id, frag_idx, CASE WHEN cut IS NULL OR t = '' OR regexp_matches(t, '[.?!]$') THEN t ELSE t || '.' END AS text FROM o)
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY frag_idx) - 1 AS INTEGER) AS frag_idx, text FROM e WHERE text <> ''""")
 def repair_figure_refs(s, d):
-    return S.repair_figure_refs(S.sentence_fragments(_chapters(s, d)))
+    return S.repair_figure_refs(_by_place(s, d, _FIGURES), ("book_id",))
 
 
-@query()
+_NAME_YEAR_SQL = r"[A-Z][A-Za-z'' \-]+ \d{{4}}:"
+
+
+@query(rf"""WITH RECURSIVE {FRAGMENTS}, {_by_place_sql(_CITED)},
+k AS (SELECT *, regexp_matches(text, '^\d+[),;:\-]|^((and\s+)?[A-Z](\.\s*)?\s*)?{_NAME_YEAR_SQL}') AS more, regexp_matches(text, '^([A-Z](\.\s*)?\s*)?{_NAME_YEAR_SQL}') AS orphan, regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){_NAME_YEAR_SQL}$') AS head, regexp_matches(text, '[.?!]$') AS ended, trim(regexp_replace(text, '\s*\([^()]*\b{_NAME_YEAR_SQL}$', '')) AS alone FROM (SELECT book_id, frag_idx, trim(text) AS text FROM placed)),
+f AS (SELECT book_id, frag_idx, head AS run, 1 AS pieces, NOT ended AND NOT head AS open, NOT ended AND NOT head AS under, false AS joins FROM k WHERE frag_idx = 0
+  UNION ALL SELECT book_id, frag_idx,
+    CASE WHEN joins THEN in_run AND NOT ended ELSE head END, CASE WHEN in_run THEN pieces + 1 ELSE 1 END,
+    CASE WHEN joins OR NOT head THEN NOT ended ELSE false END, CASE WHEN joins OR NOT head THEN NOT ended ELSE CASE WHEN alone = '' THEN was_open ELSE false END END, joins
+  FROM (SELECT k.*, pieces, run AND more AS in_run, was_open, (run AND more) OR (was_open AND orphan) AS joins FROM (SELECT f.*, CASE WHEN run THEN CASE WHEN pieces > 1 THEN true ELSE under END ELSE open END AS was_open FROM f) f JOIN k ON k.book_id = f.book_id AND k.frag_idx = f.frag_idx + 1)),
+n AS (SELECT k.*, joins, run, pieces, coalesce(lead(joins AND pieces > 1) OVER (PARTITION BY k.book_id ORDER BY k.frag_idx), false) AS taken FROM k JOIN f USING (book_id, frag_idx)),
+o AS (SELECT book_id, frag_idx, joins, CASE WHEN head AND NOT joins AND NOT taken THEN CASE WHEN alone = '' OR regexp_matches(alone, '[.?!]$') THEN alone ELSE alone || '.' END ELSE text END AS text FROM n WHERE NOT (head AND NOT joins AND NOT taken AND alone = '')),
+g AS (SELECT *, count(CASE WHEN NOT joins THEN 1 END) OVER (PARTITION BY book_id ORDER BY frag_idx) AS g FROM o)
+SELECT book_id, CAST(g - 1 AS INTEGER) AS frag_idx, string_agg(text, ' ' ORDER BY frag_idx) AS text FROM g GROUP BY book_id, g""".replace("{{4}}", "{4}"))
 def merge_citations(s, d):
-    return S.merge_citations(S.sentence_fragments(_chapters(s, d)))
+    return S.merge_citations(_by_place(s, d, _CITED), ("book_id",))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL),
@@ -542,9 +582,10 @@ def html_to_text(s, d):
     return table(s, d, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey, array_to_string([CASE WHEN i > 1 AND w[i] IN ('a','an','and','at','by','for','in','of','on','the','to') THEN w[i] ELSE upper(w[i][1]) || lower(w[i][2:]) END FOR i IN range(1, len(w) + 1)], ' ') AS title FROM w""")
 def title_case_heading(s, d):
-    return books(s, d).select("book_id", S.title_case_heading(F.col("text")).alias("title"))
+    return table(s, d, "part").select("p_partkey", S.title_case_heading(F.col("p_name")).alias("title"))
 
 
 _CAPTIONED = "cf AS (SELECT book_id, frag_idx, CASE WHEN frag_idx % 7 = 1 THEN 'Fig.' WHEN frag_idx % 7 = 4 THEN 'Fig. 3 shows that ' || text WHEN frag_idx % 7 IN (2, 3, 5) THEN 'Copyright ' || frag_idx ELSE text END AS text FROM fragments)"
