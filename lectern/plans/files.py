@@ -20,7 +20,10 @@ from lectern.sources import readers, sinks
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared}/files-{name}-{uuid.uuid4().hex}"
 
 
@@ -213,3 +216,15 @@ def incremental_write(s, d):
     forced = o.where("o_orderstatus = 'O'").withColumn("price", F.col("price") + 2)
     sinks.write_units(forced, path, ("o_orderstatus",), force=True)
     return s.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders")
+def commit_units(s, d):
+    """Orders in units of their status and key modulo 10: half of the units first, then all that aren't there, then some again with a new price."""
+    by = ("o_orderstatus", "unit")
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 10).cast("int").alias("unit"), F.col("o_totalprice").alias("price"))
+    path = folder(s, "units")
+    sinks.commit_units(o.where("unit < 5"), path, by)
+    sinks.commit_units(o.withColumn("price", F.when(F.col("unit") < 5, -1.0).otherwise(F.col("price"))), path, by)
+    sinks.commit_units(o.where("unit in (0, 5)").withColumn("price", F.col("price") + 1), path, by, force=True)
+    return sinks.read_units(s, path, by).drop("unit")
