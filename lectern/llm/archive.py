@@ -79,10 +79,10 @@ def _value(name: str) -> Column:
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """payload_digest, stored_bytes and the payload; bytes that don't have their digest raise an error."""
+    """payload_digest and the payload; bytes that don't have their digest raise an error wherever the payload is used."""
     stored = spark.read.parquet(f"{folder}/payloads")
     right = F.unhex(F.sha2("payload", 256)) == F.col("payload_digest")
-    return stored.select("payload_digest", F.when(right, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("long")).alias("stored_bytes"), "payload")
+    return stored.select("payload_digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a payload doesn't have its digest")).cast("binary")).alias("payload"))
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,21 +96,25 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: headers joined with the verified facts of their payloads, without the bytes."""
-    facts = read_payloads(spark, folder).select("payload_digest", "stored_bytes")
+    facts = read_payloads(spark, folder).select("payload_digest", F.octet_length("payload").cast("long").alias("stored_bytes"))
     joined = B.spread_join(read_headers(spark, folder), facts, ["payload_digest"], F.col("header"))
     return joined.select("page_id", F.col("stored_bytes").alias("payload_bytes"), F.lower(F.hex("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def rebuild_records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, the payload each record stands for (revisits too), and the record's exact WARC bytes.
+    """page_id, url, record_type, refers_to, payload_digest, the verified payload each record stands for (revisits too), and the record's exact WARC bytes with where its block begins.
 
+    A payload that hasn't its digest, or not the length that the header says, raises an
+    error.  Equal urls and ids are records like any other; a long payload is one value.
     Headers and payloads are plain tables, so that Spark splits the pages of a digest
     that many of them share.
     """
-    whole = read_headers(spark, folder).join(read_payloads(spark, folder).drop("stored_bytes"), "payload_digest")
+    whole = read_headers(spark, folder).join(read_payloads(spark, folder), "payload_digest")
+    fits = F.octet_length("payload").cast("long") == F.col("payload_bytes")
+    whole = whole.withColumn("payload", F.when(fits, F.col("payload")).otherwise(F.raise_error(F.lit("a payload hasn't the length of its header")).cast("binary")))
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat(F.encode("header", "UTF-8"), block, F.encode(F.lit(END * 2), "UTF-8"))
-    return whole.select("page_id", "url", "record_type", "refers_to", "payload", record.alias("record"))
+    return whole.select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload", F.octet_length("header").cast("long").alias("block_start"), record.alias("record"))
 
 
 def export_warc(records: DataFrame, folder: str) -> DataFrame:

@@ -59,7 +59,9 @@ def op9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive.write_archive(_table(spark, sf_dir, "pages"), folder)
     release(spark)  # the payloads' shuffle, before records are made again
     record = archive.rebuild_records(spark, folder)
-    return record.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    block = F.octet_length("record") - F.col("block_start") - len(archive.END) * 2  # of the record's bytes; a revisit has none of its own
+    size = F.when(F.col("record_type") == "response", block).otherwise(F.octet_length("payload")).cast("long")
+    return record.select("page_id", size.alias("payload_bytes"), F.lower(F.hex("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,16 +38,22 @@ DEPTH = 512
 BROADCAST_ROWS, HOST_SALT = 100_000, 32
 
 #: What follows = is a value in quotes if they are closed; nothing is read twice (the groups give nothing back).
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+#: Only here, and within them, does a slash at a tag's end close the element.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that never hold main text.
 NOISE_TAGS = frozenset("head script style noscript template iframe svg math object embed nav footer aside form button select option datalist input dialog menu canvas audio video map".split())
 #: Words of classes, ids and roles that name noise.
 NOISE_NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer masthead banner topbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert alertdialog popup modal overlay newsletter subscribe subscription signup login signin share sharing social related recommended recommendations comments comment commentlist disqus respond reply replies widget pagination pager skip skiplink toolbar search complementary contentinfo".split())
+#: Words that name noise as the first part of a name with hyphens (as the last part all of the above do); first parts that say what a page has or lacks; last parts that name what holds text.
+NOISE_STARTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr newsletter comment comments disqus sidebar nav navbar footer breadcrumb breadcrumbs related recommended share sharing social popup modal".split())
+STATES = frozenset("no not has have with without hide show is".split())
+HOLDERS = frozenset("article body content main text page layout".split())
 HEADER_NAMES = frozenset("header head sitehead pageheader siteheader".split())
 #: An opening tag ends open elements of these kinds, up to the nearest element that may hold it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
@@ -95,6 +101,14 @@ class Opening:
     header: bool
 
 
+def _names_noise(name: str) -> bool:
+    """A name that is a word for noise, or is put together with one: `main-nav`, `comment-list`; not `has-sidebar` or `share-text`."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    if len(parts) < 2:
+        return name in NOISE_NAMES
+    return parts[0] not in STATES and (parts[-1] in NOISE_NAMES or parts[0] in NOISE_STARTS and parts[-1] not in HOLDERS)
+
+
 @lru_cache(maxsize=1 << 14)
 def opening(tag: str, written: str) -> Opening:
     attributes = _attributes(written) if written.strip() else {}
@@ -104,7 +118,7 @@ def opening(tag: str, written: str) -> Opening:
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "").lower()))
     header = (tag == "header" or bool(names & HEADER_NAMES)) and not article and tag not in ("h1", "h2", "h3")
     noise = tag in NOISE_TAGS and tag != "form" or tag not in ("html", "body") and hidden
-    by_name = tag == "form" or tag not in ("html", "body") and bool(names & NOISE_NAMES)
+    by_name = tag == "form" or tag not in ("html", "body") and any(map(_names_noise, names))
     return Opening(f"{tag}.{' '.join(sorted(set(attributes.get('class', '').split())))}", article, noise, by_name, header)
 
 
@@ -220,7 +234,7 @@ def parse(text: str) -> Page:
                 pop(k)
         if tag == "br":
             add(" ")
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or found[3].endswith("/") and (tag in FOREIGN or any(e.tag in FOREIGN for e in stack)):
             continue
         if len(stack) > DEPTH and tag not in RAW:
             pop(len(stack) - 1)

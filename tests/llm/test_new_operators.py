@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from lectern.llm import batches, local_search, periodic_runs, phrases
+from lectern.llm import archive, batches, local_search, periodic_runs, phrases, site_style
 from lectern.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, LENGTH string, piece string"
@@ -242,3 +242,38 @@ def test_a_long_document_is_solved_by_tiles():
             end = max(end, y)
         by[p] = (spans[0][0], end)
     assert by[1] == (285_000, 334_999) and by[90_000] == (10_000, 195_000)
+
+
+def test_markup_that_browsers_read_otherwise():
+    text = lambda html: site_style.main_text(site_style.parse(html))
+    assert text("<p>A</p><script src=/a/b/>var x=1;</script><p>B</p>") == "A\nB"
+    assert text("<p>A</p><script src='a'/>var x;</script x><p>B</p>") == "A\nB"
+    assert text("<article data-u=http://x/><p>A</p></article><p>B</p>") == "A"
+    assert text("<nav data-u=/x/>menu</nav><p>B</p>") == "B"
+    assert text("<p>A</p><!--><p>B</p><!---><p>C</p><!-- x --!><p>D</p><!-- y") == "A\nB\nC\nD"
+    assert text("<p>A <svg><path d='x'/></svg>B</p><svg/><p>C</p>").replace("A B", "A\nB").split("\n") == ["A", "B", "C"]
+
+
+def test_names_with_hyphens_name_noise():
+    text = lambda html: site_style.main_text(site_style.parse(html))
+    noise = ["cookie-banner", "site-footer", "main-nav", "newsletter-signup", "ad-slot", "comments-section", "post-comments", "comment-list", "main_nav"]
+    for name in noise:
+        assert text(f"<article><p>The words</p><div class='{name}'>noise</div></article>") == "The words", name
+        assert text(f"<p>The words are longer</p><div class='{name}'>noise</div>") == "The words are longer", name
+    for name in ("has-sidebar", "no-ads", "share-text", "article-body", "lead-in", "nav-content"):
+        assert text(f"<article><p class='{name}'>The words</p></article>") == "The words", name
+    assert text("<div class='layout-sidebar'><article><p>The words</p></article></div>") == "The words"
+
+
+def test_a_payload_that_was_changed_raises(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "v", "x" * 200), (3, "w", "y")], "page_id long, url string, html string")
+    for change in ("cast('tampered' as binary)", "cast(concat(cast(payload as string), ' ') as binary)"):
+        folder = batches.shared_folder(spark, "t")
+        archive.write_archive(pages, folder)
+        stored = spark.read.parquet(f"{folder}/payloads").selectExpr("payload_digest", f"{change} as payload").collect()
+        spark.createDataFrame(stored, "payload_digest binary, payload binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+        for column in ("payload", "record"):
+            with pytest.raises(Exception, match="digest"):
+                archive.rebuild_records(spark, folder).select(column).collect()
+        with pytest.raises(Exception, match="digest"):
+            archive.read_records(spark, folder).collect()
