@@ -69,14 +69,16 @@ class Filter:
         self.parts = parts  # SEGMENTS x bytes
 
     @staticmethod
-    def places(h: np.ndarray, bits: int) -> np.ndarray:
-        first, step = h & np.uint64(0xFFFFFFFF), _mixed(h) | np.uint64(1)
-        return np.stack([(first + np.uint64(k) * step) % np.uint64(bits) for k in range(PROBES)])
+    def places(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+        return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * (_mixed(h) | np.uint64(1))) % np.uint64(bits)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        segment, out = (h >> np.uint64(58)).astype(np.int64), np.ones(len(h), bool)
-        for at in self.places(h, 8 * self.parts.shape[1]):
-            out &= (self.parts[segment, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        left, out = np.arange(len(h)), np.zeros(len(h), bool)
+        for k in range(PROBES):  # most of what isn't held fails the first probe
+            at = self.places(h[left], 8 * self.parts.shape[1], k)
+            hit = (self.parts[(h[left] >> np.uint64(58)).astype(np.int64), (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            left = left[hit]
+        out[left] = True
         return out
 
 
@@ -87,9 +89,12 @@ Filters = dict[int, list[Filter | None]]
 def _codes(filters: Filters, m: int, h: np.ndarray) -> np.ndarray:
     """The first of the filters that holds each phrase, or -1."""
     out = np.full(len(h), -1, np.int64)
+    left = np.arange(len(h))
     for k, f in enumerate(filters.get(m, [])):
-        if f is not None and len(h):
-            out[(out < 0) & f.holds(h)] = k
+        if f is not None and len(left):
+            hit = f.holds(h[left])
+            out[left[hit]] = k
+            left = left[~hit]
     return out
 
 
@@ -176,8 +181,7 @@ def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word
             inside = (code[:-1] >= 0) & (code[1:] >= 0)
             hashes, code = _joined(hashes[:-1], word_hash[ids[m - 1 :]]), np.full(len(inside), -1)
             places = np.flatnonzero(inside)
-            distinct, inverse = np.unique(hashes[places], return_inverse=True)
-            code[places] = _codes(filters, m, distinct)[inverse]
+            code[places] = _codes(filters, m, hashes[places])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
@@ -244,10 +248,11 @@ def frequent_hashes(docs: DataFrame, filters: Filters, lengths: range, least: in
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, held in enumerate(_chunks(batches)):
             found = [(h, n) for lang, texts in held.items() for _, _, h, n, _ in _count(texts, lang, shared.value, range(1), lengths)]
-            keys, counts = _summed(np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found]))
-            order = np.argsort(keys % buckets, kind="stable")
+            keys, counts = np.concatenate([h for h, _ in found]), np.minimum(np.concatenate([n for _, n in found]), 255)
+            own = (keys % buckets).astype(np.uint8)  # sorted by counting
+            order = np.argsort(own, kind="stable")
             keys, counts = keys[order], counts[order]
-            edge = np.searchsorted(keys % buckets, np.arange(BUCKETS + 1, dtype=np.uint64)).tolist()
+            edge = np.searchsorted(own[order], np.arange(BUCKETS + 1)).tolist()
             filled = [b for b in range(BUCKETS) if edge[b + 1] > edge[b]]
             group = zlib.crc32(keys[:64].tobytes()) % inner
             yield from rows(filled, [group] * len(filled), [packed(keys[edge[b] : edge[b + 1]], counts[edge[b] : edge[b + 1]]) for b in filled]).to_batches()
@@ -280,7 +285,7 @@ def _build(phrases: DataFrame) -> Filter | None:
         for batch in batches:
             h = batch["h"].to_numpy().view(np.uint64) if "h" in batch.schema.names else _phrase_hashes(batch["phrase"].to_pylist(), batch["lang"].to_pylist())
             segment = (h >> np.uint64(58)).astype(np.int32)
-            at = Filter.places(h, bits).astype(np.int64)
+            at = np.stack([Filter.places(h, bits, k) for k in range(PROBES)]).astype(np.int64)
             order = np.argsort(segment, kind="stable")
             edge = np.searchsorted(segment[order], np.arange(SEGMENTS + 1))
             for s in range(SEGMENTS):
