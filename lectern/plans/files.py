@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType
 from lectern.functions import text as X
 from lectern.operators import audio as A
 from lectern.operators import matching as M
-from lectern.plans.queries import _CLEAN, _ENTRIES, _TIMED, _TIMELINE, _WS, BOUNDS, FRAGMENTS, PARTS, POINTS, _entries, _event_times, book_units, books, fragments, parts, query, table
+from lectern.plans.queries import ORACLES, _CLEAN, _ENTRIES, _TIMED, _TIMELINE, _WS, BOUNDS, FRAGMENTS, PARTS, POINTS, _entries, _event_times, book_units, books, fragments, parts, query, table
 from lectern.sources import readers, sinks
 
 
@@ -228,3 +228,16 @@ def commit_units(s, d):
     sinks.commit_units(o.withColumn("price", F.when(F.col("unit") < 5, -1.0).otherwise(F.col("price"))), path, by)
     sinks.commit_units(o.where("unit in (0, 5)").withColumn("price", F.col("price") + 1), path, by, force=True)
     return sinks.read_units(s, path, by).drop("unit")
+
+
+_MD = ORACLES["clean_markdown"]
+_SIMPLE = ORACLES["split_sentences_simple"].replace("FROM documents", "FROM md").replace("WITH l AS", "l AS").replace("SELECT doc_id AS book_id", "SELECT CAST(doc_id AS VARCHAR) AS book_id")
+
+
+@query(f"WITH md AS (SELECT doc_id, out AS text FROM ({_MD})), {_SIMPLE}")
+def read_markdown(s, d):
+    """Each document as a Markdown text, an object on each line."""
+    t = F.replace("text", F.lit("\n"), F.lit("\n- **a** `b` [c](d) [e][1] "))
+    marked = F.concat(F.lit("# "), F.replace(t, F.lit(". "), F.lit(".\n[1]: http://x\n> ")))
+    objects = books(s, d).select(F.to_json(F.struct(F.col("book_id").cast("string").alias("source"), marked.alias("text"))).alias("value"))
+    return readers.read_markdown(s, _lines(objects, s, "markdown"), lines=True)

@@ -225,6 +225,13 @@ def slice_by_counts(s, d):
     return T.slice_by_counts(fragments(s, d), chapters).select("book_id", "frag_idx", "chapter_no")
 
 
+@query(f"""WITH {PARTS}, {FRAGMENTS}, n AS (SELECT book_id, CAST(sum(CAST(duration AS BIGINT)) AS BIGINT) AS need FROM parts GROUP BY 1), h AS (SELECT book_id, count(*) AS have FROM fragments GROUP BY 1)
+SELECT n.book_id, need, have, 'too few aligned fragments' AS problem FROM n LEFT JOIN h USING (book_id) WHERE coalesce(have, 0) < need""")
+def short_alignments(s, d):
+    chapters = parts(s, d).select("book_id", F.col("part_no").alias("chapter_no"), F.col("duration").cast("long").alias("n"))
+    return T.short_alignments(fragments(s, d), chapters)
+
+
 _TIMELINE = "timeline AS (SELECT book_id, part_no, duration, coalesce(sum(duration) OVER (PARTITION BY book_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts)"
 
 

@@ -97,7 +97,8 @@ def route_sources(files: DataFrame, path: str = "path") -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     books = read_book_text(spark, path, lines)
-    return books.select("book_id", F.posexplode(X.split_sentences_simple(X.clean_markdown(F.col("text")))).alias("frag_idx", "text"))
+    clean = books.select("book_id", F.posexplode_outer(X.split_sentences_simple(X.clean_markdown(F.col("text")))).alias("frag_idx", "text"))
+    return clean.where("frag_idx is not null")  # outer: an inner explode tests the array's size first, and cleans each text twice
 
 
 def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
