@@ -490,12 +490,22 @@ def _made_books(s, d) -> DataFrame:
     return books(s, d).select("book_id", text.alias("text"))
 
 
-@query()
+def _strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+_BODY = _CLEAN.format("replace(text, '. ', '.' || chr(10) || '     ')")
+_CHAPTERS = f"""made AS (SELECT doc_id, {_BODY} AS b FROM documents WHERE text IS NOT NULL),
+chapters AS (SELECT doc_id AS book_id, 1 AS chapter_no, 'The First Part' AS title, {_strip_sql("b || chr(10) || '12' || chr(10) || 'THE FIRST PART 13'")} AS body FROM made
+  UNION ALL SELECT doc_id, 2, 'The Second Part', {_strip_sql("'It was (see Figs.' || chr(10) || '3)and so it went.' || chr(10) || 'As said (Mill 1940:' || chr(10) || '12).' || chr(10) || b")} FROM made)"""
+
+
+@query(f"WITH {_CHAPTERS} SELECT * FROM chapters")
 def extract_chapters(s, d):
     return S.extract_chapters(_made_books(s, d), {1: "The First Part", 2: "The Second Part"}, 2)
 
 
-@query()
+@query(f"SELECT doc_id AS book_id, unnest([1, 2]) AS chapter_no, unnest(['First', 'Second']) AS title, {_strip_sql('text')} AS body, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE text IS NOT NULL")
 def extract_marked_chapters(s, d):
     text = F.concat(F.lit("x\n1\nThe First\n"), F.col("text"), F.lit("\n 2 \n\nThe  Second\n"), F.col("text"), F.lit("\nREFERENCES\nend"))
     specs = [{"chapter_no": 1, "marker_title": "The First", "display_title": "First"}, {"chapter_no": 2, "marker_title": "The Second", "display_title": "Second"}]
@@ -511,7 +521,9 @@ def paragraph_fragments(s, d):
     return S.paragraph_fragments(_chapters(s, d), ["The First Part"])
 
 
-@query()
+@query(f"""WITH {_CHAPTERS}, texts AS (SELECT book_id * 2 + chapter_no AS doc_id, body AS text FROM chapters), {FRAGMENTS.replace("FROM documents", "FROM texts")}
+SELECT c.book_id, c.chapter_no, frag_idx + 1 AS frag_idx, text FROM fragments f JOIN chapters c ON f.book_id = c.book_id * 2 + c.chapter_no
+UNION ALL SELECT book_id, chapter_no, 0, 'Chapter ' || chapter_no || '. ' || title || '.' FROM chapters""")
 def sentence_fragments(s, d):
     return S.sentence_fragments(_chapters(s, d))
 
