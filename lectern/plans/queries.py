@@ -591,7 +591,16 @@ def validate_chapters(s, d):
     return S.chapter_problems(c, 2)
 
 
-@query()
+_REFLOW = _CLEAN.format("replace(text, ' de ', '-' || chr(10) || 'de ')")
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, i, trim(regexp_replace(l, '{_WS}', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT doc_id, regexp_split_to_array({_REFLOW}, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM documents WHERE text IS NOT NULL))),
+f AS (SELECT doc_id, i, line AS cur, true AS fresh FROM l WHERE i = 0
+  UNION ALL SELECT doc_id, i, CASE WHEN fresh THEN line WHEN cur LIKE '%-' AND low THEN cur[:-2] || line ELSE cur || ' ' || line END, fresh FROM (
+    SELECT l.doc_id, l.i, cur, line, low, line = '' OR cur = '' OR NOT (low OR regexp_matches(cur, '(^|[^\p{{L}}\p{{N}}_])[A-Z]\.$') OR NOT (regexp_matches(cur, '[.?!;:]$') OR (words BETWEEN 1 AND 5 AND length(cur) <= 45 AND regexp_matches(line, '^[A-Z]')))) AS fresh
+    FROM (SELECT *, len(regexp_extract_all(cur, '[A-Za-z][A-Za-z.''\-]*')) AS words FROM f) f JOIN (SELECT *, regexp_matches(line, '^\p{{Ll}}') AS low FROM l) l ON l.doc_id = f.doc_id AND l.i = f.i + 1)),
+g AS (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY doc_id ORDER BY i), true) AS done FROM f)
+SELECT doc_id AS book_id, {_strip_sql("regexp_replace(string_agg(cur, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM g WHERE done GROUP BY doc_id""")
 def normalize_pdf_lines(s, d):
     return books(s, d).select("book_id", S.normalize_pdf_lines(F.replace("text", F.lit(" de "), F.lit("-\nde "))).alias("text"))
 
