@@ -516,7 +516,16 @@ def _chapters(s, d) -> DataFrame:
     return S.extract_chapters(_made_books(s, d), {1: "The First Part", 2: "The Second Part"}, 2)
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_CHAPTERS}, raw AS (SELECT book_id, chapter_no, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT book_id, chapter_no, string_split(body, chr(10)) AS a FROM chapters)),
+x AS (SELECT book_id, chapter_no, i, replace(l, chr(9), '    ') AS wide, {_strip_sql("l")} AS line FROM raw),
+k AS (SELECT book_id, chapter_no, row_number() OVER (PARTITION BY book_id, chapter_no ORDER BY i) AS r, length(wide) - length(regexp_replace(wide, '^{_WS}', '')) AS indent, regexp_replace(line, '\b([A-Z])\s{{2,}}([a-z])', '\1\2', 'g') AS line FROM x
+  WHERE line = '' OR NOT (regexp_full_match(line, '[·.\- ]*\d{{1,4}}[·.\- ]*') OR regexp_full_match(line, '\d{{1,4}}\s+[A-Z][A-Z .''\-]+') OR regexp_full_match(line, '(?i)CHAPTER\s+[A-Z]+([- ]+[A-Z]+)?') OR upper(line) = 'THE FIRST PART' OR regexp_replace(upper(line), '\s+\d{{1,4}}$', '') = 'THE FIRST PART')),
+f AS (SELECT book_id, chapter_no, r, line <> '' AS open, line <> '' AND indent BETWEEN 2 AND 5 AS indented, line AS cur, CASE WHEN line = '' THEN 0 ELSE 1 END AS p FROM k WHERE r = 1
+  UNION ALL SELECT book_id, chapter_no, r, line <> '', CASE WHEN line = '' THEN false WHEN more THEN indented ELSE indent BETWEEN 2 AND 5 END,
+    CASE WHEN line = '' THEN cur WHEN NOT more THEN line WHEN cur LIKE '%-' AND regexp_matches(line, '^\p{{Ll}}') THEN CASE WHEN regexp_matches(cur, '-[^ ]*-$') THEN cur ELSE cur[:-2] END || line ELSE cur || ' ' || line END, p + CASE WHEN line = '' OR more THEN 0 ELSE 1 END
+  FROM (SELECT k.*, f.indented, f.cur, f.p, f.open AND NOT k.indent BETWEEN 2 AND 5 AND NOT (NOT f.indented AND k.indent <= 1 AND regexp_matches(f.cur, '[.?!]"?$') AND regexp_matches(k.line, '^["'']?[A-Z]')) AS more FROM f JOIN k ON k.book_id = f.book_id AND k.chapter_no = f.chapter_no AND k.r = f.r + 1))
+SELECT book_id, chapter_no, CAST(p AS INTEGER) AS frag_idx, trim(regexp_replace(max_by(cur, r), '{_WS}', ' ', 'g'), ' ') AS text FROM f WHERE p > 0 GROUP BY ALL
+UNION ALL SELECT book_id, chapter_no, 0, 'Chapter ' || ['One', 'Two'][chapter_no] || '. ' || title || '.' FROM chapters""")
 def paragraph_fragments(s, d):
     return S.paragraph_fragments(_chapters(s, d), ["The First Part"])
 
