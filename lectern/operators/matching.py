@@ -133,14 +133,14 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
 
 
 def align_to_segments(fragments: DataFrame, segments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), accept: float = 0.58, stop: float = 0.92, lookahead: int | None = None) -> DataFrame:
-    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx and score (nulls where unmatched)."""
+    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx (null where unmatched) and score (0 there)."""
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("frag_idx"), right.sort_values("seg_idx")
         found = K.align(left["norm"].fillna("").tolist(), right["norm"].fillna("").tolist(), accept, stop, lookahead)
         places = right["seg_idx"].tolist()
         left["seg_idx"] = pd.array([None if i is None else places[i] for i, _ in found], dtype="Int64")
-        left["score"] = pd.array([s for _, s in found], dtype="Float64")
+        left["score"] = [s for _, s in found]
         return left.drop(columns="norm")
 
     f = fragments.select(*keys, F.col("frag_idx").cast("long").alias("frag_idx"), "text", X.normalize_match(F.col("text")).alias("norm"))

@@ -40,7 +40,6 @@ def test_kernels():
     found = K.chapters("CHAPTER ONE\nCHAPTER TWO\nCHAPTER ONE\nFirst Title\n\nbody one\nCHAPTER TWO - x\nSecond Title\n\nbody two\nText copyright", {}, 2)
     assert [c["chapter_no"] for c in found] == [1, 2]
     assert K.paragraphs("T      he start of\nit.\nNew one here.\n     Indented line\nand more.\n12\n\nLast", frozenset()) == ["The start of it.", "New one here.", "Indented line and more.", "Last"]
-    assert K.merge_citations(["As (Mill 1940:", "3), he said", "Next."]) == ["As (Mill 1940: 3), he said", "Next."]
     assert K.align(["a b", "zz"], ["x", "a b c"]) == [(1, 1.0), (None, 0.0)]
 
 
@@ -50,6 +49,11 @@ def test_figures_fold(spark):
     assert [r.text for r in out] == ["It rose and fell.", "Plain.", "Other."]
 
 
+def test_citations_are_put_together(spark):
+    out = S.merge_citations(fragments(spark, "As (Mill 1940:", "3), he said", "Next.")).orderBy("frag_idx").collect()
+    assert [r.text for r in out] == ["As (Mill 1940: 3), he said", "Next."]
+
+
 def fragments(spark, *texts):
     return spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(texts)], "book_id int, chapter_no int, frag_idx int, text string")
 
