@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import audio as A
+from lectern.operators import lines as L
 from lectern.operators import matching as M
 from lectern.operators import structure as S
 from lectern.operators import timeline as T
@@ -505,6 +506,12 @@ def extract_chapters(s, d):
     return S.extract_chapters(_made_books(s, d), {1: "The First Part", 2: "The Second Part"}, 2)
 
 
+@query(f"WITH {_CHAPTERS} SELECT * FROM chapters")
+def chapters_of_lines(s, d):
+    """The same from tables of lines, in which no row holds a book."""
+    return L.chapters_of_lines(L.text_lines(_made_books(s, d)), {1: "The First Part", 2: "The Second Part"}, 2)
+
+
 @query(f"SELECT doc_id AS book_id, unnest([1, 2]) AS chapter_no, unnest(['First', 'Second']) AS title, {_strip_sql('text')} AS body, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE text IS NOT NULL")
 def extract_marked_chapters(s, d):
     text = F.concat(F.lit("x\n1\nThe First\n"), F.col("text"), F.lit("\n 2 \n\nThe  Second\n"), F.col("text"), F.lit("\nREFERENCES\nend"))
@@ -516,20 +523,30 @@ def _chapters(s, d) -> DataFrame:
     return S.extract_chapters(_made_books(s, d), {1: "The First Part", 2: "The Second Part"}, 2)
 
 
-@query(rf"""WITH RECURSIVE {_CHAPTERS}, raw AS (SELECT book_id, chapter_no, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT book_id, chapter_no, string_split(body, chr(10)) AS a FROM chapters)),
+_PARAGRAPHS = rf"""WITH RECURSIVE {_CHAPTERS}, raw AS (SELECT book_id, chapter_no, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT book_id, chapter_no, string_split(body, chr(10)) AS a FROM chapters)),
 x AS (SELECT book_id, chapter_no, i, replace(l, chr(9), '    ') AS wide, {_strip_sql("l")} AS line FROM raw),
 k AS (SELECT book_id, chapter_no, row_number() OVER (PARTITION BY book_id, chapter_no ORDER BY i) AS r, length(wide) - length(regexp_replace(wide, '^{_WS}', '')) AS indent, regexp_replace(line, '\b([A-Z])\s{{2,}}([a-z])', '\1\2', 'g') AS line FROM x
   WHERE line = '' OR NOT (regexp_full_match(line, '[·.\- ]*\d{{1,4}}[·.\- ]*') OR regexp_full_match(line, '\d{{1,4}}\s+[A-Z][A-Z .''\-]+') OR regexp_full_match(line, '(?i)CHAPTER\s+[A-Z]+([- ]+[A-Z]+)?') OR upper(line) = 'THE FIRST PART' OR regexp_replace(upper(line), '\s+\d{{1,4}}$', '') = 'THE FIRST PART')),
 f AS (SELECT book_id, chapter_no, r, line <> '' AS open, line <> '' AND indent BETWEEN 2 AND 5 AS indented, line AS cur, CASE WHEN line = '' THEN 0 ELSE 1 END AS p FROM k WHERE r = 1
   UNION ALL SELECT book_id, chapter_no, r, line <> '', CASE WHEN line = '' THEN false WHEN more THEN indented ELSE indent BETWEEN 2 AND 5 END,
     CASE WHEN line = '' THEN cur WHEN NOT more THEN line WHEN cur LIKE '%-' AND regexp_matches(line, '^\p{{Ll}}') THEN CASE WHEN regexp_matches(cur, '-[^ ]*-$') THEN cur ELSE cur[:-2] END || line ELSE cur || ' ' || line END, p + CASE WHEN line = '' OR more THEN 0 ELSE 1 END
-  FROM (SELECT k.*, f.indented, f.cur, f.p, f.open AND NOT k.indent BETWEEN 2 AND 5 AND NOT (NOT f.indented AND k.indent <= 1 AND regexp_matches(f.cur, '[.?!]"?$') AND regexp_matches(k.line, '^["'']?[A-Z]')) AS more FROM f JOIN k ON k.book_id = f.book_id AND k.chapter_no = f.chapter_no AND k.r = f.r + 1))
+  FROM (SELECT k.*, f.indented, f.cur, f.p, f.open AND NOT k.indent BETWEEN 2 AND 5 AND NOT (NOT f.indented AND k.indent <= 1 AND regexp_matches(f.cur, '[.?!]"?$') AND regexp_matches(k.line, '^["'']?[A-Z]')) AS more FROM f JOIN k ON k.book_id = f.book_id AND k.chapter_no = f.chapter_no AND k.r = f.r + 1))"""
+
+
+@query(rf"""{_PARAGRAPHS}
 SELECT book_id, chapter_no, CAST(p AS INTEGER) AS frag_idx, trim(regexp_replace(max_by(cur, r), '{_WS}', ' ', 'g'), ' ') AS text FROM f WHERE p > 0 GROUP BY ALL
 UNION ALL SELECT book_id, chapter_no, 0, 'Chapter ' || ['One', 'Two'][chapter_no] || '. ' || title || '.' FROM chapters""")
 def paragraph_fragments(s, d):
     return S.paragraph_fragments(_chapters(s, d), ["The First Part"])
 
 
+@query(rf"""{_PARAGRAPHS}
+SELECT book_id, chapter_no, CAST(p - 1 AS INTEGER) AS frag_idx, trim(regexp_replace(max_by(cur, r), '{_WS}', ' ', 'g'), ' ') AS text FROM f WHERE p > 0 GROUP BY ALL""")
+def paragraphs_of_lines(s, d):
+    lines = L.text_lines(_chapters(s, d), ("book_id", "chapter_no"), "body")
+    return L.paragraphs_of_lines(lines, ("book_id", "chapter_no"), ["The First Part"])
+
+
 @query(f"""WITH {_CHAPTERS}, texts AS (SELECT book_id * 2 + chapter_no AS doc_id, body AS text FROM chapters), {FRAGMENTS.replace("FROM documents", "FROM texts")}
 SELECT c.book_id, c.chapter_no, frag_idx + 1 AS frag_idx, text FROM fragments f JOIN chapters c ON f.book_id = c.book_id * 2 + c.chapter_no
 UNION ALL SELECT book_id, chapter_no, 0, 'Chapter ' || chapter_no || '. ' || title || '.' FROM chapters""")
@@ -603,17 +620,28 @@ def validate_chapters(s, d):
 _REFLOW = _CLEAN.format("replace(text, ' de ', '-' || chr(10) || 'de ')")
 
 
-@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, i, trim(regexp_replace(l, '{_WS}', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT doc_id, regexp_split_to_array({_REFLOW}, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM documents WHERE text IS NOT NULL))),
+_REFLOWED = rf"""WITH RECURSIVE l AS (SELECT doc_id, i, trim(regexp_replace(l, '{_WS}', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT doc_id, regexp_split_to_array({_REFLOW}, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM documents WHERE text IS NOT NULL))),
 f AS (SELECT doc_id, i, line AS cur, true AS fresh FROM l WHERE i = 0
   UNION ALL SELECT doc_id, i, CASE WHEN fresh THEN line WHEN cur LIKE '%-' AND low THEN cur[:-2] || line ELSE cur || ' ' || line END, fresh FROM (
     SELECT l.doc_id, l.i, cur, line, low, line = '' OR cur = '' OR NOT (low OR regexp_matches(cur, '(^|[^\p{{L}}\p{{N}}_])[A-Z]\.$') OR NOT (regexp_matches(cur, '[.?!;:]$') OR (words BETWEEN 1 AND 5 AND length(cur) <= 45 AND regexp_matches(line, '^[A-Z]')))) AS fresh
     FROM (SELECT *, len(regexp_extract_all(cur, '[A-Za-z][A-Za-z.''\-]*')) AS words FROM f) f JOIN (SELECT *, regexp_matches(line, '^\p{{Ll}}') AS low FROM l) l ON l.doc_id = f.doc_id AND l.i = f.i + 1)),
 g AS (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY doc_id ORDER BY i), true) AS done FROM f)
-SELECT doc_id AS book_id, {_strip_sql("regexp_replace(string_agg(cur, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM g WHERE done GROUP BY doc_id""")
+SELECT doc_id AS book_id, {_strip_sql("regexp_replace(string_agg(cur, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM g WHERE done GROUP BY doc_id"""
+
+
+@query(_REFLOWED)
 def normalize_pdf_lines(s, d):
     return books(s, d).select("book_id", S.normalize_pdf_lines(F.replace("text", F.lit(" de "), F.lit("-\nde "))).alias("text"))
 
 
+@query(f"SELECT book_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS line FROM (SELECT book_id, string_split(text, chr(10)) AS a FROM ({_REFLOWED}) WHERE text <> '')")
+def reflow_lines(s, d):
+    """The same as rows, numbered in order."""
+    made = books(s, d).select("book_id", F.replace("text", F.lit(" de "), F.lit("-\nde ")).alias("text"))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("line_no")).cast("long")
+    return L.reflow_lines(L.text_lines(made)).select("book_id", n.alias("n"), "line")
+
+
 @query()
 def html_to_text(s, d):
     return table(s, d, "pages").select("page_id", S.html_to_text(F.col("html")).alias("text"))

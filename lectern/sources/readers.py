@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import audio
@@ -88,6 +89,21 @@ def read_book_text(spark: SparkSession, path: str, lines: bool = False) -> DataF
     return read_documents(spark, path, lines).select(F.col("source").alias("book_id"), text.alias("text"))
 
 
+def read_book_lines(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, line_no, line: the lines of plain text files, also of files that several tasks read.
+
+    A line is numbered within its split of the file, and the splits by their lines; no row
+    holds a file.  Lines are cleaned, and end wherever `str.splitlines` ends them.  An empty
+    file has no lines.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("book_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value")
+    lines = read.select("book_id", "at", "row", F.posexplode(F.split(X.clean_text(F.col("value")), X.LINE_END)).alias("piece", "line"))
+    own = lines.withColumn("n", F.row_number().over(Window.partitionBy("book_id", "at").orderBy("row", "piece")))
+    sizes = lines.groupBy("book_id", "at").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("book_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sizes.select("book_id", "at", before.alias("before")), ["book_id", "at"]).select("book_id", (F.col("before") + F.col("n") - 1).alias("line_no"), "line")
+
+
 def route_sources(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds `route`: pdf, epub or markdown by the suffix, else null, and then a `problem`."""
     suffix = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
