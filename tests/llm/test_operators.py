@@ -227,6 +227,23 @@ def test_expected_transitions_equal_enumeration():
     assert np.abs(p - want_p).max() < 1e-9 and np.abs(pairs - want).max() < 1e-9
 
 
+def test_sections_and_batches_change_nothing(monkeypatch):
+    """A long text by sections is labelled as at once; a fit by small batches of chains finds the languages too."""
+    rng = random.Random(3)
+    vocabulary = {x: ["".join(rng.choices(s, k=rng.randint(2, 7))) for _ in range(200)] for x, s in {"en": "aeiouthsnr", "de": "äeiuchsnrz", "fr": "éàeuilqsnt"}.items()}
+    sample = [(x, " ".join(rng.choices(v, k=60))) for x, v in vocabulary.items() for _ in range(60)]
+    model = language.fit([t for _, t in sample], [x for x, _ in sample])
+    long = " ".join(w for _ in range(60) for w in rng.choices(vocabulary[rng.choice(["en", "de", "fr"])], k=rng.randint(1, 90)))
+    once = language.label(model, [long], True)
+    monkeypatch.setattr(language, "_BATCH_BYTES", 1000)
+    parts = language.label(model, [long], True)
+    assert once[0] == parts[0] and abs(once[1][0] - parts[1][0]) < 1e-5 and once[2] == parts[2] and len(once[2][0]) > 20
+    monkeypatch.setattr(language, "_CELLS", 2000)
+    other = language.fit([t for _, t in sample], [x for x, _ in sample])
+    texts = [(x, " ".join(rng.choices(v, k=30))) for x, v in vocabulary.items() for _ in range(30)]
+    assert [language.label(other, [t])[0][0] for _, t in texts] == [x for x, _ in texts]
+
+
 def test_held_out_accuracy_and_letters(spark):
     rng = random.Random(9)
     letters = {"en": "aeiouthsnr", "de": "äeiuchsnrz", "fr": "éàeuilqsnt"}
