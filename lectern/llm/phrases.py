@@ -162,7 +162,7 @@ def _count(texts: list[bytes], lang: str, filters: Filters, rounds: range, lengt
             yield 0, m, hashes, n, lambda at, m=m: spell(m, at)
         if m < lengths[-1]:
             code = _codes({m: filters[m][:1]}, m, hashes)
-            at = np.full(len(ids) - m + 1, -1, np.int64)
+            at = np.full(max(0, len(ids) - m + 1), -1, np.int64)  # a language's texts may be shorter than the phrases
             at[both] = inverse
 
 
@@ -178,10 +178,11 @@ def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word
             words = spelt[first]
             yield round_, m, _joined(hashes[own[first]], word_hash[words[:, -1]]), n, lambda at, words=words: [b" ".join([names[i] for i in w]) for w in words[at].tolist()]
         if m < lengths[-1]:
-            inside = (code[:-1] >= 0) & (code[1:] >= 0)
+            inside, of_parts = (code[:-1] >= 0) & (code[1:] >= 0), np.maximum(code[:-1], code[1:])
             hashes, code = _joined(hashes[:-1], word_hash[ids[m - 1 :]]), np.full(len(inside), -1)
             places = np.flatnonzero(inside)
-            code[places] = _codes(filters, m, hashes[places])
+            found = _codes(filters, m, hashes[places])
+            code[places] = np.where(found < 0, found, np.maximum(found, of_parts[places]))  # a false hit of an earlier filter makes no phrase older than its parts
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:

@@ -157,6 +157,19 @@ def test_phrases_of_four_words_and_full_filters(spark, monkeypatch):
     assert phrases.collocations(empty).collect() == []
 
 
+def test_phrases_over_false_hits_of_an_earlier_filter(spark):
+    """Names of one document each, mostly unknown to the sample, before words that it knows: the sample's filter holds some of 'name the' falsely."""
+    rows = [(i, ". ".join([f"u{i} the of"] * 11 + ["the of and the of"] * 3), "en") for i in range(1500)]
+    got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert got == brute_phrases([(r[2], r[1]) for r in rows])
+
+
+def test_a_language_of_empty_texts_alone(spark):
+    rows = [(1, "a b c. " * 20, "en"), (2, "", "de"), (3, None, "fr"), (4, "one", "es")]
+    got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string"), longest=4).collect())
+    assert got == brute_phrases([(r[2], r[1]) for r in rows], longest=4)
+
+
 def brute_runs(words, least=24, exponent=3):
     n, runs = len(words), {}
     for q in range(1, n // exponent + 1):
