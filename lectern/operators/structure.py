@@ -55,9 +55,9 @@ def normalize_paragraphs(c: Column, headers: Sequence[str] = (), header: str | N
 
 
 def drop_running_headers(lines: DataFrame, headers: DataFrame, line: str = "line") -> DataFrame:
-    """Lines that are no header and no header with a page number. `headers`: one column `header`."""
-    known = headers.select(F.upper(F.trim("header")).alias("__h")).distinct()
-    whole = F.upper(X.strip(F.col(line)))
+    """Lines that are no header and no header with a page number, whatever their case. `headers`: one column `header`."""
+    known = headers.select(X.upper_letters(F.trim("header")).alias("__h")).distinct()
+    whole = X.upper_letters(X.strip(F.col(line)))
     out = lines.withColumn("__raw", whole).withColumn("__cut", F.regexp_replace(whole, r"\s+\d{1,4}$", ""))
     out = out.join(known, out["__raw"] == known["__h"], "left_anti").join(known, F.col("__cut") == F.col("__h"), "left_anti")
     return out.drop("__raw", "__cut")

@@ -69,3 +69,9 @@ def test_repairs_are_the_plain_folds(spark, function, fold, pieces):
     for r in function(spark.createDataFrame(rows, "book_id int, chapter_no int, frag_idx int, text string")).orderBy("frag_idx").collect():
         got.setdefault((r.book_id, r.chapter_no), []).append((r.frag_idx, r.text))
     assert got == {k: list(enumerate(fold(t))) for k, t in chapters.items() if fold(t)}
+
+
+def test_headers_are_compared_letter_by_letter(spark):
+    lines = spark.createDataFrame([("DASS ER",), ("daß er 12",), ("Daẞ er",), ("ﬁn",), ("FIN",), ("ΑΙ",), ("ᾼ 3",), ("É 7",)], "line string")
+    headers = spark.createDataFrame([(" Daß er",), ("ﬁn",), ("ᾳ",), ("é",)], "header string")
+    assert [r.line for r in S.drop_running_headers(lines, headers).orderBy("line").collect()] == ["DASS ER", "FIN", "ΑΙ"]
