@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,12 +15,8 @@ CHAPTER = "array<struct<chapter_no:int,title:string,body:string>>"
 
 
 def _each(function, kind: str):
-    @F.pandas_udf(kind)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if x is None else function(x) for x in s], dtype=object)
-
-    return apply
+    """By single rows, which Spark sends in batches of 100: Arrow's batches of 10,000 whole books would all stand in memory."""
+    return F.udf(lambda x: None if x is None else function(x), kind, useArrow=False)
 
 
 def html_to_text(c: Column) -> Column:

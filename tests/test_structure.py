@@ -4,8 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lectern.operators import lines as L
 from lectern.operators import structure as S
+from lectern.sources import readers
 
 NAME_YEAR = r"[A-Z][A-Za-z' \-]+ \d{4}:"
 
@@ -75,3 +78,14 @@ def test_headers_are_compared_letter_by_letter(spark):
     lines = spark.createDataFrame([("DASS ER",), ("daß er 12",), ("Daẞ er",), ("ﬁn",), ("FIN",), ("ΑΙ",), ("ᾼ 3",), ("É 7",)], "line string")
     headers = spark.createDataFrame([(" Daß er",), ("ﬁn",), ("ᾳ",), ("é",)], "header string")
     assert [r.line for r in S.drop_running_headers(lines, headers).orderBy("line").collect()] == ["DASS ER", "FIN", "ΑΙ"]
+
+
+def test_books_go_to_python_by_few_rows(spark):
+    """Arrow's batches of 10,000 rows would hold as many whole books."""
+    books = spark.createDataFrame([(1, "CHAPTER ONE\nA\nb.")], "book_id long, text string")
+    lines = L.text_lines(books)
+    pages = readers.epub_texts(readers.epub_pages(books.select(F.col("text").alias("path"), F.col("text").cast("binary").alias("content"))))
+    made = [S.extract_chapters(books), S.extract_marked_chapters(books, []), books.select(S.html_to_text(F.col("text"))), books.select(S.normalize_pdf_lines(F.col("text"))), books.select(S.normalize_paragraphs(F.col("text"))), L.chapters_of_lines(lines), L.paragraphs_of_lines(lines), L.reflow_lines(lines), pages]
+    for df in made:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "BatchEvalPython" in plan and "Arrow" not in plan and "MapInPandas" not in plan
