@@ -6,7 +6,6 @@ import io
 import uuid
 import zipfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -119,18 +118,17 @@ def read_epubs(s, d):
     return readers.epub_texts(readers.epub_pages(made.select("path", _epub("path", "page", "last").alias("content"))))
 
 
-@F.pandas_udf(BinaryType())
-def _epub(name: pd.Series, page: pd.Series, last: pd.Series) -> pd.Series:
-    def book(n: str, p: str, e: str) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
-            z.writestr("O/c.opf", f'<package><metadata><title>Book\n {n}</title></metadata><manifest><item id="e" href="e.html" media-type="application/xhtml+xml"/><item id="p" href="p.html" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="p"/><itemref idref="e"/></spine></package>')
-            z.writestr("O/p.html", p)
-            z.writestr("O/e.html", e)
-        return out.getvalue()
+def _epub_bytes(n: str, p: str, e: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>')
+        z.writestr("O/c.opf", f'<package><metadata><title>Book\n {n}</title></metadata><manifest><item id="e" href="e.html" media-type="application/xhtml+xml"/><item id="p" href="p.html" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="p"/><itemref idref="e"/></spine></package>')
+        z.writestr("O/p.html", p)
+        z.writestr("O/e.html", e)
+    return out.getvalue()
 
-    return pd.Series([book(*row) for row in zip(name, page, last, strict=True)], dtype=object)
+
+_epub = F.udf(_epub_bytes, BinaryType(), useArrow=False)
 
 
 @query("""WITH u AS (SELECT page_id, url || ['.pdf', '.EPUB', '.markdown', '.txt', '.Md'][page_id % 5 + 1] AS path FROM pages)
