@@ -12,10 +12,9 @@ make up one book.  Lines with the same number are taken in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,12 +57,8 @@ def _in_order(*columns: str) -> Column:
 
 
 def _of_lists(function, kind: str):
-    @F.pandas_udf(kind)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([function(list(x)) for x in s], dtype=object)
-
-    return apply
+    """By single rows, which Spark sends in batches of 100, not in Arrow's of 10,000 chapters."""
+    return F.udf(function, kind, useArrow=False)
 
 
 def reflow_lines(lines: DataFrame, keys: Sequence[str] = ("book_id",), block: int = BLOCK) -> DataFrame:
@@ -114,11 +109,7 @@ def chapters_of_lines(lines: DataFrame, titles: dict[int, str] | None = None, co
     own = lines.withColumn("__block", F.floor(F.col("line_no") / block)).alias("a").join(dealt.alias("b"), _same(["__block", "book_id"], "a", "b") & inside)
     chapters = own.groupBy("a.book_id", "chapter_no", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("a.line_no", F.coalesce("a.line", F.lit("")).alias("line")))), lambda s: s["line"]).alias("__lines"))
 
-    @F.pandas_udf("title string, body string")
-    def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for numbers, texts in batches:
-            yield pd.DataFrame([K.chapter_parts(list(t)[1:], titles.get(int(n))) for n, t in zip(numbers, texts, strict=True)], columns=["title", "body"])
-
+    parts = _of_lists(lambda n, rows: K.chapter_parts(rows[1:], titles.get(int(n))), "title string, body string")
     return chapters.select("book_id", "chapter_no", parts("chapter_no", "__lines").alias("p")).select("book_id", F.col("chapter_no").cast("int").alias("chapter_no"), "p.*")
 
 
