@@ -121,12 +121,14 @@ def paragraphs_of_lines(lines: DataFrame, keys: Sequence[str] = ("book_id",), he
     names = [h.strip().upper() for h in headers]
     raw = F.coalesce("line", F.lit(""))
     wide = F.regexp_replace(F.regexp_extract(raw, r"(?U)^\s*", 0), r"\G((?:[^\t]{4})*)[^\t]{0,3}\t", "$1    ")
-    k = lines.select(*keys, "line_no", F.length(wide).alias("__indent"), X.strip(raw).alias("line"))
-    upper = F.upper("line")
-    drop = X.is_page_artifact(F.col("line"), header) & (F.col("line") != "")
+    k = lines.select(*keys, "line_no", raw.alias("raw"), F.length(wide).alias("__indent"), X.strip(raw).alias("line"))
+    # Spark tests a row's filter before it makes `line`, and strips and cleans the line anew wherever it is named: cheap tests of the raw line go first
+    drop = X.is_page_artifact(F.col("line"), header) & (F.col("line") != "") if header else F.col("raw").rlike(r"(?U)^\s*([^A-Za-z\s]|[Cc])") & X.is_page_artifact(F.col("line"))
     if names:
-        drop = drop | upper.isin(names) | F.regexp_replace(upper, r"(?U)\s+\d{1,4}$", "").isin(names)
-    k = k.where(~drop).withColumn("line", F.regexp_replace("line", r"(?U)\b([A-Z])\s{2,}([a-z])", "$1$2"))
+        upper = F.upper("line")
+        may_be = reduce(lambda a, b: a | b, [F.upper("raw").contains(n) for n in names])
+        drop = drop | may_be & (upper.isin(names) | F.regexp_replace(upper, r"(?U)\s+\d{1,4}$", "").isin(names))
+    k = k.where(~drop).drop("raw").withColumn("line", F.regexp_replace("line", r"(?U)\b([A-Z])\s{2,}([a-z])", "$1$2"))
     blank, starts = F.col("line") == "", (F.col("line") != "") & F.col("__indent").between(2, 5)
     k = scan(k, keys, last={"__prior": F.col("line"), "__indented": F.when(blank | starts, starts)}, block=block)
     ended = ~F.coalesce("__indented", F.lit(False)) & (F.col("__indent") <= 1) & F.col("__prior").rlike(r"[.?!]\"?\z") & F.col("line").rlike(r"^[\"']?[A-Z]")

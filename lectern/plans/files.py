@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +12,10 @@ from pyspark.sql.types import BinaryType
 from lectern.functions import text as X
 from lectern.operators import audio as A
 from lectern.operators import matching as M
-from lectern.plans.queries import ORACLES, _CLEAN, _ENTRIES, _TIMED, _TIMELINE, _WS, BOUNDS, FRAGMENTS, PARTS, POINTS, _entries, _event_times, book_units, books, fragments, parts, query, table
+from lectern.plans.queries import ORACLES, _CLEAN, _ENTRIES, _TIMED, _TIMELINE, _WS, BOUNDS, FRAGMENTS, PARTS, POINTS, _entries, _event_times, book_units, books, folder, fragments, parts, query, table
 from lectern.sources import readers, sinks
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/files-{name}-{uuid.uuid4().hex}"
-
-
 def _lines(objects: DataFrame, spark: SparkSession, name: str) -> str:
     path = folder(spark, name)
     objects.write.text(path)

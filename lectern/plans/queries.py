@@ -6,6 +6,7 @@ order, l_quantity seconds long), `events` are playback events and anchors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/files-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows that an operator reads several times, made once: a table in the shared folder."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of text that are worth a task of their own, where each is searched by many patterns.
 TASK_BYTES = 4 << 20
 
@@ -509,7 +526,7 @@ def extract_chapters(s, d):
 @query(f"WITH {_CHAPTERS} SELECT * FROM chapters")
 def chapters_of_lines(s, d):
     """The same from tables of lines, in which no row holds a book."""
-    return L.chapters_of_lines(L.text_lines(_made_books(s, d)), {1: "The First Part", 2: "The Second Part"}, 2)
+    return L.chapters_of_lines(stored(L.text_lines(_made_books(s, d)), "lines"), {1: "The First Part", 2: "The Second Part"}, 2)
 
 
 @query(f"SELECT doc_id AS book_id, unnest([1, 2]) AS chapter_no, unnest(['First', 'Second']) AS title, {_strip_sql('text')} AS body, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE text IS NOT NULL")
@@ -543,7 +560,7 @@ def paragraph_fragments(s, d):
 @query(rf"""{_PARAGRAPHS}
 SELECT book_id, chapter_no, CAST(p - 1 AS INTEGER) AS frag_idx, trim(regexp_replace(max_by(cur, r), '{_WS}', ' ', 'g'), ' ') AS text FROM f WHERE p > 0 GROUP BY ALL""")
 def paragraphs_of_lines(s, d):
-    lines = L.text_lines(_chapters(s, d), ("book_id", "chapter_no"), "body")
+    lines = stored(L.text_lines(_chapters(s, d), ("book_id", "chapter_no"), "body"), "lines")
     return L.paragraphs_of_lines(lines, ("book_id", "chapter_no"), ["The First Part"])
 
 
