@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
+from lectern.operators.tasks import dealt
 
 
 def chapter_audio(specs: DataFrame, parts: DataFrame, key: str = "book_id") -> DataFrame:
@@ -51,7 +52,7 @@ def rank_parts(files: DataFrame, path: str = "path") -> DataFrame:
     """Audio files of each folder: 'Part n' files if there are any, else numbered ones, else all; by number, then name."""
     folder, name = F.regexp_extract(path, r"^(.*?)[^/]*$", 1), F.regexp_extract(path, r"([^/]*)$", 1)
     f = files.withColumn("dir", folder).withColumn("name", name).where(F.lower("name").endswith(".mp3"))
-    f = f.withColumn("tier", F.when(F.col("name").rlike(r"^Part .*\.mp3$"), 0).when(F.col("name").rlike(r"^\d{3}\b.*\.mp3$"), 1).otherwise(2))
+    f = dealt(f, "dir").withColumn("tier", F.when(F.col("name").rlike(r"^Part .*\.mp3$"), 0).when(F.col("name").rlike(r"^\d{3}\b.*\.mp3$"), 1).otherwise(2))
     f = f.withColumn("best", F.min("tier").over(Window.partitionBy("dir"))).where("tier = best")
     number = F.coalesce(F.regexp_extract("name", r"(?i)^(?:Part\s+)?(\d+)", 1).try_cast("int"), F.lit(10000))
     f = f.withColumn("number", number)
