@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
+from lectern.operators.tasks import dealt
 
 
 def _book(keys: Sequence[str], order: str) -> Window:
@@ -58,7 +59,7 @@ def allocated_texts(fragments: DataFrame, parts: DataFrame, key: str = "book_id"
     kinds = dict(fragments.dtypes)
     f = fragments.select(key, F.col("n").cast("long").alias("n"), F.col("frag_idx").cast("long").alias("frag_idx"), *rest, F.lit(None).cast(dict(parts.dtypes)[order]).alias(order), F.lit(None).cast("double").alias("duration"))
     p = parts.select(key, F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("frag_idx"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], order, F.col("duration").cast("double").alias("duration"))
-    both, whole = f.unionByName(p), Window.partitionBy(key)
+    both, whole = dealt(f.unionByName(p), key), Window.partitionBy(key)
     of_part, upto = F.col("frag_idx").isNull(), _book([key], order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__n", F.max("n").over(whole)).withColumn("__k", F.count(F.when(of_part, 1)).over(whole)).withColumn("__total", F.sum("duration").over(whole))
     both = both.where("__n > 0 and __total > 0 and __n >= __k")
@@ -108,7 +109,7 @@ def short_alignments(alignment: DataFrame, chapters: DataFrame, key: str = "book
 
 def merge_shifted(fragments: DataFrame, offsets: DataFrame, keys: Sequence[str] = ("book_id",), part: str = "segment_no") -> DataFrame:
     """Shifts each part's times by its offset and numbers fragments through: frag_no from 1, id, begin, end."""
-    joined = fragments.join(offsets.select(*keys, part, "offset"), [*keys, part])
+    joined = dealt(dealt(fragments, *keys, part).join(offsets.select(*keys, part, "offset"), [*keys, part]), *keys)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(part, "frag_idx"))
     shifted = joined.withColumn("frag_no", number).withColumn("begin", X.round3(F.col("begin") + F.col("offset"))).withColumn("end", X.round3(F.col("end") + F.col("offset")))
     return shifted.withColumn("id", X.fragment_id(F.col("frag_no"))).drop("offset")
@@ -334,6 +335,7 @@ def active_paragraph(positions: DataFrame, paragraphs: DataFrame, keys: Sequence
     """The last paragraph with begin <= t < end for each position, or null; both sides are dealt by key and minute, so that a hot book spreads."""
     spread = paragraphs.withColumn("__minute", F.explode(F.sequence(F.floor(F.col("begin") / bucket), F.floor(F.greatest("begin", F.col("end")) / bucket))))
     at = positions.withColumn("__minute", F.floor(F.col("t") / bucket))
-    hit = at.join(spread.select(*keys, "__minute", F.col("frag_idx").alias("__idx"), F.col("begin").alias("__b"), F.col("end").alias("__e")), [*keys, "__minute"]).where("t >= __b and t < __e")
-    best = hit.groupBy("position_id").agg(F.max("__idx").alias("frag_idx"))
+    spread = dealt(spread.select(*keys, "__minute", F.col("frag_idx").alias("__idx"), F.col("begin").alias("__b"), F.col("end").alias("__e")), *keys, "__minute")
+    hit = at.join(spread, [*keys, "__minute"]).where("t >= __b and t < __e").select("position_id", "__idx")
+    best = dealt(hit, "position_id").groupBy("position_id").agg(F.max("__idx").alias("frag_idx"))
     return positions.join(best, "position_id", "left")

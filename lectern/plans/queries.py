@@ -19,6 +19,7 @@ from lectern.operators import lines as L
 from lectern.operators import matching as M
 from lectern.operators import structure as S
 from lectern.operators import timeline as T
+from lectern.operators.tasks import dealt
 from lectern.streaming import playback as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,7 @@ def books(s: SparkSession, d: str) -> DataFrame:
 
 def parts(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.row_number().over(w).alias("part_no"), F.col("l_quantity").cast("double").alias("duration"))
+    return dealt(table(s, d, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("book_id"), F.row_number().over(w).alias("part_no"), F.col("l_quantity").cast("double").alias("duration"))
 
 
 def fragments(s: SparkSession, d: str) -> DataFrame:
@@ -707,7 +708,7 @@ def running_headers(s, d):
 @query(f"""WITH {PARTS}, {FRAGMENTS}, {BOUNDS}, {_TIMED}, {_TIMELINE} SELECT t.book_id, t.part_no, frag_idx, round_even(start + "begin", 3) AS "begin", round_even(start + "end", 3) AS "end", "begin" AS local_begin, "end" AS local_end FROM timed t JOIN timeline l ON t.book_id = l.book_id AND t.part_no = l.part_no""")
 def manifest_rows(s, d):
     t = T.timeline(parts(s, d), order="part_no").select("book_id", "part_no", "start")
-    j = _timed(s, d).join(t, ["book_id", "part_no"])
+    j = dealt(_timed(s, d), "book_id", "part_no").join(t, ["book_id", "part_no"])
     return j.select("book_id", "part_no", "frag_idx", X.round3(F.col("start") + F.col("begin")).alias("begin"), X.round3(F.col("start") + F.col("end")).alias("end"), F.col("begin").alias("local_begin"), F.col("end").alias("local_end"))
 
 
