@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from lectern.operators.tasks import dealt
 from lectern.operators.timeline import active_paragraph
 
 
@@ -38,7 +39,7 @@ def chapter_progress(positions: DataFrame, chapters: DataFrame, keys: tuple[str,
 def paragraph_changes(positions: DataFrame, paragraphs: DataFrame, user: str = "user_id") -> DataFrame:
     """Batch form: the events of each user at which the active paragraph is another than before."""
     w = Window.partitionBy(user).orderBy("ts")
-    now = active_paragraph(positions, paragraphs).withColumn("__before", F.lag("frag_idx").over(w)).withColumn("__n", F.row_number().over(w))
+    now = dealt(active_paragraph(positions, paragraphs), user).withColumn("__before", F.lag("frag_idx").over(w)).withColumn("__n", F.row_number().over(w))
     return now.where("(__n = 1 and frag_idx is not null) or (__n > 1 and not frag_idx <=> __before)").drop("__before", "__n")
 
 
