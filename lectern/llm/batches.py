@@ -76,7 +76,12 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files that nothing refers to any more."""
+    """Lets Spark remove the shuffle files that nothing refers to any more.
+
+    Spark's queues hold on to the end of the last job, and with it to its shuffles, until
+    another has ended; so a job of one row comes first.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark._jvm.System.gc()
 

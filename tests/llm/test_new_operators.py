@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -290,3 +291,24 @@ def test_a_payload_that_was_changed_raises(spark):
                 archive.rebuild_records(spark, folder).select(column).collect()
         with pytest.raises(Exception, match="digest"):
             archive.read_records(spark, folder).collect()
+
+
+def test_the_shuffles_of_an_archive_are_released(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = disk.getAllFiles()
+        return {n for n in (names.apply(i).getName() for i in range(names.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    batches.release(spark)
+    time.sleep(1)
+    before = shuffles()
+    pages = spark.range(2000).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 50) as html")
+    archive.write_archive(pages, str(tmp_path / "archive"))
+    assert shuffles() - before
+    batches.release(spark)
+    for _ in range(50):  # they go in a thread of Spark's
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
