@@ -431,7 +431,7 @@ _NORM = "trim(regexp_replace(lower(" + _CLEAN + "), '[^a-z0-9]+', ' ', 'g'), ' '
 @query(f"WITH b AS (SELECT item_id AS clip_id, {_NORM.format('text')} AS n FROM benchmark), d AS (SELECT doc_id AS frag_idx, {_NORM.format('text')} AS m FROM documents) SELECT clip_id, min(frag_idx) AS frag_idx FROM b JOIN d ON n <> '' AND m <> '' AND (contains(m, n) OR contains(n, m)) GROUP BY 1")
 def match_anchor_containment(s, d):
     clips = table(s, d, "benchmark").select(F.col("item_id").alias("clip_id"), X.normalize_match(F.col("text")).alias("norm"))
-    f = books(s, d).select(F.col("book_id").alias("frag_idx"), X.normalize_match(F.col("text")).alias("norm"))
+    f = stored(books(s, d).select(F.col("book_id").alias("frag_idx"), X.normalize_match(F.col("text")).alias("norm")), "norms")  # read three times
     return M.contained_anchors(clips, f, ())
 
 

@@ -40,3 +40,8 @@ def test_dealt_operators_keep_their_rows(spark, tmp_path, monkeypatch):
     paths = [(f"a/{k}/{n:03d} x.mp3",) for k in range(5) for n in (2, 1)]
     spark.createDataFrame(paths, "path string").write.parquet(str(tmp_path / "p"))
     assert [(r.path, r.part_no) for r in A.rank_parts(spark.read.parquet(str(tmp_path / "p"))).orderBy("path").collect()] == [(f"a/{k}/{n:03d} x.mp3", n) for k in range(5) for n in (1, 2)]
+
+
+def test_containment_normalises_the_books_once(spark):
+    out = QUERIES["match_anchor_containment"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if f.endswith("documents.parquet")]  # it reads the normalised texts, which are stored
