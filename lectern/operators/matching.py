@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
@@ -40,6 +43,8 @@ def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(empty, 0.0).when(held, 1.0).otherwise(_ratio(least)(F.when(~empty & ~held, a), F.when(~empty & ~held, b)))
 
 
+#: Fragments that alignment hands back to Spark at once.
+ALIGNED_ROWS = 4096
 #: Words of a window by which a text and one that holds it meet.
 WINDOW_WORDS = 4
 
@@ -133,30 +138,56 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
 
 
 def align_to_segments(fragments: DataFrame, segments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), accept: float = 0.58, stop: float = 0.92, lookahead: int | None = None) -> DataFrame:
-    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx (null where unmatched) and score (0 there)."""
+    """Greedy monotone alignment of a chapter's fragments to its transcript segments: adds seg_idx (null where unmatched) and score (0 there).
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("frag_idx"), right.sort_values("seg_idx")
-        found = K.align(left["norm"].fillna("").tolist(), right["norm"].fillna("").tolist(), accept, stop, lookahead)
-        places = right["seg_idx"].tolist()
-        left["seg_idx"] = pd.array([None if i is None else places[i] for i, _ in found], dtype="Int64")
-        left["score"] = [s for _, s in found]
-        return left.drop(columns="norm")
-
-    f = fragments.select(*keys, F.col("frag_idx").cast("long").alias("frag_idx"), "text", X.normalize_match(F.col("text")).alias("norm"))
-    s = segments.select(*keys, F.col("seg_idx").cast("long").alias("seg_idx"), X.normalize_match(F.col("text")).alias("norm"))
-    kinds = ", ".join(f"`{k}` {dict(f.dtypes)[k]}" for k in keys)
-    return f.groupBy(*keys).cogroup(s.groupBy(*keys)).applyInPandas(match, f"{kinds}, frag_idx bigint, text string, seg_idx bigint, score double")
+    Chapters are dealt and sorted by Spark, a chapter's segments before its fragments, and
+    stream through Python one after another: a call for each would cost more than its alignment.
+    """
+    f = fragments.select(*keys, F.lit(1).alias("__kind"), F.col("frag_idx").cast("long").alias("frag_idx"), "text", X.normalize_match(F.col("text")).alias("__norm"))
+    s = segments.select(*keys, F.lit(0).alias("__kind"), F.col("seg_idx").cast("long").alias("frag_idx"), F.lit(None).cast("string").alias("text"), X.normalize_match(F.col("text")).alias("__norm"))
+    rows = f.unionByName(s).repartition(*keys).sortWithinPartitions(*keys, "__kind", F.asc_nulls_last("frag_idx"))
+    schema = T_.StructType([*(rows.schema[k] for k in keys), *(T_.StructField(n, k) for n, k in (("frag_idx", T_.LongType()), ("text", T_.StringType()), ("seg_idx", T_.LongType()), ("score", T_.DoubleType())))])
+    columns, arrow = [*keys, "__kind", "frag_idx", "text", "__norm"], to_arrow_schema(schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heard, spoken, out = None, [], [], []
+
+        def aligned() -> list[tuple]:
+            found = K.align([r[-1] or "" for r in spoken], [n for _, n in heard], accept, stop, lookahead)
+            return [(*key, place, text, None if i is None else heard[i][0], score) for (place, text, _), (i, score) in zip(spoken, found, strict=True)]
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for x in range(0, len(out), ALIGNED_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[x : x + ALIGNED_ROWS], strict=True), arrow.types, strict=True)], schema=arrow)
+            out.clear()
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                *own, kind, place, text, norm = row
+                if own != key:
+                    if spoken:
+                        out += aligned()
+                    if len(out) >= ALIGNED_ROWS:
+                        yield from packed()
+                    key, heard, spoken = own, [], []
+                if kind:
+                    spoken.append((place, text, norm))
+                else:
+                    heard.append((place, norm or ""))
+        if spoken:
+            out += aligned()
+        yield from packed()
+
+    return rows.mapInArrow(match, schema)
 
 
 def assign_times(fragments: DataFrame, segments: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"), low: float = 0.7, **options) -> DataFrame:
     """Times for every fragment: by its segment's share, or between its neighbours; status matched, low or unmatched. segments: keys, seg_idx, start, end, text."""
     matched = align_to_segments(fragments, segments, keys, **options)
     timed = matched.join(segments.select(*keys, F.col("seg_idx").cast("long").alias("seg_idx"), F.col("start").alias("seg_start"), F.col("end").alias("seg_end")), [*keys, "seg_idx"], "left")
-    inside = T.proportional_times(timed.where("seg_idx is not null"), [*keys, "seg_idx"])
-    rest = timed.where("seg_idx is null").withColumn("begin", F.lit(None).cast("double")).withColumn("end", F.lit(None).cast("double"))
+    timed = T.proportional_times(timed, [*keys, "seg_idx"])  # null where unmatched, as their segment's times are; apart, they would be aligned a second time
     edges = segments.groupBy(*keys).agg(F.min_by("start", "seg_idx").alias("__first"), F.max_by("end", "seg_idx").alias("__last"))
-    out = T.interpolate_gaps(inside.unionByName(rest).join(edges, list(keys), "left"), F.col("__first"), F.col("__last"), keys)
+    out = T.interpolate_gaps(timed.join(edges, list(keys), "left"), F.col("__first"), F.col("__last"), keys)
     status = F.when(F.col("seg_idx").isNull(), "unmatched").when(F.col("score") < low, "low").otherwise("matched")
     return out.withColumn("status", status).select(*keys, "frag_idx", "text", "seg_idx", "score", "begin", "end", "status")
 

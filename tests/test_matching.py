@@ -66,6 +66,28 @@ def test_alignment_is_the_plain_rule_with_few_comparisons():
     assert K.align(["abc", "abd"], ["xx", "abc", "abd"], lookahead=1) == [(None, 0.0), (None, 0.0)]
 
 
+def test_alignment_seeks_no_subsequence_where_lengths_or_containment_decide():
+    rng = random.Random(5)
+    segments = ["\n".join(rng.choices(["a b", "b a", "ab", "c"], k=rng.randint(0, 3))) for _ in range(40)] + [spoken(rng, " ".join(rng.choices(WORDS, k=80))) for _ in range(60)]
+    fragments = [rng.choice(segments)[rng.randint(0, 9) :][: rng.randint(1, 40)] for _ in range(80)] + ["zq" * 3]
+    assert K.align(fragments, segments) == plain_align(fragments, segments)
+    assert K.align(fragments, segments, stop=1.5) == plain_align(fragments, segments, stop=1.5)
+    index = K.SegmentIndex(segments)
+    long = len(segments) - 60
+    for word in WORDS:  # short texts of letters that all long segments have
+        index.best(f"{word} zz {word}", long, len(segments), 0.58, 0.92)
+    assert index.bounded == 0
+
+
+def test_times_align_each_chapter_once(spark):
+    f = spark.createDataFrame([(1, 1, 0, "a cat sat"), (1, 1, 1, "zzz"), (1, 1, 2, "on the mat")], "book_id int, chapter_no int, frag_idx int, text string")
+    s = spark.createDataFrame([(1, 1, 0, 0.0, 3.0, "a cat sat"), (1, 1, 1, 5.0, 9.0, "on the mat")], "book_id int, chapter_no int, seg_idx int, start double, end double, text string")
+    out = M.assign_times(f, s)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapCoGroups" not in plan  # nor a call for each chapter
+    assert [(r.frag_idx, r.begin, r.end, r.status) for r in out.orderBy("frag_idx").collect()] == [(0, 0.0, 3.0, "matched"), (1, 3.0, 5.0, "unmatched"), (2, 5.0, 9.0, "matched")]
+
+
 def test_ratio_bound_is_never_below_the_ratio():
     rng = random.Random(2)
     for _ in range(500):
