@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from lectern.functions import text as X
 from lectern.operators import kernels as K
 from lectern.operators import timeline as T
+from lectern.operators.tasks import stored
 
 
 def _ratio(least: float):
@@ -125,7 +126,8 @@ def match_anchor(clips: DataFrame, fragments: DataFrame, least: float = 0.58, ke
     f = f.where(F.length("norm") >= min_chars)
     texts = F.explode(F.array(F.struct((F.col("frag_idx") * 2).cast("long").alias("place"), "norm"), F.struct((F.col("frag_idx") * 2 + 1).cast("long").alias("place"), F.col("more").alias("norm"))))
     f = f.select(*keys, texts.alias("t")).select(*keys, F.col("t.place").alias("frag_idx"), "t.norm")  # both texts of a fragment: even places, and odd ones with the next three
-    c = clips.select("clip_id", *keys, norm.alias("norm"))
+    f = stored(f, "anchored")  # both tables are read for each way to meet, and their regular expressions cost more than all joins
+    c = stored(clips.select("clip_id", *keys, norm.alias("norm")), "clips")
     factor = F.when(F.col("frag_idx") % 2 == 0, 1.0).otherwise(0.92)
     best = F.max(F.struct("score", (-F.floor(F.col("frag_idx") / 2)).alias("n"))).alias("b")
     held = contained_pairs(c, f, keys).withColumn("score", factor).groupBy("clip_id").agg(best)

@@ -1,10 +1,11 @@
-"""Shuffles of as many tasks as their data are worth, so that a task's memory doesn't grow with the tables."""
+"""Shuffles of as many tasks as their data are worth, so that a task's memory doesn't grow with the tables, and tables that are made once."""
 
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the files read that are worth a task of their own: a million rows of `lineitem`, of which a sort holds about 140 bytes each.
 FILE_BYTES = 16 << 20
@@ -30,3 +31,19 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
         return df
     tasks = math.ceil(source_bytes(df) / FILE_BYTES)
     return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/files-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Rows that an operator reads several times, made once: a table in the shared folder."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

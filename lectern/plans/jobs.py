@@ -12,6 +12,7 @@ from lectern.operators import audio as A
 from lectern.operators import matching as M
 from lectern.operators import structure as S
 from lectern.operators import timeline as T
+from lectern.operators.tasks import stored
 from lectern.plans.queries import _made_books, _turn_fragments, _turns, parts, query
 
 
@@ -22,10 +23,13 @@ def anchored_times(fragments: DataFrame, clips: DataFrame, durations: DataFrame,
     anchors, manual points and the chapter's ends cuts it into intervals, in each of
     which the fragments share the time; the intervals are merged to one alignment.
     """
+    fragments = stored(fragments, "fragments")  # read by the matching, the ends and the slices
     anchors = M.match_anchor(clips, fragments, keys=keys).where("frag_idx is not null").select(*keys, "time", F.col("frag_idx").cast("long").alias("idx"))
+    anchors = stored(anchors, "anchors")  # the boundaries read them several times, and would match as often
     ends = fragments.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(durations, list(keys))
     bounds = T.boundaries(anchors, ends, manual, keys).withColumnsRenamed({"fragment_start": "start_idx", "fragment_end": "end_idx"})
     bounds = bounds.withColumn("segment_no", F.col("start_idx")).select(*keys, "segment_no", "start_idx", "end_idx", "time_start", "time_end")
+    bounds = stored(bounds, "bounds")  # for the slices and for the merging
     sliced = T.slice_by_boundaries(fragments, bounds, keys).withColumn("seg_start", F.lit(0.0)).withColumn("seg_end", F.col("time_end") - F.col("time_start"))
     timed = T.proportional_times(sliced, [*keys, "segment_no"]).select(*keys, "segment_no", "frag_idx", "text", "begin", "end")
     return T.merge_intervals(timed, bounds.select(*keys, "segment_no", "time_start"), keys).drop("segment_no")

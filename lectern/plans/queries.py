@@ -6,7 +6,6 @@ order, l_quantity seconds long), `events` are playback events and anchors.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,7 @@ from lectern.operators import lines as L
 from lectern.operators import matching as M
 from lectern.operators import structure as S
 from lectern.operators import timeline as T
-from lectern.operators.tasks import dealt
+from lectern.operators.tasks import dealt, folder, stored  # noqa: F401 - files takes folder from here
 from lectern.streaming import playback as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,22 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/files-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Rows that an operator reads several times, made once: a table in the shared folder."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of text that are worth a task of their own, where each is searched by many patterns.
 TASK_BYTES = 4 << 20
 

@@ -5,7 +5,7 @@ import pytest
 from lectern.operators import audio as A
 from lectern.operators import tasks
 from lectern.operators import timeline as T
-from lectern.plans import files  # noqa: F401 - registers rank_parts
+from lectern.plans import files, jobs  # noqa: F401 - register rank_parts and anchored_alignment
 from lectern.plans.queries import QUERIES
 
 
@@ -45,3 +45,10 @@ def test_dealt_operators_keep_their_rows(spark, tmp_path, monkeypatch):
 def test_containment_normalises_the_books_once(spark):
     out = QUERIES["match_anchor_containment"](spark, "/root/testdata/sf0.001")
     assert not [f for f in out.inputFiles() if f.endswith("documents.parquet")]  # it reads the normalised texts, which are stored
+
+
+def test_anchored_alignment_matches_once(spark):
+    out = QUERIES["anchored_alignment"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "conversations.parquet" in f]  # fragments, anchors and bounds are stored, each made once
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and out.count() > 0
