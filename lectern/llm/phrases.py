@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ for _c in b".,;:!?\x0a\x0b\x0c\x0d":
 _LETTERS = (_LETTERS[:9] + b" " + _LETTERS[10:]).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The first so many bytes of eight; blocks of eight bytes of a word that are hashed for all words at once.
+_MASKS, BLOCKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,9 +60,31 @@ def _joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(left * _A + word)
 
 
-def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+
+
+def _edges(x: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in the buffer of values, and the end."""
+    return np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+
+
+def _word_hashes(words: pa.LargeBinaryArray, seed: np.uint64 | np.ndarray) -> np.ndarray:
+    """A hash of each word and the seed, or its own seed: by eight bytes at a time up to BLOCKS times, longer words one by one."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    edge = _edges(words)
+    first, size = edge[:-1] - edge[0], np.diff(edge)
+    raw = bytes(memoryview(words.buffers()[2])[edge[0] : edge[-1]]) + bytes(8)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    out = size.astype(np.uint64) + seed
+    left = np.arange(len(words))
+    for k in range(BLOCKS):
+        out[left] = _joined(out[left], eight[first[left] + 8 * k] & _MASKS[np.minimum(size[left] - 8 * k, 8)])
+        left = left[size[left] > 8 * (k + 1)]
+    for i in left.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : first[i] + size[i]], int(out[i]))
+    return _mixed(out)
 
 
 class Filter:
@@ -98,54 +123,65 @@ def _codes(filters: Filters, m: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrase_hashes(phrases: list[str], langs: list[str]) -> np.ndarray:
-    out = np.zeros(len(phrases), np.uint64)
-    by_lang: dict[str, list[int]] = {}
-    for i, lang in enumerate(langs):
-        by_lang.setdefault(lang, []).append(i)
-    for lang, own in by_lang.items():
-        words = [phrases[i].encode().split(b" ") for i in own]
-        for m in {len(w) for w in words}:
-            at = [j for j, w in enumerate(words) if len(w) == m]
-            columns = [_word_hashes([words[j][k] for j in at], lang) for k in range(m)]
-            h = columns[0]
-            for c in columns[1:]:
-                h = _joined(h, c)
-            out[np.array(own)[at]] = h
+def _phrase_hashes(phrases: pa.Array, langs: pa.Array) -> np.ndarray:
+    coded = langs.dictionary_encode()
+    seeds = np.array([_seed(x) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    split = pc.split_pattern(phrases.cast(pa.binary()).cast(pa.large_binary()), " ")
+    size = pc.list_value_length(split).to_numpy().astype(np.int64)
+    word = _word_hashes(split.flatten(), np.repeat(seeds, size))
+    first = np.cumsum(size) - size
+    out, left = word[first], np.flatnonzero(size > 1)
+    for k in range(1, int(size.max(initial=1))):
+        out[left] = _joined(out[left], word[first[left] + k])
+        left = left[size[left] > k + 1]
     return out
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The number of each word in order, and the distinct words. Number 0 is the end of a piece."""
+    text = b"\n" + b"\n".join(texts)
+    raw, data = np.frombuffer(text.translate(_LETTERS), np.uint8), text.translate(_LETTERS, b" \t")
+    end, gap = raw == 10, raw == 32
+    begins = ~gap
+    begins[1:] &= end[1:] | end[:-1] | gap[:-1]
+    place = np.flatnonzero(begins)
+    edge = np.append(place - np.cumsum(gap, dtype=np.uint32)[place], len(data))
+    coded = _strings(edge, data).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _strings(edge: np.ndarray, data: bytes | np.ndarray) -> pa.LargeBinaryArray:
+    """What lies in `data` between the edges."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(data)])
+
 
+def _spelt(names: pa.LargeBinaryArray, words: list[np.ndarray]) -> pa.LargeBinaryArray:
+    """Phrases from the numbers of their first, second ... words."""
+    own = [names.take(pa.array(w)) for w in words]
+    return own[0] if len(own) == 1 else pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.large_binary()))
 
-def _count(texts: list[bytes], lang: str, filters: Filters, rounds: range, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+
+def _count(texts: list[bytes], lang: str, filters: Filters, rounds: range, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], pa.LargeBinaryArray]]]:
     """(round, m, hashes, counts, spell) of the distinct phrases of `lengths` words that these rounds count: all words in round 0, and else those of whose two parts the later one came by the round's filter. `spell` gives the phrases at some places."""
-    words = _Words({b"\n": 0, b"": 1})
-    ids = np.fromiter(map(words.__getitem__, b"\n".join(texts).translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")), np.int64)
-    ids = ids[ids != 1]
-    names = list(words)
-    del words
-    hashes = word_hash = _word_hashes(names, lang)
+    ids, names = _words(texts)
+    hashes = word_hash = _word_hashes(names, _seed(lang))
     if 1 in lengths and 0 in rounds:
         n = np.bincount(ids, minlength=len(names))
-        n[:2] = 0
+        n[0] = 0
         own = np.flatnonzero(n)
-        yield 0, 1, word_hash[own], n[own], lambda at, own=own: [names[i] for i in own[at].tolist()]
+        yield 0, 1, word_hash[own], n[own], lambda at, own=own: _spelt(names, [own[at]])
     if lengths[-1] < 2:
         return
     code = _codes(filters, 1, word_hash)
-    code[:2] = -1
+    code[0] = -1
     # at[i]: which distinct phrase of m - 1 words begins at i, or -1; built: what each phrase of a length is made of
     at, built = ids, []
 
-    def spell(m: int, which: np.ndarray) -> list[bytes]:
+    def words_of(m: int, which: np.ndarray) -> list[np.ndarray]:
         if m == 1:
-            return [names[i] for i in which.tolist()]
+            return [which]
         first, end = built[m - 2]
-        return [a + b" " + names[b] for a, b in zip(spell(m - 1, first[which]), end[which].tolist(), strict=True)]
+        return [*words_of(m - 1, first[which]), end[which]]
 
     for k in rounds:
         if k:
@@ -159,28 +195,38 @@ def _count(texts: list[bytes], lang: str, filters: Filters, rounds: range, lengt
         hashes = _joined(hashes[first], word_hash[end])
         built.append((first, end))
         if m in lengths:
-            yield 0, m, hashes, n, lambda at, m=m: spell(m, at)
+            yield 0, m, hashes, n, lambda at, m=m: _spelt(names, words_of(m, at))
         if m < lengths[-1]:
             code = _codes({m: filters[m][:1]}, m, hashes)
             at = np.full(max(0, len(ids) - m + 1), -1, np.int64)  # a language's texts may be shorter than the phrases
             at[both] = inverse
 
 
-def _count_late(ids: np.ndarray, names: list[bytes], word_hash: np.ndarray, word_code: np.ndarray, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], list[bytes]]]]:
+def _count_late(ids: np.ndarray, names: pa.LargeBinaryArray, word_hash: np.ndarray, word_code: np.ndarray, filters: Filters, round_: int, lengths: range) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Callable[[np.ndarray], pa.LargeBinaryArray]]]:
     """`_count` of later rounds, by places in the text: of m words, where one part of m - 1 words came by this round's filter and the other by this or an earlier one."""
     hashes, code = word_hash[ids], word_code[ids]  # of the m - 1 words from each place on
     for m in range(2, lengths[-1] + 1):
         late = (code[:-1] == round_) | (code[1:] == round_)
         own = np.flatnonzero(late & (code[:-1] >= 0) & (code[1:] >= 0))
         if m in lengths and len(own):
-            spelt = ids[own[:, None] + np.arange(m)]
-            _, first, n = np.unique(spelt, axis=0, return_index=True, return_counts=True) if m > 2 else np.unique(spelt[:, 0] * len(names) + spelt[:, 1], return_index=True, return_counts=True)
-            words = spelt[first]
-            yield round_, m, _joined(hashes[own[first]], word_hash[words[:, -1]]), n, lambda at, words=words: [b" ".join([names[i] for i in w]) for w in words[at].tolist()]
+            key = ids[own]
+            for j in range(1, m):
+                _, first, key, n = np.unique(key * len(names) + ids[own + j], return_index=True, return_inverse=True, return_counts=True)
+            begin = own[first]
+            yield round_, m, _joined(hashes[begin], word_hash[ids[begin + m - 1]]), n, lambda at, m=m, begin=begin: _spelt(names, [ids[begin[at] + j] for j in range(m)])
         if m < lengths[-1]:
             inside, of_parts = (code[:-1] >= 0) & (code[1:] >= 0), np.maximum(code[:-1], code[1:])
             hashes, code = _joined(hashes[:-1], word_hash[ids[m - 1 :]]), np.full(len(inside), -1)
             places = np.flatnonzero(inside)
+            if m == lengths[-1] - 1 and len(places):  # the last codes matter only where a phrase of this round begins, and beside it
+                own_filter = filters[m][round_]
+                late = of_parts == round_
+                if own_filter is not None:
+                    late[places] |= own_filter.holds(hashes[places])
+                near = late.copy()
+                near[1:] |= late[:-1]
+                near[:-1] |= late[1:]
+                places = np.flatnonzero(inside & near)
             found = _codes(filters, m, hashes[places])
             code[places] = np.where(found < 0, found, np.maximum(found, of_parts[places]))  # a false hit of an earlier filter makes no phrase older than its parts
 
@@ -200,22 +246,94 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]
         yield held
 
 
-def count_phrases(docs: DataFrame, filters: Filters, rounds: range, lengths: range, hot: Filter | None = None) -> DataFrame:
-    """(lang, m, phrase, n), one row for each phrase; those of round 0 if `hot` holds them, and the number of words of each language as m = 0. `docs`: lang, raw (the text's UTF-8)."""
+def _pack(phrases: pa.LargeBinaryArray, counts: np.ndarray, edges: np.ndarray) -> bytes:
+    """Phrases with counts, in parts between the edges, as one value."""
+    edge = _edges(phrases)
+    head = [edges.astype(np.uint32), counts.astype(np.uint32), np.diff(edge).astype(np.uint32)]
+    return b"".join([*(x.tobytes() for x in head), memoryview(phrases.buffers()[2])[edge[0] : edge[-1]] if edge[-1] > edge[0] else b""])
+
+
+def _merge_packed(payloads: list[bytes], parts: int, part: int) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The distinct phrases of one part of such values, and their summed counts."""
+    counts, sizes, data = [], [], []
+    for p in payloads:
+        edges = np.frombuffer(p, np.uint32, parts + 1).astype(np.int64)
+        n, x, y = edges[-1], edges[part], edges[part + 1]
+        size = np.frombuffer(p, np.uint32, n, 4 * (parts + 1 + n)).astype(np.int64)
+        begin = 4 * (parts + 1 + 2 * n) + size[:x].sum()
+        counts.append(np.frombuffer(p, np.uint32, n, 4 * (parts + 1))[x:y])
+        sizes.append(size[x:y])
+        data.append(memoryview(p)[begin : begin + size[x:y].sum()])
+    coded = _strings(np.cumsum(np.concatenate([[0], *sizes])), b"".join(data)).dictionary_encode()
+    total = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(total, coded.indices.to_numpy(), np.concatenate(counts).astype(np.int64))
+    return coded.dictionary, total
+
+
+def count_phrases(docs: DataFrame, filters: Filters, rounds: range, lengths: range, least: int, text_bytes: int, hot: Filter | None = None) -> DataFrame:
+    """(lang, m, phrase, n), one row for each phrase that occurs `least` times or more; those of round 0 if `hot` holds them, and the number of words of each language as m = 0. `docs`: lang, raw (the text's UTF-8).
+
+    Phrases are dealt packed, like the hashes of `frequent_hashes`, and become rows once they are counted.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((filters, hot))
+    inner = -(-text_bytes // (CHUNK_BYTES * MERGED_CHUNKS))
+    kind = "bucket int, inner int, lang string, payload binary"
+
+    def rows(bucket: list[int], inside: list[int], lang: list[str], payload: list[bytes]) -> pa.Table:
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "inner": pa.array(inside, pa.int32()), "lang": pa.array(lang, pa.string()), "payload": pa.array(payload, pa.binary())})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, most = shared.value
         for held in _chunks(batches):
+            group = None
             for lang, texts in held.items():
+                found = []
                 for k, m, hashes, n, spell in _count(texts, lang, known, rounds, lengths):
                     own = np.arange(len(n)) if k or most is None else np.flatnonzero(most.holds(hashes))
-                    spelt, n_words, counts = spell(own), [m] * len(own), n[own]
-                    if m == 1:
-                        spelt, n_words, counts = [*spelt, b""], [*n_words, 0], np.append(counts, n.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(n_words, pa.int32()), pa.array(spelt, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "m", "phrase", "n"])
+                    found.append((hashes[own], n[own], spell(own)))
+                    if m == 1:  # the number of words, as an empty phrase
+                        found.append((np.zeros(1, np.uint64), n.sum(keepdims=True), pa.array([b""], pa.large_binary())))
+                if not any(len(n) for _, n, _ in found):
+                    continue
+                hashes = np.concatenate([h for h, _, _ in found])
+                place = ((hashes % np.uint64(BUCKETS)) * np.uint64(inner) + hashes // np.uint64(BUCKETS) % np.uint64(inner)).astype(np.uint16 if BUCKETS * inner < 1 << 16 else np.int64)
+                order = np.argsort(place, kind="stable")
+                edge = np.searchsorted(place[order], np.arange(BUCKETS * inner + 1))
+                counts, spelt = np.concatenate([n for _, n, _ in found])[order], pa.concat_arrays([x for _, _, x in found]).take(pa.array(order))
+                group = zlib.crc32(hashes[:64].tobytes()) % inner if group is None else group
+                filled = [b for b in range(BUCKETS) if edge[(b + 1) * inner] > edge[b * inner]]
+                payload = [_pack(spelt[e[0] : e[-1]], counts[e[0] : e[-1]], e - e[0]) for e in (edge[b * inner : (b + 1) * inner + 1] for b in filled)]
+                yield from rows(filled, [group] * len(filled), [lang] * len(filled), payload).to_batches()
+
+    def by_lang(table: pa.Table) -> dict[str, list[bytes]]:
+        out: dict[str, list[bytes]] = {}
+        for lang, payload in zip(table["lang"].to_pylist(), table["payload"].to_pylist(), strict=True):
+            out.setdefault(lang, []).append(payload)
+        return out
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = []
+        for lang, payloads in by_lang(table).items():
+            for part in range(inner):
+                phrases, n = _merge_packed(payloads, inner, part)
+                if len(n):
+                    out.append((part, lang, _pack(phrases, n, np.array([0, len(n)]))))
+        return rows([table["bucket"][0].as_py()] * len(out), *([x[k] for x in out] for k in range(3)))
+
+    def frequent(table: pa.Table) -> pa.Table:
+        out = []
+        for lang, payloads in by_lang(table).items():
+            phrases, n = _merge_packed(payloads, 1, 0)
+            own = np.flatnonzero((n >= least) | (pc.binary_length(phrases).to_numpy() == 0))
+            spelt = phrases.take(pa.array(own))
+            m = np.where(pc.binary_length(spelt).to_numpy() > 0, pc.count_substring(spelt, b" ").to_numpy() + 1, 0)
+            out.append(pa.table({"lang": pa.array([lang] * len(own), pa.string()), "m": pa.array(m, pa.int32()), "phrase": spelt.cast(pa.large_string()).cast(pa.string()), "n": pa.array(n[own], pa.int64())}))
+        return pa.concat_tables(out)
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+    dealt = docs.mapInArrow(deal, kind)
+    if inner > 1:
+        dealt = dealt.groupBy("bucket", "inner").applyInArrow(merge, kind)
+    return dealt.groupBy("bucket", "inner").applyInArrow(frequent, COUNTS)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +402,7 @@ def _build(phrases: DataFrame) -> Filter | None:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch["h"].to_numpy().view(np.uint64) if "h" in batch.schema.names else _phrase_hashes(batch["phrase"].to_pylist(), batch["lang"].to_pylist())
+            h = batch["h"].to_numpy().view(np.uint64) if "h" in batch.schema.names else _phrase_hashes(batch["phrase"], batch["lang"])
             segment = (h >> np.uint64(58)).astype(np.int32)
             at = np.stack([Filter.places(h, bits, k) for k in range(PROBES)]).astype(np.int64)
             order = np.argsort(segment, kind="stable")
@@ -312,7 +430,7 @@ def _unknown(phrases: DataFrame, filters: Filters, longest: int) -> DataFrame:
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, m = _phrase_hashes(batch["phrase"].to_pylist(), batch["lang"].to_pylist()), batch["m"].to_numpy()
+            h, m = _phrase_hashes(batch["phrase"], batch["lang"]), batch["m"].to_numpy()
             out = np.ones(len(h), bool)
             for k in np.unique(m).tolist():
                 out[m == k] = _codes(shared.value, k, h[m == k]) < 0
@@ -340,7 +458,7 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     sample_only = {m: list(f) for m, f in filters.items()}
     for known in filters.values():  # what is frequent and not in S is in this one: the pass that spells the hot phrases counts what stands on it, too
         known.append(hot)
-    counted = B.checkpoint(count_phrases(plain, filters, range(2), range(1, longest + 1), hot).where((F.col("m") == 0) | (F.col("n") >= least)), folder)
+    counted = B.checkpoint(count_phrases(plain, filters, range(2), range(1, longest + 1), least, text_bytes, hot), folder)
     words = counted.where("m = 0").select("lang", F.col("n").alias("words"))
     tables, round_ = [counted.where("m > 0")], 2
     failed = [_unknown(tables[0], sample_only, longest).count()]
@@ -351,7 +469,7 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
         if failed[-1]:
             for m, f in fresh.items():
                 filters[m].append(f)
-            tables.append(B.checkpoint(count_phrases(plain, filters, range(round_, round_ + 1), range(1, longest + 1)).where(F.col("n") >= least), folder))
+            tables.append(B.checkpoint(count_phrases(plain, filters, range(round_, round_ + 1), range(1, longest + 1), least, text_bytes), folder))
             round_ += 1
     out = tables[0]
     for t in tables[1:]:
@@ -359,7 +477,7 @@ def frequent_phrases(docs: DataFrame, folder: str, lang_col: str = "lang", text_
     return out, words, failed
 
 
-def _part(begin: int, length: int) -> Column:
+def _part(begin: Column, length: Column) -> Column:
     return F.array_join(F.slice("w", begin, length), " ")
 
 
@@ -378,13 +496,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     found, words, _ = frequent_phrases(docs, folder, lang_col, text_col, least, longest, sampled)
     known = found.select("lang", "phrase", "n")
     rows = found.where("m > 1").select("lang", "m", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
-    inner = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(2), F.col("m") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("m") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))))
-    longer = rows.where("m > 2").select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("around"))
+    inner = rows.where("m > 2").select("lang", "m", "a", "w", F.explode(F.sequence(F.lit(2), F.col("m") - 1)).alias("k"))
+    inner = inner.select("lang", "a", "w", "k", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("k") + 1)).alias("i"))
+    longer = inner.select("lang", "a", _part(F.col("i"), F.col("k")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("around"))
     cut = rows.join(longer, ["lang", "phrase"], "left").where(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * covered))
     cut = cut.select("lang", "m", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("head"), _part(F.col("k") + 1, F.col("m") - F.col("k")).alias("tail"))
     for side, name in (("head", "l"), ("tail", "r")):
-        cut = B.spread_join(cut, known.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side], F.col("phrase"))
+        cut = cut.join(known.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side])  # `known` has each key once; Spark splits what is skewed
     wide = "decimal(19,0)"
     score = F.expr(f"(cast(1000000 as decimal(7,0)) * (cast(a as {wide}) * cast(a as {wide}))) div (cast(l as {wide}) * cast(r as {wide}))")
     best = cut.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))

@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import archive, batches, local_search, periodic_runs, phrases, site_style
@@ -158,6 +159,33 @@ def test_phrases_of_four_words_and_full_filters(spark, monkeypatch):
     assert phrases.collocations(empty).collect() == []
 
 
+def test_words_and_their_hashes_on_whole_arrays():
+    texts = ["", "One two\ttwo  é;É\n\n", " x\x00y " + "Long" * 90 + " a", ". , 12345678 123456789 \u3000", "one"]
+    raw = [t.encode() for t in texts]
+    ids, names = phrases._words(raw)
+    low = b"\n".join(raw).lower()
+    assert [w for w in names.take(pa.array(ids)).to_pylist() if w != b"\n"] == [w for w in re.split(b"[ \t.,;:!?\n]+", low) if w]
+    assert names[0].as_py() == b"\n" and ids[0] == 0
+    hashes = phrases._word_hashes(names, phrases._seed("en"))
+    assert len(set(hashes.tolist())) == len(names)
+    assert phrases._word_hashes(names[3:5], phrases._seed("en")).tolist() == hashes[3:5].tolist()
+    assert not set(hashes.tolist()) & set(phrases._word_hashes(names, phrases._seed("de")).tolist())
+    spelt = ["one two", "one", "two two é"]
+    of = dict(zip(names.to_pylist(), hashes, strict=True))
+    two = phrases._joined(np.array([of[b"one"], of[b"two"]]), np.array([of[b"two"]] * 2))
+    want = [two[0], of[b"one"], phrases._joined(two[1:], np.array([of["é".encode()]]))[0]]
+    assert phrases._phrase_hashes(pa.array(spelt), pa.array(["en"] * 3)).tolist() == want
+
+
+def test_phrases_are_dealt_packed(spark):
+    """A task sends a value for each bucket, language and chunk, not a row for each phrase of a chunk."""
+    rows = [(" ".join(f"w{(i * j) % 997}" for j in range(300)).encode(), "en") for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "raw binary, lang string").coalesce(1)
+    counted = phrases.count_phrases(docs, {1: [], 2: []}, range(1), range(1, 4), 1, 1)
+    assert sorted(map(tuple, counted.where("m < 2").collect())) == sorted([("en", 0, "", 12000), *(("en", 1, w.decode(), n) for w, n in Counter(w for r, _ in rows for w in r.split()).items())])
+    assert "HashAggregate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_phrases_over_false_hits_of_an_earlier_filter(spark):
     """Names of one document each, mostly unknown to the sample, before words that it knows: the sample's filter holds some of 'name the' falsely."""
     rows = [(i, ". ".join([f"u{i} the of"] * 11 + ["the of and the of"] * 3), "en") for i in range(1500)]
