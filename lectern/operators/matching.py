@@ -202,10 +202,19 @@ def match_audit(timed: DataFrame, keys: Sequence[str] = ("book_id", "chapter_no"
 
 def manifest(chapters: DataFrame, paragraphs: DataFrame, key: str = "book_id") -> DataFrame:
     """One row for each book: its duration and its nested chapters with their time-coded paragraphs. chapters: key, kind, number, title, part_no, duration."""
+    nested = paragraphs.groupBy(key, "part_no").agg(listed_paragraphs())
+    return nested_manifest(chapters.join(nested, [key, "part_no"], "left"), key)
+
+
+def listed_paragraphs() -> Column:
+    """A group's paragraphs in order, as `nested_manifest` takes them."""
+    return F.array_sort(F.collect_list(F.struct("frag_idx", "id", "text", "begin", "end"))).alias("paragraphs")
+
+
+def nested_manifest(chapters: DataFrame, key: str = "book_id") -> DataFrame:
+    """`manifest` of chapters that have their `paragraphs` with them, in the chapter's time; null for none."""
     timed = T.timeline(chapters, (key,), "part_no")
-    p = paragraphs.join(timed.select(key, "part_no", F.col("start").alias("__start")), [key, "part_no"])
-    item = F.struct("frag_idx", F.col("id"), "text", X.round3(F.col("__start") + F.col("begin")).alias("begin"), X.round3(F.col("__start") + F.col("end")).alias("end"), X.round3(F.col("begin")).alias("localBegin"), X.round3(F.col("end")).alias("localEnd"))
-    nested = p.groupBy(key, "part_no").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("frag_idx")).alias("paragraphs"))
-    full = timed.join(nested, [key, "part_no"], "left")
+    local = lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"), X.round3(F.col("start") + s["begin"]).alias("begin"), X.round3(F.col("start") + s["end"]).alias("end"), X.round3(s["begin"]).alias("localBegin"), X.round3(s["end"]).alias("localEnd"))
+    full = timed.withColumn("paragraphs", F.transform("paragraphs", local))
     chapter = F.struct("part_no", "kind", "number", "title", X.round3(F.col("start")).alias("start"), X.round3(F.col("end")).alias("end"), "duration", "paragraphs")
     return full.groupBy(key).agg(X.round3(F.max("end")).alias("duration"), F.array_sort(F.collect_list(chapter), lambda a, b: F.coalesce((a["part_no"] - b["part_no"]).cast("int"), F.lit(0))).alias("chapters"))

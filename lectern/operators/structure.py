@@ -58,11 +58,22 @@ def drop_running_headers(lines: DataFrame, headers: DataFrame, line: str = "line
     return out.drop("__raw", "__cut")
 
 
+def chapter_heading(number: Column, title: Column) -> Column:
+    return F.concat(F.lit("Chapter "), F.coalesce(X.chapter_word(number), number.cast("string")), F.lit(". "), title, F.lit("."))
+
+
 def paragraph_fragments(chapters: DataFrame, headers: Sequence[str] = ()) -> DataFrame:
-    heading = F.concat(F.lit("Chapter "), F.coalesce(X.chapter_word(F.col("chapter_no")), F.col("chapter_no").cast("string")), F.lit(". "), F.col("title"), F.lit("."))
+    heading = chapter_heading(F.col("chapter_no"), F.col("title"))
     return chapters.select("book_id", "chapter_no", F.posexplode(F.concat(F.array(heading), normalize_paragraphs(F.col("body"), headers))).alias("frag_idx", "text"))
 
 
+def chapter_paragraphs(text: Column, titles: dict[int, str] | None = None, count: int = 38, headers: Sequence[str] = ()) -> Column:
+    """A book's chapters with their paragraphs in one step, so that no body goes to Python and back in between."""
+    names = frozenset(h.strip().upper() for h in headers)
+    found = _each(lambda t: [{"chapter_no": c["chapter_no"], "title": c["title"], "paragraphs": K.paragraphs(c["body"], names)} for c in K.chapters(t, titles or {}, count)], "array<struct<chapter_no:int,title:string,paragraphs:array<string>>>")
+    return found(text)
+
+
 def sentence_fragments(chapters: DataFrame) -> DataFrame:
     heading = F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string"), F.lit(". "), F.col("title"), F.lit("."))
     return chapters.select("book_id", "chapter_no", F.posexplode_outer(F.concat(F.array(heading), X.split_sentences(F.col("body")))).alias("frag_idx", "text")).where("frag_idx is not null")

@@ -172,7 +172,7 @@ def proportional_times(assigned: DataFrame, keys: Sequence[str], order: str = "f
     total, upto = F.sum("w").over(whole), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0))
     last = F.row_number().over(w) == F.count(F.lit(1)).over(whole)
     begin, end = F.col("seg_start") + span * (upto - F.col("w")) / total, F.when(last, F.greatest(F.col("seg_end"), F.col("seg_start") + 0.001)).otherwise(F.col("seg_start") + span * upto / total)
-    return a.withColumn("begin", X.round3(begin)).withColumn("end", X.round3(end)).drop("w")
+    return a.withColumns({"begin": X.round3(begin), "end": X.round3(end)}).drop("w")  # at once, else Spark makes each window twice
 
 
 def single_alignment_bounds(fragments: DataFrame, durations: DataFrame, key: str = "book_id") -> DataFrame:

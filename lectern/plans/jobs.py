@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import audio as A
 from lectern.operators import matching as M
 from lectern.operators import structure as S
 from lectern.operators import timeline as T
-from lectern.operators.tasks import stored
+from lectern.operators.tasks import dealt, stored
 from lectern.plans.queries import _made_books, _turn_fragments, _turns, parts, query
 
 
@@ -36,16 +35,27 @@ def anchored_times(fragments: DataFrame, clips: DataFrame, durations: DataFrame,
 
 
 def chaptered_manifest(books: DataFrame, audio_parts: DataFrame, titles: dict[int, str], count: int, headers: Sequence[str] = ()) -> DataFrame:
-    """Books to manifests: chapters under their headings, the n-th with the n-th part, paragraphs sharing its time, and the first part beyond them as outro. Chapters without a part are left out; `S.chapter_problems` and `A.chapters_with_audio` tell them."""
-    chapters = S.extract_chapters(books, titles, count)
-    on = A.chapters_with_audio(chapters.select("book_id", "chapter_no", "title"), audio_parts).where("problem is null").select("book_id", "chapter_no", "title", "part_no", "duration")
-    paragraphs = S.paragraph_fragments(chapters, headers).join(on.select("book_id", "chapter_no", "part_no", "duration"), ["book_id", "chapter_no"])
-    paragraphs = T.proportional_times(paragraphs.withColumn("seg_start", F.lit(0.0)).withColumn("seg_end", F.col("duration")), ["book_id", "part_no"])
-    rows = T.append_outro(on.select("book_id", F.col("part_no").alias("chapter_no"), "duration"), audio_parts)
-    named = rows.join(on.select("book_id", "part_no", F.col("chapter_no").cast("int").alias("of"), "title"), ["book_id", "part_no"], "left")
-    named = named.select("book_id", "kind", F.col("of").alias("number"), F.coalesce("title", F.lit("Outro")).alias("title"), "part_no", "duration")
-    text = paragraphs.select("book_id", "part_no", "frag_idx", X.paragraph_id(F.col("chapter_no"), X.fragment_id(F.col("frag_idx") + 1), F.col("frag_idx")).alias("id"), "text", "begin", "end")
-    return M.manifest(named, text)
+    """Books to manifests: chapters under their headings, the n-th with the n-th part, paragraphs sharing its time, and the first part beyond them as outro. Chapters without a part are left out; `S.chapter_problems` and `A.chapters_with_audio` tell them.
+
+    Books are cut once, and their paragraphs are shuffled once, by book, to the list of its
+    parts; all that follows stays in a book's task.  So they are merged with the parts,
+    however few these are: behind a broadcast join every window would shuffle the texts.
+    """
+    listed = audio_parts.join(books.select("book_id"), "book_id", "left_semi").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("part_no", "duration"))).alias("__parts"))
+    cut = books.select("book_id", S.chapter_paragraphs(F.col("text"), titles, count, headers).alias("__chapters"))
+    whole = dealt(cut, "book_id").join(listed.hint("merge"), "book_id")
+    n = F.least(F.size("__chapters"), F.size("__parts"))
+    heading = lambda c: F.concat(F.array(S.chapter_heading(c["chapter_no"], c["title"])), c["paragraphs"])
+    on = F.zip_with(F.slice("__chapters", 1, n), F.slice("__parts", 1, n), lambda c, p: F.struct(F.lit("chapter").alias("kind"), c["chapter_no"].alias("number"), c["title"].alias("title"), p["part_no"].alias("part_no"), p["duration"].alias("duration"), heading(c).alias("texts")))
+    beyond = F.filter(F.slice("__parts", n + 1, F.size("__parts")), lambda p: p["part_no"] == n + 1)
+    outro = F.transform(beyond, lambda p: F.struct(F.lit("outro").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit("Outro").alias("title"), p["part_no"].alias("part_no"), p["duration"].alias("duration"), F.lit(None).cast("array<string>").alias("texts")))
+    units = whole.select("book_id", F.explode_outer(F.when(n > 0, F.concat(on, outro))).alias("u")).where("u is not null").select("book_id", "u.*")  # outer: else Spark tests the arrays' sizes before the join, and cuts the books anew for it
+    unit = ["book_id", "kind", "number", "title", "part_no", "duration"]
+    rows = units.select(*unit, F.posexplode_outer("texts").alias("frag_idx", "text"))
+    timed = T.proportional_times(rows.withColumn("seg_start", F.lit(0.0)).withColumn("seg_end", F.col("duration")), ["book_id", "part_no"])
+    timed = timed.withColumn("id", X.paragraph_id(F.col("number"), X.fragment_id(F.col("frag_idx") + 1), F.col("frag_idx")))
+    chapters = timed.groupBy(*unit).agg(M.listed_paragraphs())
+    return M.nested_manifest(chapters.withColumn("paragraphs", F.when(F.col("kind") == "chapter", F.col("paragraphs"))))
 
 
 @query()

@@ -54,8 +54,9 @@ def books(s: SparkSession, d: str) -> DataFrame:
 
 
 def parts(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return dealt(table(s, d, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("book_id"), F.row_number().over(w).alias("part_no"), F.col("l_quantity").cast("double").alias("duration"))
+    w = Window.partitionBy("book_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = table(s, d, "lineitem").withColumnRenamed("l_orderkey", "book_id")  # first, so that joins by book find the parts dealt by it
+    return dealt(lines, "book_id").select("book_id", F.row_number().over(w).alias("part_no"), F.col("l_quantity").cast("double").alias("duration"))
 
 
 def fragments(s: SparkSession, d: str) -> DataFrame:
