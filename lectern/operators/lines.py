@@ -113,26 +113,56 @@ def chapters_of_lines(lines: DataFrame, titles: dict[int, str] | None = None, co
     return chapters.select("book_id", "chapter_no", parts("chapter_no", "__lines").alias("p")).select("book_id", F.col("chapter_no").cast("int").alias("chapter_no"), "p.*")
 
 
-def paragraphs_of_lines(lines: DataFrame, keys: Sequence[str] = ("book_id",), headers: Sequence[str] = (), header: str | None = None, block: int = BLOCK) -> DataFrame:
+def _packed(lines: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """(__key, __block, __lines, __long): one row for each block with its lines in order; __long: the book has lines in other blocks.
+
+    Lines travel as arrays of their blocks, each behind its number in the block: keys
+    aren't repeated for each line, and nothing but texts is shuffled.  Each line of a later
+    block also tells the first block that the book is long.
+    """
+    own, digits = F.floor(F.col("line_no") / block), len(str(block - 1))
+    place = F.lpad((F.col("line_no") - own * block).cast("string"), digits, "0")
+    k = lines.select(F.struct(*keys).alias("__key"), F.concat(place, F.coalesce("line", F.lit(""))).alias("line"), own.alias("__own"))
+    k = k.select("*", F.explode(F.when(F.col("__own") != 0, F.array("__own", F.lit(0).cast("long"))).otherwise(F.array("__own"))).alias("__block"))
+    listed = F.collect_list(F.when(F.col("__own") == F.col("__block"), F.col("line")))
+    return k.groupBy("__key", "__block").agg(F.transform(F.array_sort(listed), lambda s: F.substr(s, F.lit(digits + 1))).alias("__lines"), F.max(F.col("__own") != 0).alias("__long"))
+
+
+#: States are followed over 2 ** ROUNDS blocks without a blank or indented line, as maps are composed over 1, 2, 4 ... blocks.
+ROUNDS = 16
+
+
+def _carried(packed: DataFrame, headers: frozenset[str], header: str | None, rounds: int) -> DataFrame:
+    """(__key, __block, __state, __base, __more) of long books' blocks: the state before a block, the paragraphs begun before it, and the lines in later blocks of the last paragraph that begins in it."""
+    maps = _of_lists(lambda rows: K.paragraph_maps(rows, headers, header), "map string, begun array<int>, held array<int>, before array<string>")
+    b = packed.where("__long").select("__key", "__block", maps("__lines").alias("m")).select("__key", "__block", "m.*")
+    w = Window.partitionBy("__key").orderBy("__block")
+    before, nothing = w.rowsBetween(Window.unboundedPreceding, -1), F.lit("0123")
+    for k in range(rounds):
+        b = b.withColumn("__earlier", F.coalesce(F.lag("map", 1 << k).over(w), nothing)).withColumn("map", F.expr("translate(__earlier, '0123', map)"))
+    b = b.withColumn("__state", F.substring(F.coalesce(F.lag("map").over(w), nothing), K.CLOSED + 1, 1).cast("int"))
+    b = b.withColumn("__begun", F.get("begun", F.col("__state"))).withColumn("before", F.slice("before", 1, F.get("held", F.col("__state"))))
+    b = b.withColumns({"__base": F.coalesce(F.sum("__begun").over(before), F.lit(0)), "__owner": F.last(F.when(F.col("__begun") > 0, F.col("__block")), ignorenulls=True).over(before)})
+    own = F.struct(F.col("__block"), F.col("__state"), F.col("__base"), F.lit(None).cast("struct<no:bigint,lines:array<string>>").alias("__more"))
+    back = F.struct(F.col("__owner").alias("__block"), F.lit(None).cast("int").alias("__state"), F.lit(None).cast("long").alias("__base"), F.struct(F.col("__block").alias("no"), F.col("before").alias("lines")).alias("__more"))
+    told = b.select("__key", F.explode(F.when(F.size("before") > 0, F.array(own, back)).otherwise(F.array(own))).alias("c")).select("__key", "c.*")
+    more = F.flatten(F.transform(F.array_sort(F.collect_list("__more")), lambda s: s["lines"]))
+    return told.groupBy("__key", "__block").agg(F.max("__state").alias("__state"), F.max("__base").alias("__base"), more.alias("__more"))
+
+
+def paragraphs_of_lines(lines: DataFrame, keys: Sequence[str] = ("book_id",), headers: Sequence[str] = (), header: str | None = None, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(keys, frag_idx, text): paragraphs end at blank lines, before indented lines, and before a capital at the left after an ended sentence.
 
-    Page numbers and headers go first.  A paragraph is put together from its lines.
+    Page numbers and headers go first.  Texts are shuffled once, packed by blocks, and a
+    block's paragraphs are put together where it lies.  Only of books with several
+    blocks the states between them are found first, from the same shuffle; what a
+    paragraph has in later blocks is sent to the one in which it begins.
     """
-    names = [h.strip().upper() for h in headers]
-    raw = F.coalesce("line", F.lit(""))
-    wide = F.regexp_replace(F.regexp_extract(raw, r"(?U)^\s*", 0), r"\G((?:[^\t]{4})*)[^\t]{0,3}\t", "$1    ")
-    k = lines.select(*keys, "line_no", raw.alias("raw"), F.length(wide).alias("__indent"), X.strip(raw).alias("line"))
-    # Spark tests a row's filter before it makes `line`, and strips and cleans the line anew wherever it is named: cheap tests of the raw line go first
-    drop = X.is_page_artifact(F.col("line"), header) & (F.col("line") != "") if header else F.col("raw").rlike(r"(?U)^\s*([^A-Za-z\s]|[Cc])") & X.is_page_artifact(F.col("line"))
-    if names:
-        upper = F.upper("line")
-        may_be = reduce(lambda a, b: a | b, [F.upper("raw").contains(n) for n in names])
-        drop = drop | may_be & (upper.isin(names) | F.regexp_replace(upper, r"(?U)\s+\d{1,4}$", "").isin(names))
-    k = k.where(~drop).drop("raw").withColumn("line", F.regexp_replace("line", r"(?U)\b([A-Z])\s{2,}([a-z])", "$1$2"))
-    blank, starts = F.col("line") == "", (F.col("line") != "") & F.col("__indent").between(2, 5)
-    k = scan(k, keys, last={"__prior": F.col("line"), "__indented": F.when(blank | starts, starts)}, block=block)
-    ended = ~F.coalesce("__indented", F.lit(False)) & (F.col("__indent") <= 1) & F.col("__prior").rlike(r"[.?!]\"?\z") & F.col("line").rlike(r"^[\"']?[A-Z]")
-    begins = F.col("__prior").isNull() | (F.col("__prior") == "") | starts | ended
-    p = scan(k.withColumn("__begins", begins).where("line <> ''"), keys, count={"frag_idx": F.col("__begins")}, block=block)
-    joined = p.groupBy(*keys, "frag_idx").agg(_in_order("line").alias("__lines"))
-    return joined.select(*keys, (F.col("frag_idx") - 1).cast("int").alias("frag_idx"), _of_lists(K.join_paragraph, "string")(F.col("__lines")).alias("text"))
+    names = frozenset(h.strip().upper() for h in headers)
+    packed = _packed(lines, keys, block)
+    carried = _carried(packed, names, header, rounds)
+    here = (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__block") == F.col("b.__block")) & F.col("a.__long")  # both sides read __long, else Spark leaves it out of one's shuffle and makes two
+    texts = _of_lists(lambda rows, state, more: K.joined_paragraphs(rows, state, more, names, header), "array<string>")
+    made = packed.alias("a").join(carried.alias("b"), here, "left").select("a.__key", "__base", texts("__lines", "__state", "__more").alias("__texts"))
+    rows = made.select("__key", "__base", F.posexplode_outer("__texts").alias("__i", "text")).where("text is not null")
+    return rows.select(*[F.col("__key")[k].alias(k) for k in keys], (F.coalesce("__base", F.lit(0)) + F.col("__i")).cast("int").alias("frag_idx"), "text")

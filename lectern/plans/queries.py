@@ -545,8 +545,7 @@ def paragraph_fragments(s, d):
 @query(rf"""{_PARAGRAPHS}
 SELECT book_id, chapter_no, CAST(p - 1 AS INTEGER) AS frag_idx, trim(regexp_replace(max_by(cur, r), '{_WS}', ' ', 'g'), ' ') AS text FROM f WHERE p > 0 GROUP BY ALL""")
 def paragraphs_of_lines(s, d):
-    lines = stored(L.text_lines(_chapters(s, d), ("book_id", "chapter_no"), "body"), "lines")
-    return L.paragraphs_of_lines(lines, ("book_id", "chapter_no"), ["The First Part"])
+    return L.paragraphs_of_lines(L.text_lines(_chapters(s, d), ("book_id", "chapter_no"), "body"), ("book_id", "chapter_no"), ["The First Part"])
 
 
 @query(f"""WITH {_CHAPTERS}, texts AS (SELECT book_id * 2 + chapter_no AS doc_id, body AS text FROM chapters), {FRAGMENTS.replace("FROM documents", "FROM texts")}

@@ -7,6 +7,7 @@ import pytest
 from lectern.functions import text as X
 from lectern.operators import kernels as K
 from lectern.operators import lines as L
+from lectern.plans.queries import QUERIES
 from lectern.sources import readers
 
 PIECES = ["The end of it.", "An Old Part", "and so on", "com-", "pound", "- - -", "", "", "  An indented one", "\tTabbed line", " \tMore tabs", "12", "13 THE FIRST PART", "The First Part 14", "Mr. A.", "A.", "Who?", "“Yes.”", "\"Then\" he said:", "a well-be-", "having word", "x\x0by", "Éa part", "A  dog", "CHAPTER  Two", "1", "No stop here but it goes on and on", "Short; ", "     ", "—dash", "\f"]
@@ -101,3 +102,31 @@ def test_lines_that_a_cheap_test_lets_through_or_holds(spark):
     got = [K.clean(r.text) for r in L.paragraphs_of_lines(lines, headers=["The First Part"], block=8).orderBy("frag_idx").collect()]
     want = [" ".join(t.split()) for t in K.paragraphs("\n".join(r[2] for r in rows), frozenset(["THE FIRST PART"]))]
     assert len(got) == len(want) and [g for g in got if not g.startswith("kept")] == [w for w in want if not w.startswith("kept")]
+
+
+def test_paragraphs_read_and_shuffle_their_lines_once(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(b, i, rng.choice(PIECES)) for b in range(6) for i in range(rng.choice([3, 90]))]
+    spark.createDataFrame(rows, "book_id long, line_no long, line string").write.parquet(str(tmp_path / "lines"))
+    out = L.paragraphs_of_lines(spark.read.parquet(str(tmp_path / "lines")), block=8)
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") == 1
+    assert QUERIES["paragraphs_of_lines"](spark, "/root/testdata/sf0.001").inputFiles()[0].endswith("documents.parquet")  # nothing is stored
+
+
+def test_paragraphs_over_many_blocks_and_missing_lines(spark):
+    """Blocks in which nothing begins or ends, first blocks without lines, null keys: as the kernel on the lines in order."""
+    rng = random.Random(12)
+    flat = ["The end of it.", "and so on", "com-", "pound", "12", "Éa part", "a well-be-", "Who?\"", "No stop here"]
+    texts = {b: [rng.choice(flat if rng.random() < 0.97 else PIECES[:10]) for _ in range(rng.choice([1, 20, 70]))] for b in [*range(12), None]}
+    rows = [(b, i, x) for b, t in texts.items() for i, x in enumerate(t) if b is None or b % 3 == 0 or (i % 7 if b % 3 == 1 else i > 11)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "book_id long, line_no long, line string").repartition(3)
+    for block in (1, 4, 9):
+        got = {}
+        for r in sorted(L.paragraphs_of_lines(df, block=block).collect(), key=lambda r: r.frag_idx):
+            got.setdefault(r.book_id, []).append((r.frag_idx, r.text))
+        for b in texts:
+            kept = [x for k, _, x in sorted((r for r in rows if r[0] == b), key=lambda r: r[1]) if k == b]
+            assert got.get(b, []) == list(enumerate(K.paragraphs("\n".join(kept)))), (b, block)
